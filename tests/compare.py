@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime
 import math
+import os
 import sys
 import time
 from decimal import Decimal
@@ -56,6 +57,7 @@ if __name__ == "__main__":
     import __spark_entry__ as entry
     from tidewatch.session import build_session
 
+    os.environ["PYSPARK_SUBMIT_ARGS"] = "--conf spark.ui.showConsoleProgress=false --conf spark.ui.enabled=false --driver-memory 12g pyspark-shell"
     spark = build_session("compare", "local[8]", 8)
     spark.sparkContext.setLogLevel("ERROR")
     con = duck(sf_dir)

@@ -28,6 +28,8 @@ def registrable(host: str) -> str:
 
 def brand_hit(label: str) -> str:
     """``[distance, index]`` of the nearest brand as one sortable number: distance * 64 + index."""
+    # DuckDB counts bytes: one byte stands in for every letter outside ASCII.
+    label = f"regexp_replace({label}, '[^\\x00-\\x7f]', '~', 'g')"
     pairs = ", ".join(f"levenshtein({label}, '{b}') * 64 + {i}" for i, b in enumerate(fv.BRANDS))
     return f"least({pairs})"
 

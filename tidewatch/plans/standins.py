@@ -156,4 +156,4 @@ def with_views(names: list[str], body: str, extra: dict[str, str] | None = None)
         add(name)
     ctes.update(extra or {})
     clause = ",\n".join(f"{k} AS ({v})" for k, v in ctes.items())
-    return f"WITH {clause}\n{body}"
+    return f"WITH {clause}\n{body.strip()}"
