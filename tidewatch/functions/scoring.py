@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.functions import fixed_values as fv
@@ -20,6 +20,20 @@ def let(expr: Column, body) -> Column:
     return F.element_at(F.transform(F.array(expr), body), 1)
 
 
+def explode_rows(df: DataFrame, keys: list, array: Column, position: str | None = None) -> DataFrame:
+    """One row per element: ``keys``, the optional position and the element as ``item``.
+
+    The outer form plus a filter on its output is deliberate.  For the inner form
+    the optimizer adds a size filter below the generator, which evaluates the
+    whole array expression a second time per row.
+    """
+    if position is None:
+        out = df.select(*keys, F.explode_outer(array).alias("item"))
+    else:
+        out = df.select(*keys, F.posexplode_outer(array).alias(position, "item"))
+    return out.filter(F.col("item").isNotNull())
+
+
 def stable_round(value: Column, digits: int) -> Column:
     """Half-up rounding that ignores the order in which a sum was built.
 

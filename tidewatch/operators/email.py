@@ -305,7 +305,7 @@ def with_indicators(signals: DataFrame) -> DataFrame:
 
 def email_indicators(signals: DataFrame, id_col: str = "msg_id") -> DataFrame:
     """One row per finding, with its position in the message."""
-    return with_indicators(signals).select(id_col, F.posexplode("indicators").alias("pos", "i")).select(id_col, "pos", "i.*")
+    return sc.explode_rows(with_indicators(signals), [id_col], F.col("indicators"), "pos").select(id_col, "pos", "item.*")
 
 
 def email_risk(signals: DataFrame, model_score: Column | None = None, model_version: str | None = None) -> DataFrame:

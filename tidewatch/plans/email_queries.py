@@ -24,8 +24,8 @@ def _register(key, fn, sql=None):
 
 def _signals(s, sf):
     """The two e-mail stand-ins in the shape of the parser's output."""
-    mail = view(s, sf, "v_email").select("id", "from_host", "spf", "dkim", "dmarc", "dkim_aligned")
-    parsed = view(s, sf, "v_email_parsed")
+    mail = view(s, sf, "v_email", spread=True).select("id", "from_host", "spf", "dkim", "dmarc", "dkim_aligned")
+    parsed = view(s, sf, "v_email_parsed", spread=True)
     return (
         mail.join(parsed, "id")
         .select(
@@ -139,7 +139,7 @@ SELECT tenant_id, module, round(least(1 - product(1.0::DOUBLE - risk_score / 100
 
 def _raw_messages(s, sf):
     """Whole documents as message bodies behind a header template."""
-    docs = table(s, sf, "documents")
+    docs = table(s, sf, "documents", spread=True)
     header = F.format_string(
         "Return-Path: <bounce@%s.example.org>\nReceived: from a (a [10.0.0.5])\n by mx; Tue, 14 Jul 2026 09:12:04 +0000\n"
         "Received: from b (b [8.8.4.4])\n by a; Tue, 14 Jul 2026 09:11:00 +0000\n"

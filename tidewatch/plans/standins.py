@@ -10,7 +10,7 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewatch.session import use_utc
+from tidewatch.session import prepare, spread_small_scan
 
 AS_OF = "2024-01-31 00:00:00"
 
@@ -128,16 +128,18 @@ def _needs(text: str) -> list[str]:
     return sorted(set(re.findall(r"\{(\w+)\}", text)))
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the given parquet tables."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def table(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) -> DataFrame:
+    """One of the given parquet tables; ``spread`` is for jobs that are costly per row."""
+    prepare(spark)
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread_small_scan(df) if spread else df
 
 
-def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def view(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) -> DataFrame:
     """A stand-in view as a DataFrame."""
-    use_utc(spark)
+    prepare(spark)
     text = VIEWS[name]
-    parts = {n: (view if n in VIEWS else table)(spark, sf_dir, n) for n in _needs(text)}
+    parts = {n: (view if n in VIEWS else table)(spark, sf_dir, n, spread) for n in _needs(text)}
     return spark.sql(text, **parts)
 
 

@@ -30,8 +30,8 @@ def _dec(expr: str, digits: int) -> str:
 
 def _texts(s, sf):
     """Documents and conversation turns as one text table."""
-    docs = table(s, sf, "documents").select(F.concat(F.lit("d"), "doc_id").alias("id"), "text")
-    turns = table(s, sf, "conversations").select(F.concat(F.lit("c"), "conv_id", F.lit("-"), "turn").alias("id"), "text")
+    docs = table(s, sf, "documents", spread=True).select(F.concat(F.lit("d"), "doc_id").alias("id"), "text")
+    turns = table(s, sf, "conversations", spread=True).select(F.concat(F.lit("c"), "conv_id", F.lit("-"), "turn").alias("id"), "text")
     return docs.unionByName(turns)
 
 
@@ -113,7 +113,7 @@ SELECT host, n, registrable,
 
 def url_findings(df, id_col, plain, html):
     """One row per (id, link)."""
-    return df.select(id_col, F.posexplode(ul.link_findings(plain, html)).alias("pos", "u")).select(id_col, "pos", "u.*")
+    return sc.explode_rows(df, [id_col], ul.link_findings(plain, html), "pos").select(id_col, "pos", "item.*")
 
 
 def _findings_oracle(source, id_col):
@@ -147,7 +147,7 @@ SELECT {id_col}, (row_number() OVER (PARTITION BY {id_col} ORDER BY pos) - 1)::I
 
 _register(
     "e02_url_findings",
-    lambda s, sf: url_findings(view(s, sf, "v_html"), "page_id", F.lit(""), F.col("html")),
+    lambda s, sf: url_findings(view(s, sf, "v_html", spread=True), "page_id", F.lit(""), F.col("html")),
     with_views(["v_html"], _findings_oracle("v_html", "page_id")),
 )
 
@@ -170,7 +170,7 @@ SELECT flow_id, starts_with(src_ip, '10.') AS src_private, false AS dst_private,
 )
 _register(
     "f17_body_text",
-    lambda s, sf: table(s, sf, "pages").withColumn("body", tx.body_text(F.lit(""), F.col("html"))).select(
+    lambda s, sf: table(s, sf, "pages", spread=True).withColumn("body", tx.body_text(F.lit(""), F.col("html"))).select(
         "page_id", F.length("body").alias("n_chars"), tx.body_sha256(F.col("body")).alias("sha256")),
     f"""
 WITH b AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '{tx.SPACE}+', ' ', 'g'), '^ | $', '', 'g') AS body FROM pages)
@@ -225,7 +225,7 @@ def sentences_sql(text: str) -> str:
 
 _register(
     "f20_sentences",
-    lambda s, sf: table(s, sf, "documents").select("doc_id", F.posexplode(tx.sentences(F.col("text"))).alias("pos", "sentence")),
+    lambda s, sf: sc.explode_rows(table(s, sf, "documents", spread=True), ["doc_id"], tx.sentences(F.col("text")), "pos").withColumnRenamed("item", "sentence"),
     f"""
 WITH t AS (SELECT doc_id, {sentences_sql('text')} AS ss FROM documents)
 SELECT doc_id, unnest(range(0, len(ss)))::INT AS pos, unnest(ss) AS sentence FROM t""",

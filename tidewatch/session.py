@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 BROADCAST_ROW_BOUND = 100_000
 
 
+# Python call sites of every column operation: a cost per operation on the driver.
+_NO_CALL_SITES = ("spark.python.sql.dataFrameDebugging.enabled", "false")
+
+
 def build_session(app: str = "tidewatch", master: str | None = None, shuffle_partitions: int | None = None) -> SparkSession:
     """A session with the settings the jobs expect; cluster defaults win where they are set."""
     builder = (
@@ -20,6 +24,7 @@ def build_session(app: str = "tidewatch", master: str | None = None, shuffle_par
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config(*_NO_CALL_SITES)
     )
     if master:
         builder = builder.master(master)
@@ -28,11 +33,22 @@ def build_session(app: str = "tidewatch", master: str | None = None, shuffle_par
     return builder.getOrCreate()
 
 
-def use_utc(spark: SparkSession) -> None:
-    """All timestamps in the data model are UTC."""
+def prepare(spark: SparkSession) -> None:
+    """Settings a session from elsewhere needs too: all timestamps in the data model are UTC."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
 
 
+def spread_small_scan(df: DataFrame, bytes_per_core: int = 32 << 20) -> DataFrame:
+    """Give every core a share of a small input whose rows are costly to work on.
+
+    A file of a few megabytes is one split, hence one task.  Inputs with enough
+    bytes for every core are returned untouched, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return df.repartition(cores) if int(str(size)) < cores * bytes_per_core else df
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the shared folder of the cluster.
 
