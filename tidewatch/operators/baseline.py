@@ -169,7 +169,7 @@ def raw_scores(scaled: DataFrame, model: FlowBaseline) -> DataFrame:
 # --- exact percentile ----------------------------------------------------------------
 
 
-def _nth(values: DataFrame, column: str, k: int, low: float, high: float, slices: int = 4096) -> float:
+def nth_value(values: DataFrame, column: str, k: int, low: float, high: float, slices: int = 4096) -> float:
     """The k-th smallest value (from 0): narrow the range slice by slice until one value is left."""
     while low < high:
         inside = values.filter(F.col(column).between(low, high))
@@ -188,10 +188,10 @@ def exact_percentile(values: DataFrame, column: str, q: float) -> float:
     stats = values.agg(F.count(column).alias("n"), F.min(column).alias("lo"), F.max(column).alias("hi")).first()
     position = q * (stats["n"] - 1)
     below = math.floor(position)
-    first = _nth(values, column, below, stats["lo"], stats["hi"])
+    first = nth_value(values, column, below, stats["lo"], stats["hi"])
     if position == below:
         return first
-    return first + (position - below) * (_nth(values, column, below + 1, stats["lo"], stats["hi"]) - first)
+    return first + (position - below) * (nth_value(values, column, below + 1, stats["lo"], stats["hi"]) - first)
 
 
 # --- fit and score -------------------------------------------------------------------

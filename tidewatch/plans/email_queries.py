@@ -138,8 +138,11 @@ SELECT tenant_id, module, round(least(1 - product(1.0::DOUBLE - risk_score / 100
 
 
 def _raw_messages(s, sf):
+    return raw_messages(table(s, sf, "documents", spread=True))
+
+
+def raw_messages(docs):
     """Whole documents as message bodies behind a header template."""
-    docs = table(s, sf, "documents", spread=True)
     header = F.format_string(
         "Return-Path: <bounce@%s.example.org>\nReceived: from a (a [10.0.0.5])\n by mx; Tue, 14 Jul 2026 09:12:04 +0000\n"
         "Received: from b (b [8.8.4.4])\n by a; Tue, 14 Jul 2026 09:11:00 +0000\n"

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidewatch.plans import dashboard_queries, email_queries, evidence_queries, flow_queries, text_queries
+from tidewatch.plans import dashboard_queries, email_queries, evidence_queries, flow_queries, learning_queries, text_queries
 
-_GROUPS = [dashboard_queries, text_queries, email_queries, evidence_queries, flow_queries]
+_GROUPS = [dashboard_queries, text_queries, email_queries, evidence_queries, flow_queries, learning_queries]
 
 QUERIES = {}
 ORACLES = {}

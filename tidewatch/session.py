@@ -49,19 +49,29 @@ def spread_small_scan(df: DataFrame, bytes_per_core: int = 32 << 20) -> DataFram
     return df.repartition(cores) if int(str(size)) < cores * bytes_per_core else df
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder of the cluster.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of the cluster for checkpoints and intermediate tables.
 
-    The folder is the session's ``spark.checkpoint.dir``.  Only when that is
-    unset (tests, a laptop) a folder of our own is used.
+    It is the session's ``spark.checkpoint.dir``.  Only when that is unset (tests, a
+    laptop) a folder of our own is used.
     """
+    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if configured is None:
+        configured = os.path.join(os.environ.get("TMPDIR", "/tmp"), f"tidewatch-{uuid.uuid4().hex}")
+        spark.conf.set("spark.checkpoint.dir", configured)
+    return configured
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new, unused folder below the shared one."""
+    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint in the shared folder: survives the loss of executors."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        configured = sc.getConf().get("spark.checkpoint.dir", None)
-        if configured is None:
-            base = os.environ.get("TMPDIR", "/tmp")
-            configured = os.path.join(base, f"tidewatch-checkpoints-{uuid.uuid4().hex}")
-        sc.setCheckpointDir(configured)
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
