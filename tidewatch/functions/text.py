@@ -121,6 +121,7 @@ def rating_score(rating: Column) -> Column:
 
 def writing_style(text: Column) -> dict[str, Column]:
     """Raw signals of the writing-style estimate."""
+    text = F.coalesce(text, F.lit(""))
     low = F.lower(text)
     letters = F.length(F.regexp_replace(text, r"[^\p{L}]+", ""))
     capitals = F.length(F.regexp_replace(text, r"[^\p{Lu}]+", ""))

@@ -156,7 +156,8 @@ def article_credibility(articles: DataFrame, verdicts: DataFrame) -> DataFrame:
     scored = joined.withColumns(
         counts
         | {
-            "score": F.coalesce(F.greatest(F.lit(0), F.least(F.lit(100), F.bround(F.round(100 * F.col("mean"), 9), 0))), F.lit(50)).cast("int"),
+            # The mean of values in 0..1 needs no clipping; an article without claims reads 50.
+            "score": F.coalesce(F.bround(F.round(100 * F.col("mean"), 9), 0), F.lit(50)).cast("int"),
             "citations": F.coalesce(
                 F.array_distinct(F.flatten(F.transform("ordered", lambda o: o["citations"]))), F.array().cast("array<string>")
             ),
