@@ -76,7 +76,7 @@ def test_vectors_are_unit_and_topk_is_exact(spark):
 
 def test_hash_embedding(spark):
     df = spark.createDataFrame([(1, "alpha beta beta gamma"), (2, ""), (3, "beta gamma alpha beta")], "id long, text string")
-    got = {r["id"]: {e["bucket"]: e["weight"] for e in r["vector"]} for r in rt.hash_embed(df, "id", F.col("text")).collect()}
+    got = {r["id"]: dict(zip(r["vector"]["buckets"], r["vector"]["weights"])) for r in rt.hash_embed(df, "id", F.col("text")).collect()}
     assert got[2] == {} and got[1] == got[3]
     assert sum(w * w for w in got[1].values()) == pytest.approx(1.0)
 

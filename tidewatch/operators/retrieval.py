@@ -1,19 +1,23 @@
 """Evidence retrieval: BM25, hashed vectors, exact vector top-k, rank fusion.
 
-All claims are scored together.  The corpus is the big side: it is scanned, cut
-down to the claims' vocabulary on the way, shuffled once by document, and only
-the best candidates per claim and partition travel further.
+All claims are scored together, in blocks of bounded size.  The corpus is the big
+side: its documents are scored where they lie and are never shuffled; only the
+best candidates per claim and task travel further.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tidewatch.functions import text as tx
 from tidewatch.functions.scoring import let
@@ -38,9 +42,77 @@ def top_k(df: DataFrame, group: str, score: str, tie: str, k: int, rank: str = "
     return df.withColumn(rank, F.row_number().over(best_first)).filter(F.col(rank) <= k)
 
 
-# --- BM25 ---------------------------------------------------------------------
+# --- scanning the corpus -----------------------------------------------------------
 
-_EVERY_DOC = ""  # pseudo term: one posting per document carries the collection totals
+
+def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
+    """Positions of the k best by (score descending, id ascending)."""
+    if len(scores) > k:
+        floor = np.partition(scores, len(scores) - k)[len(scores) - k]
+        pool = np.flatnonzero(scores >= floor)
+    else:
+        pool = np.arange(len(scores))
+    return pool[np.lexsort((ids[pool], -scores[pool]))[:k]]
+
+
+class _RunningTopK:
+    """Best k documents per query over the batches of one task."""
+
+    def __init__(self, query_ids: np.ndarray, k: int, positive_only: bool):
+        self.query_ids, self.k, self.positive_only = query_ids, k, positive_only
+        self.found: list[tuple[np.ndarray, np.ndarray] | None] = [None] * len(query_ids)
+
+    def add(self, ids: np.ndarray, scores: np.ndarray) -> None:
+        for q in range(len(self.query_ids)):
+            these, column = ids, scores[:, q]
+            if self.positive_only:
+                hit = column > 0
+                these, column = these[hit], column[hit]
+            if self.found[q] is not None:
+                these, column = np.concatenate([self.found[q][0], these]), np.concatenate([self.found[q][1], column])
+            keep = _best(these, column, self.k)
+            self.found[q] = (these[keep], column[keep])
+
+    def batches(self, names: list[str], id_type: pa.DataType, query_type: pa.DataType) -> Iterator[pa.RecordBatch]:
+        for query_id, found in zip(self.query_ids, self.found):
+            if found is not None and len(found[0]):
+                n = len(found[0])
+                columns = [pa.array([query_id] * n, query_type), pa.array(found[0], id_type), pa.array(found[1] + 0.0, pa.float64())]
+                yield pa.RecordBatch.from_arrays(columns, names)
+
+
+def _lists(column: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """(row of every element, elements) of a list column."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    lengths = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+    return np.repeat(np.arange(len(column)), lengths), column.flatten()
+
+
+def _query_blocks(queries: DataFrame, key: str, block: int) -> Iterator[pd.DataFrame]:
+    """The queries in pieces of about ``block``, each small enough to be broadcast."""
+    n = queries.select(key).distinct().count()
+    pieces = max(1, math.ceil(n / block))
+    for i in range(pieces):
+        part = queries if pieces == 1 else queries.filter(F.pmod(F.xxhash64(key), F.lit(pieces)) == i)
+        table = part.toPandas()
+        if not table.empty:
+            yield table
+
+
+def _union_or_empty(parts: list[DataFrame], spark, schema: str) -> DataFrame:
+    out = parts[0] if parts else spark.createDataFrame([], schema)
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def _arrow_types(df: DataFrame, *columns: str) -> list[pa.DataType]:
+    return [to_arrow_type(df.schema[c].dataType) for c in columns]
+
+
+# --- BM25 ---------------------------------------------------------------------------
+
+_EVERY_DOC = ""  # pseudo term: counted once per document, carries the collection totals
 
 
 def query_terms(claims: DataFrame) -> DataFrame:
@@ -49,157 +121,192 @@ def query_terms(claims: DataFrame) -> DataFrame:
     return words.groupBy("claim_id", "term").agg(F.count("*").alias("asked"))
 
 
-def postings(docs: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """(doc_id, term, len, tf) for the wanted terms only, partitioned by document."""
-    tokenised = docs.select("doc_id", tx.tokens(searchable(F.col("title"), F.col("text"))).alias("tokens"))
-    words = tokenised.select(
-        "doc_id", F.size("tokens").alias("len"), F.explode(F.concat("tokens", F.array(F.lit(_EVERY_DOC)))).alias("term")
-    )
-    wanted = words.join(vocabulary, "term", "left_semi").repartition("doc_id")
-    return wanted.groupBy("doc_id", "term").agg(F.max("len").alias("len"), F.count("*").alias("tf"))
+def tokenised(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", tx.tokens(searchable(F.col("title"), F.col("text"))).alias("tokens")).withColumn("len", F.size("tokens"))
+
 
+def _wanted(terms: list[str]) -> Column:
+    """Keep the tokens of a bounded vocabulary: a hash-set test inside the row, no join."""
+    listed = ", ".join(f"'{t}'" for t in terms)  # tokens are [a-z0-9]+
+    return F.expr(f"filter(tokens, t -> t IN ({listed}))") if terms else F.array().cast("array<string>")
 
-def collection_statistics(posts: DataFrame) -> DataFrame:
-    """(term, df, idf, n_docs, avg_len) of the terms in the postings."""
-    per_term = posts.groupBy("term").agg(F.count("*").alias("df"), F.sum("len").alias("total_len"))
+
+def term_statistics(documents: DataFrame) -> DataFrame:
+    """(term, df, total_len) of (len, tokens) rows; the pseudo term has the collection totals.
+
+    Counted map-side: one row per distinct term and task is all that is shuffled.
+    """
+    seen = F.concat(F.array_distinct("tokens"), F.array(F.lit(_EVERY_DOC)))
+    return documents.select("len", F.explode(seen).alias("term")).groupBy("term").agg(F.count("*").alias("df"), F.sum("len").alias("total_len"))
+
+
+def collection_statistics(docs: DataFrame) -> DataFrame:
+    """(term, df, idf, n_docs, avg_len) of every term of the corpus."""
+    per_term = term_statistics(tokenised(docs))
     totals = per_term.filter(F.col("term") == _EVERY_DOC).select(
         F.lit(1).alias("_one"), F.col("df").alias("n_docs"), (F.col("total_len") / F.col("df")).alias("avg_len")
     )
-    one_row = F.broadcast(totals)
     n, df = F.col("n_docs"), F.col("df")
     return (
         per_term.filter(F.col("term") != _EVERY_DOC)
         .withColumn("_one", F.lit(1))
-        .join(one_row, "_one")
+        .join(F.broadcast(totals), "_one")  # one row
         .select("term", "df", F.log(1 + (n - df + 0.5) / (df + 0.5)).alias("idf"), "n_docs", "avg_len")
     )
 
 
-def bm25(claims: DataFrame, docs: DataFrame, k: int = POOL, k1: float = K1, b: float = B) -> DataFrame:
-    """(claim_id, doc_id, bm25_score, rank): Okapi BM25, best ``k`` per claim, zero scores dropped."""
-    asked = query_terms(claims)
-    words = asked.select("term").distinct().unionByName(claims.sparkSession.range(1).select(F.lit(_EVERY_DOC).alias("term")))
-    posts = postings(docs, broadcast_if_small(words))
-    weighted = asked.join(collection_statistics(posts), "term")
-    # As many rows as (claim, term) pairs: the count of those decides on the broadcast.
-    lookup = F.broadcast(weighted) if _is_small(asked) else weighted
-    tf = F.col("tf")
-    saturation = tf + k1 * (1 - b + b * F.col("len") / F.greatest(F.col("avg_len"), F.lit(1e-9)))
-    hit = posts.join(lookup, "term").withColumn("part", F.col("asked") * F.col("idf") * tf * (k1 + 1) / saturation)
-    scores = hit.groupBy("doc_id", "claim_id").agg(F.round(F.sum("part"), SCORE_DIGITS).alias("bm25_score"))
-    return top_k(scores.filter("bm25_score > 0"), "claim_id", "bm25_score", "doc_id", k)
+def bm25(claims: DataFrame, docs: DataFrame, k: int = POOL, k1: float = K1, b: float = B, block: int = QUERY_BLOCK) -> DataFrame:
+    """(claim_id, doc_id, bm25_score, rank): Okapi BM25, best ``k`` per claim, zero scores dropped.
 
+    Two scans per block of claims, and no shuffle of documents or postings: the first
+    counts the block's terms, the second scores every document where it lies against
+    the broadcast block and keeps a running top-k per claim and task.
+    """
+    spark = docs.sparkSession
+    corpus = tokenised(docs)
+    types = _arrow_types(claims, "claim_id") + _arrow_types(docs, "doc_id")
+    schema = f"claim_id {claims.schema['claim_id'].dataType.simpleString()}, doc_id {docs.schema['doc_id'].dataType.simpleString()}, bm25_score double"
+    parts = []
+    for asked in _query_blocks(query_terms(claims), "claim_id", block):
+        terms = sorted(asked["term"].unique())
+        pruned = corpus.withColumn("tokens", _wanted(terms))
+        stats = term_statistics(pruned).toPandas().set_index("term")  # at most one row per asked term
+        if _EVERY_DOC not in stats.index:
+            continue
+        n, total_len = (float(x) for x in stats.loc[_EVERY_DOC])
+        df = stats["df"].reindex(terms).fillna(0).to_numpy(dtype=float)
+        idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
+        ids, row = np.unique(asked["claim_id"].to_numpy(), return_inverse=True)
+        weights = np.zeros((len(terms), len(ids)))
+        column = np.searchsorted(terms, asked["term"].to_numpy())
+        weights[column, row] = asked["asked"].to_numpy() * idf[column]
+        shared = spark.sparkContext.broadcast((ids, pa.array(terms), weights, total_len / n))
+        parts.append(pruned.select("doc_id", "len", "tokens").mapInArrow(_score_terms(shared, k, k1, b, types), schema))
+    return top_k(_union_or_empty(parts, spark, schema), "claim_id", "bm25_score", "doc_id", k)
+
+
+def _score_terms(shared, k: int, k1: float, b: float, types: list[pa.DataType]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim_ids, terms, weights, avg_len = shared.value
+        best = _RunningTopK(claim_ids, k, positive_only=True)
+        step = max(1, 20_000_000 // max(1, weights.shape[1]))  # postings x claims at a time
+        for batch in batches:
+            rows, words = _lists(batch.column("tokens"))
+            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
+            length = batch.column("len").to_numpy(zero_copy_only=False).astype(float)
+            at = pc.index_in(words, terms).to_numpy(zero_copy_only=False).astype(np.int64)
+            posting, tf = np.unique(rows * len(terms) + at, return_counts=True)
+            row, term = posting // len(terms), posting % len(terms)
+            saturated = tf * (k1 + 1) / (tf + k1 * (1 - b + b * length[row] / max(avg_len, 1e-9)))
+            # Whole documents per piece: cut where the row changes.
+            start = 0
+            while start < len(row):
+                end = len(row) if start + step >= len(row) else max(int(np.searchsorted(row, row[start + step])), int(np.searchsorted(row, row[start], "right")))
+                first = np.flatnonzero(np.diff(row[start:end], prepend=-1))
+                scores = np.add.reduceat(saturated[start:end, None] * weights[term[start:end]], first, axis=0)
+                best.add(ids[row[start:end][first]], np.round(scores, SCORE_DIGITS))
+                start = end
+        yield from best.batches(["claim_id", "doc_id", "bm25_score"], types[1], types[0])
 
-def _is_small(df: DataFrame, bound: int = 200_000) -> bool:
-    return df.limit(bound + 1).count() <= bound
+    return run
 
 
-# --- hashed vectors -----------------------------------------------------------
+# --- hashed vectors --------------------------------------------------------------------
 
 
-def _hash(term: Column) -> Column:
-    return F.conv(F.substr(F.md5(term), F.lit(1), F.lit(15)), 16, 10).cast("long")
+def _hash(term: str) -> int:
+    return int(hashlib.md5(term.encode()).hexdigest()[:15], 16)
 
 
 def hash_embed(df: DataFrame, id_col: str, text: Column, dim: int = DIM) -> DataFrame:
     """(id, vector): signed hashed bag of words, 1 + ln(tf), unit length.
 
-    The vector is sparse: an array of (bucket, weight) sorted by bucket, at most
-    ``dim`` long.  Texts without tokens get an empty vector.  One shuffle, by id.
+    The vector is sparse, ``struct<buckets, weights>`` sorted by bucket and at most
+    ``dim`` long; texts without tokens get an empty one.  Rows never leave their
+    partition.
     """
-    words = df.select(id_col, F.explode_outer(tx.tokens(text)).alias("term")).repartition(id_col)
-    terms = words.groupBy(id_col, "term").agg(F.count("*").alias("tf"))
-    sign = F.when(F.pmod(F.pmod(_hash(F.concat("term", F.lit("#sign"))), F.lit(dim)), F.lit(2)) == 0, 1.0).otherwise(-1.0)
-    hashed = terms.select(
-        id_col, F.pmod(_hash(F.col("term")), F.lit(dim)).cast("int").alias("bucket"), (sign * (1.0 + F.log("tf"))).alias("w")
-    )
-    buckets = hashed.groupBy(id_col, "bucket").agg(F.round(F.sum("w"), 12).alias("w"))
-    kept = F.when(F.col("bucket").isNotNull(), F.struct("bucket", "w"))
-    vectors = buckets.groupBy(id_col).agg(F.array_sort(F.collect_list(kept)).alias("v"))
-
-    def unit(v: Column) -> Column:
-        norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, e: s + e["w"] * e["w"]))
-        return let(norm, lambda n: F.transform(v, lambda e: F.struct(e["bucket"].alias("bucket"), F.when(n > 0, e["w"] / n).otherwise(0.0).alias("weight"))))
 
-    return vectors.select(id_col, unit(F.col("v")).alias("vector"))
+    def embed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, tuple[int, float]] = {}
+        for batch in batches:
+            row, words = _lists(batch.column("tokens"))
+            coded = pc.dictionary_encode(words)
+            names = coded.dictionary.to_pylist()
+            if len(known) > 1_000_000:
+                known.clear()
+            for t in names:
+                if t not in known:
+                    known[t] = (_hash(t) % dim, 1.0 if _hash(t + "#sign") % dim % 2 == 0 else -1.0)
+            place = np.array([known[t] for t in names]).reshape(-1, 2)
+            n_words = max(1, len(names))
+            pair, tf = np.unique(row * n_words + coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), return_counts=True)
+            word = pair % n_words
+            weight = place[word, 1] * (1.0 + np.log(tf))
+            cell, where = np.unique((pair // n_words) * dim + place[word, 0].astype(np.int64), return_inverse=True)
+            total = np.round(np.bincount(where, weight, len(cell)).astype(float), 12)
+            owner = cell // dim
+            norm = np.sqrt(np.bincount(owner, total * total, batch.num_rows))[owner]
+            unit = np.divide(total, norm, out=np.zeros_like(total), where=norm > 0)
+            offsets = np.searchsorted(owner, np.arange(batch.num_rows + 1)).astype(np.int32)
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(v)) for v in ((cell % dim).astype(np.int32), unit)]
+            vector = pa.StructArray.from_arrays(lists, ["buckets", "weights"])
+            yield pa.RecordBatch.from_arrays([batch.column(id_col), vector], [id_col, "vector"])
+
+    id_type = df.schema[id_col].dataType.simpleString()
+    return df.select(id_col, tx.tokens(text).alias("tokens")).mapInArrow(
+        embed, f"{id_col} {id_type}, vector struct<buckets:array<int>,weights:array<double>>"
+    )
 
 
-def _matrix(vectors: pd.Series, dim: int | None) -> np.ndarray:
-    """Dense rows out of sparse (bucket, weight) lists or plain number lists."""
-    rows = vectors.to_numpy()
+def _dense(column: pa.Array, dim: int | None) -> np.ndarray:
+    """Unit rows out of sparse vectors, or out of plain number lists when ``dim`` is None."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     if dim is None:
-        return np.stack([np.asarray(r, dtype=np.float64) for r in rows]) if len(rows) else np.zeros((0, 0))
-    out = np.zeros((len(rows), dim))
-    for i, row in enumerate(rows):
-        for e in row if row is not None else ():
-            out[i, e["bucket"]] = e["weight"]
-    return out
-
-
-def _normalised(m: np.ndarray) -> np.ndarray:
-    norms = np.linalg.norm(m, axis=1, keepdims=True)
-    return np.divide(m, norms, out=np.zeros_like(m), where=norms > 0)
-
-
-def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
-    """Positions of the k best by (score descending, id ascending)."""
-    if len(scores) > k:
-        floor = np.partition(scores, len(scores) - k)[len(scores) - k]
-        pool = np.flatnonzero(scores >= floor)
+        row, values = _lists(column)
+        width = len(values) // max(1, len(column))
+        out = values.to_numpy(zero_copy_only=False).astype(float).reshape(len(column), width)
     else:
-        pool = np.arange(len(scores))
-    return pool[np.lexsort((ids[pool], -scores[pool]))[:k]]
+        out = np.zeros((len(column), dim))
+        row, buckets = _lists(column.field("buckets"))
+        out[row, buckets.to_numpy(zero_copy_only=False)] = column.field("weights").flatten().to_numpy(zero_copy_only=False)
+    norms = np.linalg.norm(out, axis=1, keepdims=True)
+    return np.divide(out, norms, out=np.zeros_like(out), where=norms > 0)
 
 
 def vector_topk(queries: DataFrame, docs: DataFrame, k: int = POOL, dim: int | None = DIM, block: int = QUERY_BLOCK) -> DataFrame:
     """Exact cosine top-k: (query_id, doc_id, vector_score, rank).
 
-    ``queries`` is (query_id, vector), ``docs`` is (doc_id, vector), sparse when
-    ``dim`` is given and plain arrays otherwise.  There is no similarity floor.
+    ``queries`` is (query_id, vector), ``docs`` is (doc_id, vector): sparse when ``dim``
+    is given, arrays of numbers otherwise.  There is no similarity floor.
 
-    The corpus is scanned where it lies.  A block of query vectors (bounded size)
-    is broadcast, each task keeps a running top-k per query over its Arrow
-    batches, and k rows per query and task are all that is shuffled.  More
-    queries than one block mean more passes, never a bigger broadcast.
+    The corpus is scanned where it lies.  A block of query vectors (bounded size) is
+    broadcast, each task keeps a running top-k per query over its Arrow batches, and
+    k rows per query and task are all that is shuffled.  More queries than one block
+    mean more passes, never a bigger broadcast.
     """
     spark = docs.sparkSession
-    n_blocks = max(1, math.ceil(queries.count() / block))
+    types = _arrow_types(queries, "query_id") + _arrow_types(docs, "doc_id")
     schema = f"query_id {queries.schema['query_id'].dataType.simpleString()}, doc_id {docs.schema['doc_id'].dataType.simpleString()}, vector_score double"
+    n_blocks = max(1, math.ceil(queries.count() / block))
     parts = []
-    for n in range(n_blocks):
-        mine = queries if n_blocks == 1 else queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)) == n)
-        table = mine.select("query_id", "vector").toPandas()
-        if table.empty:
-            continue
-        shared = spark.sparkContext.broadcast((table["query_id"].to_numpy(), _normalised(_matrix(table["vector"], dim))))
-        parts.append(docs.select("doc_id", "vector").mapInPandas(_scan(shared, k, dim), schema))
-    if not parts:
-        empty = docs.sparkSession.createDataFrame([], schema)
-        return empty.withColumn("rank", F.lit(0))
-    found = parts[0]
-    for part in parts[1:]:
-        found = found.unionByName(part)
-    return top_k(found, "query_id", "vector_score", "doc_id", k)
+    for i in range(n_blocks):
+        mine = queries if n_blocks == 1 else queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)) == i)
+        table = mine.select("query_id", "vector").toArrow()
+        if table.num_rows:
+            shared = spark.sparkContext.broadcast((np.array(table.column("query_id").to_pylist()), _dense(table.column("vector"), dim)))
+            parts.append(docs.select("doc_id", "vector").mapInArrow(_score_vectors(shared, k, dim, types), schema))
+    return top_k(_union_or_empty(parts, spark, schema), "query_id", "vector_score", "doc_id", k)
 
 
-def _scan(shared, k: int, dim: int | None):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _score_vectors(shared, k: int, dim: int | None, types: list[pa.DataType]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         query_ids, queries = shared.value
-        best: list[tuple[np.ndarray, np.ndarray] | None] = [None] * len(query_ids)
+        best = _RunningTopK(query_ids, k, positive_only=False)
         for batch in batches:
-            if batch.empty:
-                continue
-            ids = batch["doc_id"].to_numpy()
-            scores = np.round(_normalised(_matrix(batch["vector"], dim)) @ queries.T, SCORE_DIGITS)
-            for q in range(len(query_ids)):
-                column, these = scores[:, q], ids
-                if best[q] is not None:
-                    these, column = np.concatenate([best[q][0], ids]), np.concatenate([best[q][1], column])
-                keep = _best(these, column, k)
-                best[q] = (these[keep], column[keep])
-        for q, found in enumerate(best):
-            if found is not None:
-                yield pd.DataFrame({"query_id": query_ids[q], "doc_id": found[0], "vector_score": found[1] + 0.0})
+            if batch.num_rows:
+                scores = np.round(_dense(batch.column("vector"), dim) @ queries.T, SCORE_DIGITS)
+                best.add(batch.column("doc_id").to_numpy(zero_copy_only=False), scores)
+        yield from best.batches(["query_id", "doc_id", "vector_score"], types[1], types[0])
 
     return run
 

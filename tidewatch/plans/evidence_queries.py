@@ -73,9 +73,7 @@ _VIEWS = ["v_claims", "v_corpus", "v_sources"]
 
 def _statistics(s, sf):
     claims, docs, _ = _inputs(s, sf)
-    every = docs.select("doc_id", tx.tokens(F.col("text")).alias("t")).select(F.explode("t").alias("term")).unionByName(
-        s.range(1).select(F.lit("").alias("term"))).distinct()
-    stats = rt.collection_statistics(rt.postings(docs, every))
+    stats = rt.collection_statistics(docs)
     return stats.select("term", "df", sc.stable_round(F.col("idf"), 6).alias("idf"), "n_docs", sc.stable_round(F.col("avg_len"), 6).alias("avg_len"))
 
 
@@ -91,8 +89,8 @@ _register(
 )
 _register(
     "r02_hash_embed",
-    lambda s, sf: sc.explode_rows(rt.embed_docs(_inputs(s, sf)[1]), ["doc_id"], F.col("vector")).select(
-        "doc_id", "item.bucket", (sc.stable_round(F.col("item.weight"), 6) + 0.0).alias("weight")),
+    lambda s, sf: sc.explode_rows(rt.embed_docs(_inputs(s, sf)[1]), ["doc_id"], F.arrays_zip("vector.buckets", "vector.weights")).select(
+        "doc_id", F.col("item.buckets").alias("bucket"), (sc.stable_round(F.col("item.weights"), 6) + 0.0).alias("weight")),
     with_views(_VIEWS, f"SELECT doc_id, bucket::INT AS bucket, {_dec('w', 6)} AS weight FROM dvec", _PLAIN | _SEARCH),
 )
 

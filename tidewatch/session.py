@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import shutil
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,12 +32,30 @@ def build_session(app: str = "tidewatch", master: str | None = None, shuffle_par
         builder = builder.master(master)
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-    return builder.getOrCreate()
+    session = builder.getOrCreate()
+    prepare(session)
+    return session
 
 
 def prepare(spark: SparkSession) -> None:
     """Settings a session from elsewhere needs too: all timestamps in the data model are UTC."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+    _ship_package(spark)
+
+
+_shipped: set[str] = set()
+
+
+def _ship_package(spark: SparkSession) -> None:
+    """Python workers import this package; executors get it as a zip, once per application."""
+    app = spark.sparkContext.applicationId
+    if app not in _shipped:
+        package = os.path.dirname(os.path.abspath(__file__))
+        archive = shutil.make_archive(
+            os.path.join(tempfile.mkdtemp(), os.path.basename(package)), "zip", os.path.dirname(package), os.path.basename(package)
+        )
+        spark.sparkContext.addPyFile(archive)
+        _shipped.add(app)
 
 
 def spread_small_scan(df: DataFrame, bytes_per_core: int = 32 << 20) -> DataFrame:
