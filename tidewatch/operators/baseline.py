@@ -201,10 +201,10 @@ def fit_baseline(
     benign: DataFrame, id_col: str = "flow_id", trees: int = TREES, percentile: float = 0.99, reconstruction: bool = True, seed: int = 42
 ) -> FlowBaseline:
     """Fit on feature rows taken to be benign; labels are never read."""
-    n = benign.count()
+    row = fl.scaler(benign, counted=True).first()
+    n = row["n"]
     if n < MIN_ROWS:
         raise ValueError(f"a baseline needs at least {MIN_ROWS} flows, got {n}")
-    row = fl.scaler(benign).first()
     means, stds = ({f: float(row[f][key]) for f in fl.FEATURES} for key in ("mean", "std"))
     scaled = fl.scale(benign.select(id_col, *fl.FEATURES), means, stds)
     model = FlowBaseline(means, stds, *grow_forest(scaled, id_col, n, trees, seed))

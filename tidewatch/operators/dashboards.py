@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.functions import scoring as sc
-from tidewatch.session import broadcast_if_small
+from tidewatch.session import broadcast_if_small, cut_lineage
 
 MODULES = ("email", "news", "network")
 
@@ -215,7 +215,7 @@ def forecast_series(forecasts: DataFrame, tenant_id, series: str) -> DataFrame:
 def latest_forecasts(forecasts: DataFrame) -> DataFrame:
     """The latest run of every (tenant, series)."""
     keys = ["tenant_id", "series"]
-    latest = forecasts.groupBy(*keys).agg(F.max("issued_at").alias("issued_at"))
+    latest = cut_lineage(forecasts.groupBy(*keys).agg(F.max("issued_at").alias("issued_at")))
     return forecasts.join(broadcast_if_small(latest), [*keys, "issued_at"])
 
 

@@ -90,7 +90,7 @@ def message_signals(parsed: DataFrame) -> DataFrame:
 
 def derive_signals(df: DataFrame) -> DataFrame:
     """Second step, shared with callers that bring their own parsed columns."""
-    out = df.withColumns(
+    out = df.withColumn("display", F.lower("from_display")).withColumns(
         {
             "dkim_aligned": F.when(
                 (F.col("dkim_domain") != "") & (F.col("from_domain") != ""),
@@ -102,6 +102,8 @@ def derive_signals(df: DataFrame) -> DataFrame:
             "urls": ul.link_findings(F.col("plain"), F.col("html")),
             "brand_key": dm.brand_key(dm.host_label(F.col("from_domain"))),
             "brand_label": dm.host_label(F.col("from_domain")),
+            "display_domain": ul.claimed_domain(F.col("from_display")),
+            "display_brand": F.coalesce(*[F.when(F.col("display").contains(b), F.lit(b)) for b in fv.BRANDS]),
         }
     )
     lowered = F.lower(F.concat_ws(" ", F.coalesce(F.col("subject"), F.lit("")), F.col("body_text")))
@@ -113,7 +115,7 @@ def derive_signals(df: DataFrame) -> DataFrame:
             "from_brand_distance": dm.brand_distance(F.col("brand_key"), F.col("brand_label")),
         }
         | hits
-    ).drop("brand_key", "brand_label")
+    ).drop("brand_key", "brand_label", "display")
 
 
 # --- features -----------------------------------------------------------------
@@ -207,9 +209,7 @@ def _say(template: str, *parts: Column) -> Column:
 def _message_rules() -> list[tuple[Column, Column]]:
     spf, dkim, dmarc = (F.col(m) for m in AUTH_METHODS)
     sender = F.col("from_domain")
-    claimed = ul.claimed_domain(F.col("from_display"))
-    display = F.lower("from_display")
-    brand = F.coalesce(*[F.when(display.contains(b), F.lit(b)) for b in fv.BRANDS])
+    claimed, brand = F.col("display_domain"), F.col("display_brand")
     return [
         (spf.isin("fail", "softfail"), _indicator("SPF_FAIL", "high", 0.25, _say("SPF %s for %s", spf, sender))),
         (dkim == "fail", _indicator("DKIM_FAIL", "high", 0.25, F.lit("DKIM signature does not verify"))),

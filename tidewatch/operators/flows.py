@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions import fixed_values as fv
 from tidewatch.functions.scoring import explode_rows, let, stable_round
-from tidewatch.session import broadcast_if_small
+from tidewatch.session import broadcast_if_small, cut_lineage
 
 FEATURES = fv.FLOW_FEATURES
 CLIP = 10.0
@@ -17,22 +17,23 @@ BENIGN_LABELS = ("BENIGN", "NORMAL")
 # --- features -------------------------------------------------------------------
 
 
-def list_stats(values: Column) -> dict[str, Column]:
-    """Mean, population deviation and maximum of an array; 0 when it is empty."""
-    numbers = F.transform(F.coalesce(values, F.array().cast("array<double>")), lambda v: v.cast("double"))
+def list_stats(values: Column) -> Column:
+    """``struct(mean, std, max)`` of an array, population deviation; zeros when it is empty."""
+    numbers = F.transform(values, lambda v: v.cast("double"))
 
     def summed(v: Column, of) -> Column:
         return F.aggregate(v, F.lit(0.0), lambda s, x: s + of(x))
 
-    mean = let(numbers, lambda v: F.when(F.size(v) > 0, summed(v, lambda x: x) / F.size(v)).otherwise(0.0))
-    deviation = let(
-        numbers,
-        lambda v: F.when(
-            F.size(v) > 0,
-            let(summed(v, lambda x: x) / F.size(v), lambda m: F.sqrt(summed(v, lambda x: (x - m) * (x - m)) / F.size(v))),
-        ).otherwise(0.0),
-    )
-    return {"mean": mean, "std": deviation, "max": F.coalesce(F.array_max(numbers), F.lit(0.0))}
+    def stats(v: Column) -> Column:
+        return let(
+            summed(v, lambda x: x) / F.size(v),
+            lambda m: F.struct(
+                m.alias("mean"), F.sqrt(summed(v, lambda x: (x - m) * (x - m)) / F.size(v)).alias("std"), F.array_max(v).alias("max")
+            ),
+        )
+
+    zeros = F.struct(*[F.lit(0.0).alias(n) for n in ("mean", "std", "max")])
+    return F.when(F.size(values) > 0, let(numbers, stats)).otherwise(zeros)
 
 
 def flow_features(flows: DataFrame, keep: tuple[str, ...] = ("flow_id", "ts", "src_ip", "dst_ip", "label")) -> DataFrame:
@@ -54,17 +55,20 @@ def flow_features(flows: DataFrame, keep: tuple[str, ...] = ("flow_id", "ts", "s
         "dst_port": port,
         "is_wellknown_port": ((port > 0) & (port < 1024)).cast("double"),
     }
-    for prefix, column in lists.items():
-        values |= {f"{prefix}_{name}": stat for name, stat in list_stats(F.col(column)).items()}
+    for prefix in lists:
+        values |= {f"{prefix}_{name}": F.col(f"_{prefix}")[name] for name in ("mean", "std", "max")}
     for name in ("syn", "fin", "rst", "psh", "ack", "urg"):
         values[f"{name}_count"] = F.coalesce(F.col("_flags")[name].cast("double"), F.lit(0.0))
     for name in ("tcp", "udp", "icmp"):
         values[f"protocol_{name}"] = (protocol == name).cast("double")
+    kept = [c for c in keep if c in flows.columns]
 
-    def finite(c: Column) -> Column:
-        return F.when(F.isnan(c) | (F.abs(c) == float("inf")), 0.0).otherwise(c)
+    def finite(c: str) -> Column:
+        return F.when(F.isnan(c) | (F.abs(c) == float("inf")), 0.0).otherwise(F.col(c)).alias(c)
 
-    return flows.withColumn("_flags", flags).select(*[c for c in keep if c in flows.columns], *[finite(values[f]).alias(f) for f in FEATURES])
+    # Three steps, so that list statistics are worked out once and not once per use.
+    prepared = flows.withColumns({"_flags": flags} | {f"_{prefix}": list_stats(F.col(column)) for prefix, column in lists.items()})
+    return prepared.select(*kept, *[values[f].alias(f) for f in FEATURES]).select(*kept, *[finite(f) for f in FEATURES])
 
 
 # --- rule triage ----------------------------------------------------------------
@@ -77,7 +81,9 @@ def flow_rules(log: DataFrame, batch_key: str) -> DataFrame:
     source that holds most of a batch is counted by partial sums and never gathers
     in one task.
     """
-    sources = log.filter("source_ip IS NOT NULL").groupBy(batch_key, "source_ip").agg(F.count("*").alias("from_source"))
+    per_source = log.filter("source_ip IS NOT NULL").groupBy(batch_key, "source_ip").agg(F.count("*").alias("from_source"))
+    # Written once: its real size decides on the broadcast without counting the log twice.
+    sources = cut_lineage(per_source)
     counted = log.join(broadcast_if_small(sources), [batch_key, "source_ip"], "left").withColumn("from_source", F.coalesce("from_source", F.lit(0)))
     flags = F.upper(F.coalesce("flags", F.lit("")))
     size = F.coalesce("packet_size", F.lit(0))
@@ -127,10 +133,11 @@ def flow_triage(log: DataFrame, batch_key: str, shown: int = 6) -> DataFrame:
 # --- scaling, scores, attribution -------------------------------------------------
 
 
-def scaler(features: DataFrame) -> DataFrame:
-    """One row: mean and deviation per feature, with a floor for constant columns."""
-    stats = features.agg(*[F.struct(F.avg(f).alias("mean"), F.stddev_pop(f).alias("std")).alias(f) for f in FEATURES])
+def scaler(features: DataFrame, counted: bool = False) -> DataFrame:
+    """One row: mean and deviation per feature, with a floor for constant columns, and ``n`` if asked."""
+    stats = features.agg(F.count("*").alias("n"), *[F.struct(F.avg(f).alias("mean"), F.stddev_pop(f).alias("std")).alias(f) for f in FEATURES])
     return stats.select(
+        *(["n"] if counted else []),
         *[F.struct(F.col(f"{f}.mean").alias("mean"), F.when(F.col(f"{f}.std") < 1e-9, 1.0).otherwise(F.col(f"{f}.std")).alias("std")).alias(f) for f in FEATURES]
     )
 

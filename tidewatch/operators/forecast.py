@@ -77,7 +77,8 @@ def _predict(train: DataFrame, targets: DataFrame, keys: list[str], quantiles: t
     joined = wanted.join(weekly, [*keys, "day", "hour"], "left").join(daily, [*keys, "hour"], "left")
     picked = F.when(F.coalesce("week_n", F.lit(0)) >= MIN_SLOT_VALUES, F.col("week_q")).otherwise(F.col("hour_of_day_q"))
     names = [f"p{int(round(q * 100))}" for q in quantiles]
-    return joined.withColumn("_q", picked).select(*targets.columns, *[F.col("_q")[i].alias(n) for i, n in enumerate(names)])
+    # Rounded, so that a value that equals a quantile counts as inside the band.
+    return joined.withColumn("_q", picked).select(*targets.columns, *[F.round(F.col("_q")[i], 9).alias(n) for i, n in enumerate(names)])
 
 
 def quantile_forecast(series: DataFrame, horizon: int = 48, quantiles: tuple[float, ...] = QUANTILES, need_hours: int = MIN_HISTORY_HOURS) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.functions import text as tx
-from tidewatch.functions.scoring import stable_round
+from tidewatch.functions.scoring import explode_rows, stable_round
 from tidewatch.operators import retrieval as rt
 from tidewatch.session import broadcast_if_small, cut_lineage
 
@@ -128,11 +128,25 @@ def article_verdict(score: Column, supported: Column, refuted: Column, insuffici
     )
 
 
-def article_credibility(articles: DataFrame, verdicts: DataFrame) -> DataFrame:
+def _first_citations(verdicts: DataFrame, top: int) -> DataFrame:
+    """(article_id, n_citations, citations): distinct addresses in claim order, the first ``top``.
+
+    Each address is folded to its first place on the map side and each partition is
+    cut to ``top`` per article, so an article with very many claims is no big group.
+    """
+    cited = explode_rows(verdicts, ["article_id", "position"], F.col("citations"), "place")
+    first = cited.groupBy("article_id", F.col("item").alias("url")).agg(F.min(F.struct("position", "place")).alias("at"))
+    counts = first.groupBy("article_id").agg(F.count("*").alias("n_citations"))
+    order = Window.partitionBy("article_id").orderBy("at", "url")
+    kept = first.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= top)
+    listed = kept.groupBy("article_id").agg(F.array_sort(F.collect_list(F.struct("r", "url"))).alias("l"))
+    return counts.join(listed, "article_id").select("article_id", "n_citations", F.transform("l", lambda e: e["url"]).alias("citations"))
+
+
+def article_credibility(articles: DataFrame, verdicts: DataFrame, max_sources: int = 12) -> DataFrame:
     """(article_id, score, verdict, counts, decisive, citations) for every article.
 
-    ``verdicts`` carries article_id and position.  Citations are the distinct
-    addresses in claim order.
+    ``verdicts`` carries article_id and position.
     """
     lean = (
         F.when(F.col("label") == "supported", 0.5 + 0.5 * F.col("confidence"))
@@ -149,25 +163,22 @@ def article_credibility(articles: DataFrame, verdicts: DataFrame) -> DataFrame:
         n("refuted").alias("refuted"),
         n("insufficient_evidence").alias("insufficient"),
         F.avg(lean).alias("mean"),
-        F.array_sort(F.collect_list(F.struct("position", "citations"))).alias("ordered"),
     )
-    joined = articles.select("article_id").join(folded, "article_id", "left")
-    counts = {c: F.coalesce(c, F.lit(0)) for c in ("claims_checked", "supported", "refuted", "insufficient")}
+    joined = articles.select("article_id").join(folded, "article_id", "left").join(_first_citations(verdicts, max_sources), "article_id", "left")
+    counts = {c: F.coalesce(c, F.lit(0)) for c in ("claims_checked", "supported", "refuted", "insufficient", "n_citations")}
     scored = joined.withColumns(
         counts
         | {
             # The mean of values in 0..1 needs no clipping; an article without claims reads 50.
             "score": F.coalesce(F.bround(F.round(100 * F.col("mean"), 9), 0), F.lit(50)).cast("int"),
-            "citations": F.coalesce(
-                F.array_distinct(F.flatten(F.transform("ordered", lambda o: o["citations"]))), F.array().cast("array<string>")
-            ),
+            "citations": F.coalesce("citations", F.array().cast("array<string>")),
         }
     )
     return scored.select(
         "article_id", "score",
         article_verdict(F.col("score"), F.col("supported"), F.col("refuted"), F.col("insufficient")).alias("verdict"),
         "claims_checked", "supported", "refuted", "insufficient",
-        ((F.col("supported") + F.col("refuted")) > 0).alias("decisive"), "citations",
+        ((F.col("supported") + F.col("refuted")) > 0).alias("decisive"), "n_citations", "citations",
     )
 
 

@@ -73,7 +73,7 @@ _LOSSY = [f for f in fv.FLOW_FEATURES if f.endswith(("_mean", "_std", "_max", "_
 
 _register(
     "n01_f26_f27_flow_features",
-    lambda s, sf: _features(s, sf).withColumns({f: sc.stable_round(F.col(f), 6) for f in _LOSSY}),
+    lambda s, sf: _features(s, sf, spread=True).withColumns({f: sc.stable_round(F.col(f), 6) for f in _LOSSY}),
     with_views(["v_flow"], "SELECT * REPLACE (" + ", ".join(f"{_dec(f, 6)} AS {f}" for f in _LOSSY) + ") FROM feats", _FEATS),
 )
 _LOG_RULES = {

@@ -77,7 +77,7 @@ _HOURS = {
 def _quantiles(source: str, keys: str) -> str:
     on_week = " AND ".join(f"w.{k} = t.{k}" for k in keys.split(", "))
     on_day = " AND ".join(f"h.{k} = t.{k}" for k in keys.split(", "))
-    qs = ", ".join(f"quantile_cont(value, {q}) AS q{int(q * 100)}" for q in fc.QUANTILES)
+    qs = ", ".join(f"round(quantile_cont(value, {q}), 9) AS q{int(q * 100)}" for q in fc.QUANTILES)
     pick = ", ".join(f"CASE WHEN coalesce(w.n, 0) >= 3 THEN w.q{p} ELSE h.q{p} END AS p{p}" for p in (10, 50, 90))
     return f"""
 , slot AS (SELECT *, isodow(ts) AS dw, hour(ts) AS hr FROM {source}),
@@ -239,7 +239,7 @@ def _live_scores(s, sf):
     prepare(s)
     schema = s.read.parquet(f"{sf}/documents.parquet").schema
     docs = s.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(sf)
-    messages = email_queries.raw_messages(docs)
+    messages = email_queries.raw_messages(docs.repartition(s.sparkContext.defaultParallelism))
     path, checkpoint = scratch_path(s, "scores"), scratch_path(s, "scores-state")
     scored = em.score_messages(messages).select("msg_id", "from_domain", "verdict", "risk_score", F.size("indicators").alias("n"))
     _finish(jobs.write_batches(scored, path, checkpoint, trigger=_NOW))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.functions import fixed_values as fv
-from tidewatch.session import broadcast_if_small
+from tidewatch.session import broadcast_if_small, cut_lineage
 
 FLOW_SCHEMA = (
     "flow_id string, ts timestamp, src_ip string, dst_ip string, src_port int, dst_port int, protocol string, "
@@ -66,7 +66,8 @@ def conn_records(lines: DataFrame) -> DataFrame:
     per file is assumed.
     """
     trimmed = lines.select("path", F.trim("value").alias("line")).filter(F.col("line") != "")
-    headers = (
+    # One short row per file, written once so that its size is known before the join.
+    headers = cut_lineage(
         trimmed.filter(F.col("line").startswith("#fields"))
         .groupBy("path")
         .agg(F.max("line").alias("header"))

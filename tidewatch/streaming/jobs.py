@@ -67,7 +67,8 @@ def read_rollup(spark: SparkSession, path: str) -> DataFrame:
 def refresh_rollup(detections: DataFrame, path: str) -> None:
     """Full refresh; also the first fill.  Days are the partitions, as readers ask by time."""
     rollup = d.hourly_rollup(detections).withColumn("date", F.to_date("bucket"))
-    rollup.repartition("date").write.mode("overwrite").partitionBy("date").parquet(path)
+    spread = F.pmod(F.xxhash64("tenant_id", "threat_type"), F.lit(8))
+    rollup.repartition("date", spread).write.mode("overwrite").partitionBy("date").parquet(path)
 
 
 # --- events -----------------------------------------------------------------------------
