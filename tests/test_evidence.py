@@ -160,3 +160,16 @@ def test_corpus_reader(spark, docs, sources):
     assert got == {1: 0.95, 2: 0.9, 3: 0.88}
     assert [r["doc_id"] for r in cp.read_corpus(kinds, sources, newest=1).collect()] == [3]
     assert cp.seed_sources(spark).count() == 7
+
+
+def test_blocks_of_claims_give_the_same_answer(spark, docs):
+    asked = claims(spark, *[f"bridge storm {w}" for w in ("roads", "water rumour", "shop garden", "2021", "dust floor", "pillars")])
+    whole = {tuple(r) for r in rt.bm25(asked, docs).collect()}
+    assert whole == {tuple(r) for r in rt.bm25(asked, docs, block=2).collect()}
+
+
+def test_one_row_pieces_give_the_same_answer(spark, docs, monkeypatch):
+    asked = claims(spark, "bridge storm 2021", "tap water dust")
+    whole = [{tuple(r) for r in df.collect()} for df in (rt.bm25(asked, docs), rt.vector_topk(rt.embed_claims(asked), rt.embed_docs(docs)))]
+    monkeypatch.setattr(rt, "CELLS", 1)
+    assert whole == [{tuple(r) for r in df.collect()} for df in (rt.bm25(asked, docs), rt.vector_topk(rt.embed_claims(asked), rt.embed_docs(docs)))]

@@ -206,7 +206,9 @@ def fit_baseline(
     if n < MIN_ROWS:
         raise ValueError(f"a baseline needs at least {MIN_ROWS} flows, got {n}")
     means, stds = ({f: float(row[f][key]) for f in fl.FEATURES} for key in ("mean", "std"))
-    scaled = fl.scale(benign.select(id_col, *fl.FEATURES), means, stds)
+    # Written once: sample, covariance, ranges and percentile read thirty numbers per
+    # row from here instead of deriving the features again.
+    scaled = cut_lineage(fl.scale(benign.select(id_col, *fl.FEATURES), means, stds))
     model = FlowBaseline(means, stds, *grow_forest(scaled, id_col, n, trees, seed))
     if reconstruction and n >= MIN_ROWS_RECONSTRUCTION:
         center = scaled.agg(*[F.avg(f).alias(f) for f in fl.FEATURES]).first()

@@ -10,6 +10,7 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -29,6 +30,8 @@ RRF_K = 60
 POOL = 50
 DIM = 768
 QUERY_BLOCK = 2048  # query vectors broadcast at a time: 2048 x 768 doubles are 12 MB
+ASKED_BLOCK = 100_000  # (claim, term) pairs broadcast at a time
+CELLS = 4_000_000  # scores worked on at a time in a task: 32 MB
 SCORE_DIGITS = 9  # ranks must not depend on the last bits of a float sum
 
 
@@ -88,15 +91,12 @@ def _lists(column: pa.Array) -> tuple[np.ndarray, pa.Array]:
     return np.repeat(np.arange(len(column)), lengths), column.flatten()
 
 
-def _query_blocks(queries: DataFrame, key: str, block: int) -> Iterator[pd.DataFrame]:
-    """The queries in pieces of about ``block``, each small enough to be broadcast."""
-    n = queries.select(key).distinct().count()
-    pieces = max(1, math.ceil(n / block))
-    for i in range(pieces):
-        part = queries if pieces == 1 else queries.filter(F.pmod(F.xxhash64(key), F.lit(pieces)) == i)
-        table = part.toPandas()
-        if not table.empty:
-            yield table
+def _blocks_of(n: int, size: int) -> int:
+    return max(1, math.ceil(n / size))
+
+
+def _in_block(key: str, i: int, n_blocks: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(n_blocks)) == i
 
 
 def _union_or_empty(parts: list[DataFrame], spark, schema: str) -> DataFrame:
@@ -166,46 +166,73 @@ def bm25(claims: DataFrame, docs: DataFrame, k: int = POOL, k1: float = K1, b: f
     corpus = tokenised(docs)
     types = _arrow_types(claims, "claim_id") + _arrow_types(docs, "doc_id")
     schema = f"claim_id {claims.schema['claim_id'].dataType.simpleString()}, doc_id {docs.schema['doc_id'].dataType.simpleString()}, bm25_score double"
+    asked = query_terms(claims)
+    n_claims, n_pairs = asked.agg(F.countDistinct("claim_id"), F.count("*")).first()
+    n_blocks = max(_blocks_of(n_claims, block), _blocks_of(n_pairs, ASKED_BLOCK))
+    if n_blocks > 1:
+        asked = cut_lineage(asked)
     parts = []
-    for asked in _query_blocks(query_terms(claims), "claim_id", block):
-        terms = sorted(asked["term"].unique())
+    for i in range(n_blocks):
+        mine = (asked if n_blocks == 1 else asked.filter(_in_block("claim_id", i, n_blocks))).toPandas()
+        terms = sorted(mine["term"].unique())
         pruned = corpus.withColumn("tokens", _wanted(terms))
-        stats = term_statistics(pruned).toPandas().set_index("term")  # at most one row per asked term
-        if _EVERY_DOC not in stats.index:
+        stats = term_statistics(pruned).toPandas().set_index("term") if terms else None  # at most one row per asked term
+        if stats is None or _EVERY_DOC not in stats.index:
             continue
         n, total_len = (float(x) for x in stats.loc[_EVERY_DOC])
         df = stats["df"].reindex(terms).fillna(0).to_numpy(dtype=float)
         idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
-        ids, row = np.unique(asked["claim_id"].to_numpy(), return_inverse=True)
-        weights = np.zeros((len(terms), len(ids)))
-        column = np.searchsorted(terms, asked["term"].to_numpy())
-        weights[column, row] = asked["asked"].to_numpy() * idf[column]
-        shared = spark.sparkContext.broadcast((ids, pa.array(terms), weights, total_len / n))
+        shared = spark.sparkContext.broadcast(_AskedTerms.of(mine, terms, idf, total_len / n))
         parts.append(pruned.select("doc_id", "len", "tokens").mapInArrow(_score_terms(shared, k, k1, b, types), schema))
     return top_k(_union_or_empty(parts, spark, schema), "claim_id", "bm25_score", "doc_id", k)
 
 
+@dataclass
+class _AskedTerms:
+    """A block of claims as an inverted list: per term the claims asking for it, with their weight."""
+
+    claim_ids: np.ndarray
+    terms: pa.Array
+    start: np.ndarray  # first entry of each term, one more at the end
+    claim: np.ndarray
+    weight: np.ndarray
+    avg_len: float
+
+    @classmethod
+    def of(cls, asked: pd.DataFrame, terms: list[str], idf: np.ndarray, avg_len: float) -> _AskedTerms:
+        ids, claim = np.unique(asked["claim_id"].to_numpy(), return_inverse=True)
+        term = np.searchsorted(np.array(terms), asked["term"].to_numpy(dtype=str))
+        order = np.argsort(term, kind="stable")
+        start = np.searchsorted(term[order], np.arange(len(terms) + 1))
+        return cls(ids, pa.array(terms), start, claim[order], (asked["asked"].to_numpy() * idf[term])[order], avg_len)
+
+    def scores(self, row: np.ndarray, term: np.ndarray, value: np.ndarray, n_rows: int) -> np.ndarray:
+        """(rows, claims) sums of ``value`` times the weight of every claim asking for the posting's term."""
+        times = self.start[term + 1] - self.start[term]
+        entry = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times - self.start[term], times)
+        cell = np.repeat(row, times) * len(self.claim_ids) + self.claim[entry]
+        flat = np.bincount(cell, np.repeat(value, times) * self.weight[entry], n_rows * len(self.claim_ids))
+        return flat.reshape(n_rows, len(self.claim_ids))
+
+
 def _score_terms(shared, k: int, k1: float, b: float, types: list[pa.DataType]):
+    cells = CELLS
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        claim_ids, terms, weights, avg_len = shared.value
-        best = _RunningTopK(claim_ids, k, positive_only=True)
-        step = max(1, 20_000_000 // max(1, weights.shape[1]))  # postings x claims at a time
-        for batch in batches:
-            rows, words = _lists(batch.column("tokens"))
-            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
-            length = batch.column("len").to_numpy(zero_copy_only=False).astype(float)
-            at = pc.index_in(words, terms).to_numpy(zero_copy_only=False).astype(np.int64)
-            posting, tf = np.unique(rows * len(terms) + at, return_counts=True)
-            row, term = posting // len(terms), posting % len(terms)
-            saturated = tf * (k1 + 1) / (tf + k1 * (1 - b + b * length[row] / max(avg_len, 1e-9)))
-            # Whole documents per piece: cut where the row changes.
-            start = 0
-            while start < len(row):
-                end = len(row) if start + step >= len(row) else max(int(np.searchsorted(row, row[start + step])), int(np.searchsorted(row, row[start], "right")))
-                first = np.flatnonzero(np.diff(row[start:end], prepend=-1))
-                scores = np.add.reduceat(saturated[start:end, None] * weights[term[start:end]], first, axis=0)
-                best.add(ids[row[start:end][first]], np.round(scores, SCORE_DIGITS))
-                start = end
+        asked = shared.value
+        best = _RunningTopK(asked.claim_ids, k, positive_only=True)
+        step = max(1, cells // len(asked.claim_ids))  # documents at a time
+        for whole in batches:
+            for at in range(0, whole.num_rows, step):
+                batch = whole.slice(at, step)
+                rows, words = _lists(batch.column("tokens"))
+                length = batch.column("len").to_numpy(zero_copy_only=False).astype(float)
+                index = pc.index_in(words, asked.terms).to_numpy(zero_copy_only=False).astype(np.int64)
+                posting, tf = np.unique(rows * len(asked.terms) + index, return_counts=True)
+                row, term = posting // len(asked.terms), posting % len(asked.terms)
+                saturated = tf * (k1 + 1) / (tf + k1 * (1 - b + b * length[row] / max(asked.avg_len, 1e-9)))
+                scores = asked.scores(row, term, saturated, batch.num_rows)
+                best.add(batch.column("doc_id").to_numpy(zero_copy_only=False), np.round(scores, SCORE_DIGITS))
         yield from best.batches(["claim_id", "doc_id", "bm25_score"], types[1], types[0])
 
     return run
@@ -287,10 +314,12 @@ def vector_topk(queries: DataFrame, docs: DataFrame, k: int = POOL, dim: int | N
     spark = docs.sparkSession
     types = _arrow_types(queries, "query_id") + _arrow_types(docs, "doc_id")
     schema = f"query_id {queries.schema['query_id'].dataType.simpleString()}, doc_id {docs.schema['doc_id'].dataType.simpleString()}, vector_score double"
-    n_blocks = max(1, math.ceil(queries.count() / block))
+    n_blocks = _blocks_of(queries.count(), block)
+    if n_blocks > 1:
+        queries = cut_lineage(queries)
     parts = []
     for i in range(n_blocks):
-        mine = queries if n_blocks == 1 else queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)) == i)
+        mine = queries if n_blocks == 1 else queries.filter(_in_block("query_id", i, n_blocks))
         table = mine.select("query_id", "vector").toArrow()
         if table.num_rows:
             shared = spark.sparkContext.broadcast((np.array(table.column("query_id").to_pylist()), _dense(table.column("vector"), dim)))
@@ -299,11 +328,15 @@ def vector_topk(queries: DataFrame, docs: DataFrame, k: int = POOL, dim: int | N
 
 
 def _score_vectors(shared, k: int, dim: int | None, types: list[pa.DataType]):
+    cells = CELLS
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         query_ids, queries = shared.value
         best = _RunningTopK(query_ids, k, positive_only=False)
-        for batch in batches:
-            if batch.num_rows:
+        step = max(1, cells // len(query_ids))  # documents at a time
+        for whole in batches:
+            for at in range(0, whole.num_rows, step):
+                batch = whole.slice(at, step)
                 scores = np.round(_dense(batch.column("vector"), dim) @ queries.T, SCORE_DIGITS)
                 best.add(batch.column("doc_id").to_numpy(zero_copy_only=False), scores)
         yield from best.batches(["query_id", "doc_id", "vector_score"], types[1], types[0])

@@ -102,7 +102,7 @@ VIEWS = {
                CASE (doc_id + n) % 8 WHEN 0 THEN 'Pants on Fire' WHEN 1 THEN 'Mostly False' WHEN 2 THEN 'Mostly True'
                     WHEN 3 THEN 'True' WHEN 4 THEN 'Misleading' WHEN 5 THEN 'Unproven' WHEN 6 THEN 'Inaccurate' ELSE 'Satire' END AS rating,
                concat('https://pub', CAST(n AS STRING), '.example.net/', CAST(doc_id AS STRING)) AS url
-        FROM {documents} CROSS JOIN (VALUES (0),(1),(2)) AS t(n) WHERE doc_id % 3 = 0""",
+        FROM {documents} JOIN (VALUES (0,0),(0,1),(0,2)) AS t(k,n) ON doc_id % 3 = k""",
     "v_html": """
         SELECT page_id, concat('<p><a href="', url, '">', CASE page_id % 3 WHEN 0 THEN 'see paypal.com' WHEN 1 THEN 'click' ELSE url END,
                '</a> also http://192.168.4.9/x, https://bit.ly/z and https://a.b.c.d.micros0ft.com/</p>', html) AS html
