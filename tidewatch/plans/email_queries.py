@@ -172,10 +172,25 @@ _register(
 
 
 def _explained(s, sf):
-    return em.explain(em.email_risk(_signals(s, sf))).select("msg_id", "explanation")
+    """The numbers and the code the note names."""
+    notes = em.explain(em.email_risk(_signals(s, sf)))
+    number = lambda pattern: F.coalesce(F.regexp_extract("explanation", pattern, 1).try_cast("int"), F.lit(0))
+    return notes.select(
+        "msg_id", number("^([0-9]+) indicator").alias("found"), number("([0-9]+) of high severity").alias("severe"),
+        F.regexp_extract("explanation", "Strongest: ([A-Z_]+) ", 1).alias("strongest"))
 
 
-_register("e06_explain", _explained)
+_register(
+    "e06_explain",
+    _explained,
+    with_views(["v_email", "v_email_parsed"], f"""
+, i AS (SELECT msg_id, {_LIST} AS l FROM s),
+u AS (SELECT msg_id, unnest(l) AS r, unnest(range(len(l))) AS pos FROM i),
+o AS (SELECT *, row_number() OVER (PARTITION BY msg_id ORDER BY (r.severity IN ('high', 'critical')) DESC, r.weight DESC, pos) AS rn FROM u),
+g AS (SELECT msg_id, any_value(r.code) FILTER (WHERE rn = 1) AS strongest FROM o GROUP BY 1)
+SELECT i.msg_id, len(l)::INT AS found, len(list_filter(l, lambda r: r.severity IN ('high', 'critical')))::INT AS severe, coalesce(strongest, '') AS strongest
+FROM i LEFT JOIN g ON g.msg_id = i.msg_id""", _BASE),
+)
 
 
 def _base64url(s, sf):

@@ -58,15 +58,16 @@ def _ship_package(spark: SparkSession) -> None:
         _shipped.add(app)
 
 
-def spread_small_scan(df: DataFrame, bytes_per_core: int = 32 << 20) -> DataFrame:
+def spread_small_scan(df: DataFrame, rows_per_core: int = 50_000) -> DataFrame:
     """Give every core a share of a small input whose rows are costly to work on.
 
-    A file of a few megabytes is one split, hence one task.  Inputs with enough
-    bytes for every core are returned untouched, without a shuffle.
+    A file of a few megabytes is one split, hence one task.  An input with rows
+    enough for every core is returned untouched, without a shuffle; the count stops
+    as soon as that is clear.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return df.repartition(cores) if int(str(size)) < cores * bytes_per_core else df
+    bound = cores * rows_per_core
+    return df.repartition(cores) if df.limit(bound + 1).count() <= bound else df
 
 
 def shared_folder(spark: SparkSession) -> str:
