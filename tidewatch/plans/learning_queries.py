@@ -9,7 +9,9 @@ from tidewatch.functions import scoring as sc
 from tidewatch.operators import email as em
 from tidewatch.operators import forecast as fc
 from tidewatch.operators import learning as ln
-from tidewatch.plans import dashboard_queries, email_queries, flow_queries
+from tidewatch.functions import text as tx
+from tidewatch.plans import dashboard_queries, email_queries, flow_queries, text_queries
+from tidewatch.plans import oracle_sql as osql
 from tidewatch.plans.standins import VIEWS, view, with_views
 from tidewatch.session import prepare, scratch_path
 from tidewatch.streaming import events as ev
@@ -250,6 +252,23 @@ def _batch_scores(s, sf):
     return em.score_messages(email_queries._raw_messages(s, sf)).select("msg_id", "from_domain", "verdict", "risk_score", F.size("indicators").alias("n"))
 
 
-_register("x05_scoring_stream", _live_scores)
-_register("e05_score_messages", _batch_scores)
+_BODY = f"lower('report ' || doc_id || ' ' || regexp_replace(text, '{tx.SPACE}+', ' ', 'g'))"
+_HITS = {c: osql.hits("body", p) for c, p in fv.PRESSURE_PHRASES.items()}
+_SCORED = (
+    with_views([], "", {"docs": "SELECT doc_id, text AS html FROM documents"}).rstrip()
+    + text_queries.findings_sql("docs", "doc_id", "found")
+    + f"""
+, per AS (SELECT doc_id, count(*) AS urls, sum(anchor_mismatch::INT) AS am, sum((is_punycode OR homograph_of IS NOT NULL)::INT) AS ho, sum((lookalike_brand IS NOT NULL)::INT) AS lo,
+   sum(is_ip_literal::INT) AS ip, sum(has_credentials::INT) AS cr, sum(is_shortener::INT) AS sh, sum((subdomain_depth >= 4)::INT) AS de FROM found GROUP BY 1),
+bodies AS (SELECT doc_id, {_BODY} AS body FROM documents),
+cats AS (SELECT doc_id, {' + '.join(f'({h} > 0)::INT' for h in _HITS.values())} AS cats_n, {_HITS['credential_bait']} > 0 AS bait FROM bodies),
+j AS (SELECT cats.*, coalesce(urls, 0) AS urls, coalesce(am, 0) AS am, coalesce(ho, 0) AS ho, coalesce(lo, 0) AS lo, coalesce(ip, 0) AS ip, coalesce(cr, 0) AS cr, coalesce(sh, 0) AS sh,
+   coalesce(de, 0) AS de FROM cats LEFT JOIN per ON per.doc_id = cats.doc_id),
+risked AS (SELECT doc_id, (2 + am + ho + lo + ip + cr + sh + de + (cats_n >= 2)::INT + (bait AND urls > 0)::INT)::INT AS n,
+   {_dec('least(0.99::DOUBLE, 1 - 0.75::DOUBLE * 0.98::DOUBLE * pow(0.75::DOUBLE, am + cr) * pow(0.65::DOUBLE, ho) * pow(0.72::DOUBLE, lo) * pow(0.78::DOUBLE, ip) * pow(0.88::DOUBLE, sh) * pow(0.9::DOUBLE, de) * (1 - CASE WHEN cats_n >= 2 THEN least(0.2::DOUBLE, 0.06::DOUBLE * cats_n) ELSE 0 END) * (CASE WHEN bait AND urls > 0 THEN 0.75::DOUBLE ELSE 1 END))', 4)} AS risk_score FROM j)
+SELECT doc_id AS msg_id, 'example.org' AS from_domain, risk_score, n,
+ CASE WHEN risk_score >= 0.85 THEN 'phishing' WHEN risk_score >= 0.55 THEN 'suspicious' WHEN risk_score >= 0.25 THEN 'low_confidence' ELSE 'benign' END AS verdict FROM risked"""
+)
+_register("x05_scoring_stream", _live_scores, _SCORED)
+_register("e05_score_messages", _batch_scores, _SCORED)
 

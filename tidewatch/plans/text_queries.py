@@ -116,6 +116,12 @@ def url_findings(df, id_col, plain, html):
     return sc.explode_rows(df, [id_col], ul.link_findings(plain, html), "pos").select(id_col, "pos", "item.*")
 
 
+def findings_sql(source, id_col, name):
+    """The findings of ``source`` (id, html) as CTEs, the last one called ``name``."""
+    chain, last = _findings_oracle(source, id_col).rsplit("\nSELECT ", 1)
+    return f"{chain},\n{name} AS (SELECT {last})"
+
+
 def _findings_oracle(source, id_col):
     anchor = fv.PATTERN_ANCHOR.replace("(?is)", "").replace("'", "''")
     plain = fv.PATTERN_PLAIN_URL.replace("(?i)", "").replace(r"\s", tx.SPACE.strip("[]")).replace("'", "''")
