@@ -281,6 +281,31 @@ _register("n06_score_flows", lambda s, sf: _score(s, sf).select("flow_id", "labe
 _register("n08_cluster_incidents", lambda s, sf: cl.cluster_incidents(_score(s, sf)).select("cluster_id", "member_count", "max_score", "mean_score", "severity", "source_count", "dest_count", "first_seen", "last_seen"))
 
 
+def _clusters(s, sf):
+    """All flows labelled as attacks, as behaviour vectors with three deviating features."""
+    attacks = view(s, sf, "v_flow").filter("label = 'ATTACK'")
+    z = {"duration_ms": (F.col("raw_value") - 200) / 50, "fwd_packets": (F.col("fwd_packets") - 20) / 5, "bwd_packets": (F.col("bwd_packets") - 30) / 10}
+    named = F.array(*[F.struct(F.lit(f).alias("feature"), c.alias("z_score")) for f, c in z.items()])
+    rows = attacks.select(F.col("flow_id").alias("id"), cl.behaviour_vector(F.col("raw_value") / 500, named).alias("raw"))
+    return cl.dbscan(rows, eps=0.02, min_samples=3).withColumnRenamed("id", "flow_id")
+
+
+_register(
+    "j10_n08_dbscan",
+    _clusters,
+    with_views(["v_flow"], """
+, a AS (SELECT flow_id, raw_value / 500 AS s, (raw_value - 200) / 50 AS x, (fwd_packets - 20) / 5 AS y, (bwd_packets - 30) / 10 AS z FROM v_flow WHERE label = 'ATTACK'),
+v AS (SELECT flow_id, s / n AS s, x / n AS x, y / n AS y, z / n AS z FROM (SELECT *, sqrt(s*s + x*x + y*y + z*z) AS n FROM a)),
+near AS (SELECT p.flow_id AS p, q.flow_id AS q FROM v p JOIN v q ON 1 - (p.s*q.s + p.x*q.x + p.y*q.y + p.z*q.z) <= 0.02 + 1e-12),
+core AS (SELECT p FROM near GROUP BY p HAVING count(*) >= 3),
+link AS (SELECT p, q FROM near WHERE p IN (SELECT p FROM core) AND q IN (SELECT p FROM core)),
+reach AS (SELECT p AS node, p AS seen FROM core UNION SELECT r.node, l.q FROM reach r JOIN link l ON l.p = r.seen),
+comp AS (SELECT node, min(seen) AS cluster_id FROM reach GROUP BY 1)
+SELECT node AS flow_id, cluster_id FROM comp
+UNION ALL SELECT n.p, min(c.cluster_id) FROM near n JOIN comp c ON c.node = n.q WHERE n.p NOT IN (SELECT p FROM core) GROUP BY 1""").replace("WITH ", "WITH RECURSIVE ", 1),
+)
+
+
 def _rollup(s, sf):
     """Roll-up over given clusters: the flows of a port and protocol."""
     v = view(s, sf, "v_flow")
