@@ -6,7 +6,7 @@ import public_tokenizers
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewatch.llm import decontamination, token_blocks, token_counts, warc
+from tidewatch.llm import decontamination, line_dedup, quality_rules, token_blocks, token_counts, warc
 from tidewatch.llm.common import table
 
 
@@ -14,10 +14,18 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_pages(table(spark, sf_dir, "pages"))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_dedup(table(spark, sf_dir, "documents"))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
@@ -29,12 +37,46 @@ def op10_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_token_counts": op2_token_counts,
+    "op3_quality_rules": op3_quality_rules,
     "op4_warc": op4_warc,
+    "op5_line_dedup": op5_line_dedup,
     "op6_decontamination": op6_decontamination,
     "op10_token_blocks": op10_token_blocks,
 }
 
 ORACLES = {
+    "op3_quality_rules": r"""
+        WITH bits AS (SELECT [list_reduce(list_concat([CAST(b AS BIGINT)], range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)
+                              FOR b IN range(256)] AS t),
+        d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        tok AS (SELECT doc_id, i, w[i] AS word, w[i + 1] AS next FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d)),
+        vocab AS (SELECT DISTINCT word FROM tok),
+        crc AS (SELECT word, xor(list_reduce(list_concat([CAST(4294967295 AS BIGINT)],
+                                  [CAST('0x' || substr(hex(encode(word)), 2 * k + 1, 2) AS BIGINT) FOR k IN range(octet_length(encode(word)))]),
+                                 lambda c, x: xor(t[(xor(c, x) & 255) + 1], c >> 8)), 4294967295) AS h FROM vocab, bits),
+        gram AS (SELECT doc_id, a.h % 32768 AS bucket FROM tok JOIN crc a ON tok.word = a.word
+                 UNION ALL
+                 SELECT doc_id, 32768 + (a.h * 40503 + b.h) % 32768 FROM tok JOIN crc a ON tok.word = a.word JOIN crc b ON tok.next = b.word),
+        good AS (SELECT DISTINCT doc_id, 1 AS trusted FROM labels WHERE quality = 1),
+        cnt AS (SELECT bucket, count(*) AS raw, coalesce(sum(trusted), 0) AS target FROM gram LEFT JOIN good USING (doc_id) GROUP BY 1),
+        tot AS (SELECT sum(raw) AS raw_all, sum(target) AS target_all FROM cnt),
+        weight AS (SELECT bucket, CASE WHEN target_all = 0 THEN 0
+                     ELSE CAST(round(1e6 * (ln(target + 1) - ln(raw + 1) + ln((raw_all + 65536) / (target_all + 65536)))) AS BIGINT) END AS micro FROM cnt, tot),
+        score AS (SELECT doc_id, CAST(count(*) AS BIGINT) AS n_grams, CAST(sum(micro) AS BIGINT) AS score_micro FROM gram JOIN weight USING (bucket) GROUP BY 1),
+        line AS (SELECT doc_id, x FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS x FROM d) WHERE regexp_matches(x, '[^\x20\x09-\x0D]')),
+        dup AS (SELECT doc_id, count(*) - count(DISTINCT x) AS n_dup_lines FROM line GROUP BY 1),
+        win AS (SELECT doc_id, i, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM d WHERE len(w) >= 5)),
+        again AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM win) WHERE n > 1),
+        rep AS (SELECT doc_id, count(DISTINCT p) AS n_repeat_words FROM (SELECT doc_id, unnest(range(i, i + 5)) AS p FROM again) GROUP BY 1),
+        base AS (SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words,
+                        CAST(length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars,
+                        CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+                        coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
+                        coalesce(n_grams, 0) AS n_grams, coalesce(score_micro, 0) AS score_micro
+                 FROM d LEFT JOIN dup USING (doc_id) LEFT JOIN rep USING (doc_id) LEFT JOIN score USING (doc_id))
+        SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+               NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND score_micro >= -200000 * n_grams AS kept
+        FROM base""",
     "op4_warc": r"""
         WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
         d AS (SELECT page_id, CAST(octet_length(b) AS BIGINT) AS payload_bytes, sha256(b) AS payload_digest FROM p),
@@ -43,6 +85,24 @@ ORACLES = {
                CASE WHEN f.first_page <> d.page_id THEN 'revisit' ELSE 'response' END AS record_type,
                CASE WHEN f.first_page <> d.page_id THEN f.first_page END AS refers_to
         FROM d LEFT JOIN f ON d.payload_digest = f.payload_digest AND d.payload_bytes >= 100""",
+    "op5_line_dedup": r"""
+        WITH l AS (SELECT doc_id, i - 1 AS line, s[i] AS x, len(regexp_extract_all(s[i], '[^\x20\x09-\x0D]+')) AS n
+                   FROM (SELECT doc_id, s, unnest(range(1, len(s) + 1)) AS i FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS s FROM documents))),
+        w AS (SELECT doc_id, line, x, row_number() OVER (PARTITION BY doc_id ORDER BY line) AS pos,
+                     sum(n) OVER (PARTITION BY doc_id ORDER BY line) AS upto, n FROM l WHERE n > 0),
+        win AS (SELECT a.doc_id, a.pos AS first, min(b.pos) AS last FROM w a JOIN w b ON a.doc_id = b.doc_id AND b.pos >= a.pos AND b.upto - a.upto + a.n >= 50 GROUP BY 1, 2),
+        content AS (SELECT win.doc_id, first, last, string_agg(x, chr(10) ORDER BY pos) AS g FROM win JOIN w ON w.doc_id = win.doc_id AND w.pos BETWEEN first AND last GROUP BY 1, 2, 3),
+        seen AS (SELECT *, first_value(doc_id) OVER o AS o_doc, first_value(first) OVER o AS o_first FROM content WINDOW o AS (PARTITION BY g ORDER BY doc_id, first)),
+        seed AS (SELECT DISTINCT doc_id, first, o_doc, first - o_first AS shift FROM seen WHERE NOT (doc_id = o_doc AND first = o_first)),
+        match AS (SELECT DISTINCT doc_id, o_doc, shift FROM seed),
+        equal AS (SELECT m.doc_id, m.o_doc, m.shift, a.pos, a.pos - row_number() OVER (PARTITION BY m.doc_id, m.o_doc, m.shift ORDER BY a.pos) AS island
+                  FROM match m JOIN w a ON a.doc_id = m.doc_id JOIN w b ON b.doc_id = m.o_doc AND b.pos = a.pos - m.shift AND b.x = a.x),
+        run AS (SELECT doc_id, o_doc, shift, min(pos) AS low, max(pos) AS high FROM equal GROUP BY doc_id, o_doc, shift, island),
+        held AS (SELECT DISTINCT run.* FROM run JOIN seed USING (doc_id, o_doc, shift) WHERE seed.first BETWEEN low AND high),
+        gone AS (SELECT DISTINCT w.doc_id, w.line FROM held JOIN w ON w.doc_id = held.doc_id AND w.pos BETWEEN low AND high)
+        SELECT l.doc_id, count(*) AS n_lines, count(gone.line) AS n_deleted, coalesce(string_agg(CAST(gone.line AS VARCHAR), ',' ORDER BY gone.line), '') AS deleted_lines,
+               md5(coalesce(string_agg(x, chr(10) ORDER BY l.line) FILTER (gone.line IS NULL), '')) AS kept_md5
+        FROM l LEFT JOIN gone ON gone.doc_id = l.doc_id AND gone.line = l.line GROUP BY 1""",
     "op6_decontamination": r"""
         WITH dw AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
                            '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
