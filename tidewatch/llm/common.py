@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,6 +62,27 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def text_bytes(column) -> tuple[np.ndarray, np.ndarray]:
+    """UTF-8 bytes of all values laid end to end, and where each value ends; null is empty."""
+    import pyarrow as pa
+
+    filled = column.fill_null("").cast(pa.large_string())
+    offsets = np.frombuffer(filled.buffers()[1], np.int64)[filled.offset : filled.offset + len(filled) + 1]
+    data = filled.buffers()[2]
+    whole = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data is not None and offsets[-1] > offsets[0] else np.zeros(0, np.uint8)
+    return whole, offsets[1:] - offsets[0]
+
+
+def text_slices(column, most_bytes: int):
+    """(first row, end row, bytes, ends) of consecutive rows of at most so many bytes, one row at least."""
+    data, ends = text_bytes(column)
+    row, at = 0, 0
+    while row < len(ends):
+        stop = max(row + 1, int(np.searchsorted(ends, at + most_bytes, side="right")))
+        yield row, stop, data[at : ends[stop - 1]], ends[row:stop] - at
+        row, at = stop, int(ends[stop - 1])
+
+
 def put_file(folder: str, name: str, write) -> None:
     """Make one file of the shared folder from a task.
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from tidewatch.llm.common import as_uri, pick, put_file
+from tidewatch.llm.common import as_uri, pick, put_file, text_bytes
 from tidewatch.llm.fm_index import FMIndex, hash_words
 from tidewatch.session import scratch_path
 
@@ -30,15 +30,6 @@ _RESULT = "doc_id long, text_hash long, n_words long, n_hit long, n_items long,
 _SPAN = pa.struct([("first_word", pa.int64()), ("n_words", pa.int64()), ("first_char", pa.int64()), ("end_char", pa.int64())])
 
 
-def _bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """UTF-8 bytes of all values laid end to end, and where each value ends; null is empty."""
-    filled = column.fill_null("").cast(pa.large_string())
-    offsets = np.frombuffer(filled.buffers()[1], np.int64)[filled.offset : filled.offset + len(filled) + 1]
-    data = filled.buffers()[2]
-    whole = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data is not None and offsets[-1] > offsets[0] else np.zeros(0, np.uint8)
-    return whole, offsets[1:] - offsets[0]
-
-
 def write_item_blocks(items: DataFrame, block_words: int = BLOCK_WORDS) -> str:
     """Word hashes of all items as files of about ``block_words`` words; returns their folder.
 
@@ -61,7 +52,7 @@ def write_item_blocks(items: DataFrame, block_words: int = BLOCK_WORDS) -> str:
             put_file(folder, f"block-{part:06d}-{made:06d}.npz", save)
 
         for batch in batches:
-            data, ends = _bytes_of(batch.column(1))
+            data, ends = text_bytes(batch.column(1))
             found, starts, _ = hash_words(data, ends)
             bounds = np.searchsorted(starts, np.concatenate([[0], ends]))
             for k, item_id in enumerate(batch.column(0).to_pylist()):
@@ -175,7 +166,7 @@ def contamination(docs: DataFrame, items: DataFrame, window_words: int = WINDOW_
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, hashes, held, ends, size = [], [], [], [], 0
         for batch in batches:
-            data, stops = _bytes_of(batch.column(2))
+            data, stops = text_bytes(batch.column(2))
             at = first = 0
             own_ids, own_hashes = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for k, stop in enumerate(stops.tolist()):

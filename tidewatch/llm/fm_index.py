@@ -32,9 +32,9 @@ def _power(kind: str, base: np.uint64, n: int) -> np.ndarray:
     return _powers[kind][:n]
 
 
-def hash_words(data: np.ndarray, text_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def hash_words(data: np.ndarray, text_ends: np.ndarray, is_word: np.ndarray = _IS_WORD, byte_value: np.ndarray = _BYTE_VALUE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """64-bit hashes, first bytes and end bytes of all words of texts laid end to end."""
-    inside = _IS_WORD[data]
+    inside = is_word[data]
     before = np.empty(len(data), bool)
     before[:1] = False
     before[1:] = inside[:-1]
@@ -47,7 +47,7 @@ def hash_words(data: np.ndarray, text_ends: np.ndarray) -> tuple[np.ndarray, np.
     after[cuts - 1] = False
     ends = np.flatnonzero(inside & ~after) + 1
     sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE_VALUE[data] * _power("up", _BASE, len(data)), out=sums[1:])
+    np.cumsum(byte_value[data] * _power("up", _BASE, len(data)), out=sums[1:])
     hashes = (sums[ends] - sums[starts]) * _power("down", _INVERSE, len(data) + 1)[starts]
     return hashes ^ ((ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)), starts, ends
 

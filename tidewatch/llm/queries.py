@@ -6,7 +6,7 @@ import public_tokenizers
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewatch.llm import decontamination, line_dedup, quality_rules, token_blocks, token_counts, warc
+from tidewatch.llm import decontamination, jaccard_join, line_dedup, quality_rules, token_blocks, token_counts, warc
 from tidewatch.llm.common import table
 
 
@@ -31,6 +31,10 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op10_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_blocks.token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -41,6 +45,7 @@ QUERIES = {
     "op4_warc": op4_warc,
     "op5_line_dedup": op5_line_dedup,
     "op6_decontamination": op6_decontamination,
+    "op7_jaccard_join": op7_jaccard_join,
     "op10_token_blocks": op10_token_blocks,
 }
 
@@ -120,4 +125,16 @@ ORACLES = {
         SELECT dw.doc_id, CAST(len(dw.w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
                sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
         FROM dw LEFT JOIN covered USING (doc_id) LEFT JOIN found USING (doc_id)""",
+    "op7_jaccard_join": r"""
+        WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        g AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + least(len(w), 5) - 1], ' ') AS gram
+              FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+        size AS (SELECT doc_id, count(*) AS n FROM g GROUP BY 1),
+        common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM g a JOIN g b ON a.gram = b.gram AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+        link AS (SELECT a, b FROM common JOIN size sa ON sa.doc_id = a JOIN size sb ON sb.doc_id = b WHERE 10 * c >= 8 * (sa.n + sb.n - c)),
+        reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT reach.a, link.b FROM reach JOIN link ON link.a = reach.b),
+        least_id AS (SELECT a AS doc_id, min(b) AS class_id FROM reach GROUP BY 1),
+        links AS (SELECT a AS doc_id, count(*) AS n_links FROM link GROUP BY 1)
+        SELECT doc_id, coalesce(n, 0) AS n_grams, class_id, coalesce(n_links, 0) AS n_links
+        FROM least_id LEFT JOIN size USING (doc_id) LEFT JOIN links USING (doc_id)""",
 }
