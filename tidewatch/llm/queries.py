@@ -6,7 +6,7 @@ import public_tokenizers
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewatch.llm import decontamination, jaccard_join, line_dedup, quality_rules, token_blocks, token_counts, warc
+from tidewatch.llm import decontamination, jaccard_join, line_dedup, mixing, quality_rules, token_blocks, token_counts, warc
 from tidewatch.llm.common import table
 
 
@@ -35,6 +35,10 @@ def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_sources(table(spark, sf_dir, "documents")).drop("copies")
+
+
 def op10_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_blocks.token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -46,6 +50,7 @@ QUERIES = {
     "op5_line_dedup": op5_line_dedup,
     "op6_decontamination": op6_decontamination,
     "op7_jaccard_join": op7_jaccard_join,
+    "op9_source_mix": op9_source_mix,
     "op10_token_blocks": op10_token_blocks,
 }
 
