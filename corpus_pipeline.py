@@ -1,10 +1,65 @@
-"""From raw documents to token files: the corpus pipeline in stages."""
+"""From raw documents to token files, in five stages.
+
+Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame; ``run`` writes it as
+Parquet in the shared folder and reads it again as the next one's documents.
+"""
 
 from __future__ import annotations
 
-STAGES = []
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidewatch.llm import decontamination, jaccard_join, mixing, quality_rules, token_blocks
+from tidewatch.llm.common import beside, original, table, written
+
+
+def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the quality rules."""
+    return quality_rules.keep_good(docs, table(spark, sf_dir, "labels"))
+
+
+def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates: the one of the least doc_id."""
+    return jaccard_join.one_of_each(docs)
+
+
+def clean_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without any window of a benchmark item.
+
+    Found rows are named by doc_id and a hash of the text, so that a clean row of the same
+    id stays.
+    """
+    found = written(decontamination.contamination(docs, table(spark, sf_dir, "benchmark")).where("contaminated").select("doc_id", "text_hash"), "contaminated")
+    rows, names = beside(docs, doc_id="long", text="string")
+    hit = found.select(F.col("doc_id").alias("__doc"), F.col("text_hash").alias("__hash")).distinct()
+    return original(rows.join(hit, rows["doc_id"].eqNullSafe(F.col("__doc")) & (F.xxhash64(rows["text"]) == F.col("__hash")), "left_anti"), names)
+
+
+def mixed_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix of the sources, each document as often as it is read."""
+    return mixing.mixed_documents(docs)
+
+
+def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token files of the mix, read back: one row per reading of a document."""
+    return token_blocks.token_files(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("quality rules", good_documents),
+    ("n-gram Jaccard join", distinct_documents),
+    ("benchmark decontamination", clean_documents),
+    ("mixing sources to target weights", mixed_documents),
+    ("token-ID / binary output", token_files),
+]
+
+# The mix follows a seeded draw by Spark's own hash and the last stage a tokenizer library.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for number, (_, stage) in enumerate(STAGES):
+        docs = written(stage(spark, docs, sf_dir), f"pipeline-{number}")
+    return docs

@@ -6,10 +6,15 @@ import public_tokenizers
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewatch.llm import decontamination, jaccard_join, line_dedup, mixing, quality_rules, token_blocks, token_counts, warc
+from tidewatch.llm import decontamination, jaccard_join, language_id, line_dedup, mixing, quality_classifier, quality_rules, token_blocks, token_counts, warc
 from tidewatch.llm.common import table
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality_classifier.score_documents(docs, quality_classifier.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -35,6 +40,11 @@ def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language_id.predict_languages(docs, language_id.fit(docs))
+
+
 def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents")).drop("copies")
 
@@ -44,12 +54,14 @@ def op10_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_quality_classifier": op1_quality_classifier,
     "op2_token_counts": op2_token_counts,
     "op3_quality_rules": op3_quality_rules,
     "op4_warc": op4_warc,
     "op5_line_dedup": op5_line_dedup,
     "op6_decontamination": op6_decontamination,
     "op7_jaccard_join": op7_jaccard_join,
+    "op8_language_id": op8_language_id,
     "op9_source_mix": op9_source_mix,
     "op10_token_blocks": op10_token_blocks,
 }
