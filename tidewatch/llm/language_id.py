@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.llm.common import held_out, pick, text_slices
-from tidewatch.llm.sampling import Adam, chunk_matrix, chunk_places, labelled_sample
+from tidewatch.llm.sampling import Adam, chunk_matrix, chunk_places, few_of_each, train_on
 
 CHUNK = 96
 STATE = 8
@@ -74,9 +74,12 @@ class _Gru:
 
 
 class LanguageNet:
-    def __init__(self, languages: list[str], seed: int = 9):
+    def __init__(self, languages: list[str], seed: int = 9, weights: dict[str, np.ndarray] | None = None):
         rng = np.random.default_rng(seed)
         self.languages = languages
+        if weights:
+            self.w = weights
+            return
         self.w: dict[str, np.ndarray] = {}
         for name in ("right", "left"):
             self.w[f"{name}_x"] = rng.normal(0, 0.4, (257, 3 * STATE)).astype(np.float32)
@@ -152,7 +155,14 @@ def train(texts: list[bytes], labels: list[str], steps: int = STEPS, seed: int =
 def fit(docs: DataFrame, per_label: int = PER_LABEL, steps: int = STEPS) -> LanguageNet:
     """Learn from at most ``per_label`` texts of each language, held-out ids left aside."""
     rows = pick(docs, doc_id="long", text="string", lang="string").where(~held_out(F.col("doc_id")))
-    return train(*labelled_sample(rows.select("text", F.col("lang").alias("label")), per_label, TRAIN_BYTES), steps=steps)
+    sample = few_of_each(rows.where("text IS NOT NULL").select("text", F.col("lang").alias("label")), per_label, "text")
+
+    def run(texts: list[bytes], labels: list[str]) -> dict[str, np.ndarray]:
+        net = train(texts, labels, steps)
+        return net.w | {"languages": np.array(net.languages, dtype=np.str_)}
+
+    weights = train_on(sample, per_label, TRAIN_BYTES, run)
+    return LanguageNet([str(v) for v in weights.pop("languages")], weights=weights)
 
 
 def predict_languages(docs: DataFrame, net: LanguageNet) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.llm.common import held_out, pick, text_slices
-from tidewatch.llm.sampling import Adam, chunk_matrix, chunk_places, labelled_sample
+from tidewatch.llm.sampling import Adam, chunk_matrix, chunk_places, few_of_each, train_on
 
 CHUNK, STEP = 512, 448
 VECTOR, WIDTH, FILTERS = 8, 8, 24
@@ -29,9 +29,9 @@ SLICE_BYTES = 4 << 20
 
 
 class ByteNet:
-    def __init__(self, seed: int = 5):
+    def __init__(self, weights: dict[str, np.ndarray] | None = None, seed: int = 5):
         rng = np.random.default_rng(seed)
-        self.w = {
+        self.w = weights or {
             "bytes": rng.normal(0, 0.5, (257, VECTOR)).astype(np.float32),
             "filters": rng.normal(0, (WIDTH * VECTOR) ** -0.5, (WIDTH * VECTOR, FILTERS)).astype(np.float32),
             "shift": np.zeros(FILTERS, np.float32),
@@ -89,7 +89,7 @@ class ByteNet:
 
 def train(texts: list[bytes], labels: list[int], epochs: int = EPOCHS, seed: int = 5) -> ByteNet:
     """Labels weigh alike, however many rows each has; without texts the net stays as it began."""
-    net, rng = ByteNet(seed), np.random.default_rng(seed)
+    net, rng = ByteNet(seed=seed), np.random.default_rng(seed)
     if not texts:
         return net
     y = np.array(labels, np.float32)
@@ -111,17 +111,10 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, epochs:
     """Learn from at most ``per_label`` texts of each label, held-out ids left aside."""
     known = pick(labels, doc_id="long", quality="int").where("doc_id IS NOT NULL AND quality IN (0, 1)").dropDuplicates(["doc_id"])
     teach = known.where(~held_out(F.col("doc_id"))).select("doc_id", F.col("quality").alias("label"))
-    # few ids are picked before any text is moved
-    counts = {r["label"]: r["count"] for r in teach.groupBy("label").count().collect()}
-    draw = F.xxhash64(F.lit(77), "doc_id").bitwiseAND(F.lit((1 << 31) - 1))
-    passes = F.lit(False)
-    for label, n in counts.items():
-        passes = passes | ((F.col("label") == label) & (draw <= int(min(1.0, 1.5 * (per_label + 50) / n) * ((1 << 31) - 1))))
-    chosen = [r["doc_id"] for r in teach.where(passes).select("doc_id").collect()]
-    rows = pick(docs, doc_id="long", text="string")
-    ids = docs.sparkSession.createDataFrame([(i,) for i in chosen], "doc_id long")
-    taught = rows.join(F.broadcast(ids), "doc_id", "left_semi").join(F.broadcast(teach.where(passes)), "doc_id").select("text", "label")
-    return train(*labelled_sample(taught, per_label, TRAIN_BYTES), epochs=epochs)
+    # ids are chosen before any text is looked at: a bounded list
+    ids = few_of_each(teach, per_label, "doc_id").select("doc_id", "label", "draw")
+    taught = pick(docs, doc_id="long", text="string").join(F.broadcast(ids), "doc_id").select("text", "label", "draw")
+    return ByteNet(train_on(taught, per_label, TRAIN_BYTES, lambda texts, labels: train(texts, labels, epochs).w))
 
 
 def score_documents(docs: DataFrame, net: ByteNet, pass_at: float = PASS_AT) -> DataFrame:

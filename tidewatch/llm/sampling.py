@@ -2,40 +2,64 @@
 
 from __future__ import annotations
 
+import io
+from collections.abc import Callable, Iterator
+
 import numpy as np
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SEED = 31
 DRAW_BITS = 31
 
 
-def labelled_sample(rows: DataFrame, per_label: int, text_bytes: int) -> tuple[list[bytes], list]:
-    """At most ``per_label`` rows of each label from ``text, label``, chosen by a hash of the text.
-
-    Labels are counted first; the hash then lets through a little more than is wanted of
-    each, and the driver keeps the lowest.  ``text_bytes`` cuts what a single text gives to
-    training; scoring always reads whole texts.  Null labels and null texts teach nothing.
-    """
-    known = rows.where("label IS NOT NULL AND text IS NOT NULL")
-    counts = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
-    if not counts:
-        return [], []
-    draw = F.xxhash64(F.lit(SEED), "text").bitwiseAND(F.lit((1 << DRAW_BITS) - 1))
+def _share(counts: dict, per_label: int, draw: Column, label: Column) -> Column:
+    """True for a little more than ``per_label`` rows of each label, by their draw."""
     passes = F.lit(False)
-    for label, n in sorted(counts.items(), key=lambda x: str(x[0])):
+    for value, n in sorted(counts.items(), key=lambda x: str(x[0])):
         share = min(1.0, (per_label + 4 * per_label**0.5 + 10) / n)
-        passes = passes | ((F.col("label") == F.lit(label)) & (F.col("draw") <= int(share * ((1 << DRAW_BITS) - 1))))
-    chosen = known.withColumn("draw", draw).where(passes).select("label", "draw", F.substring(F.col("text").cast("binary"), 1, text_bytes).alias("text"))
-    found: dict = {}
-    for r in chosen.collect():
-        found.setdefault(r["label"], []).append((r["draw"], bytes(r["text"])))
-    texts, labels = [], []
-    for label in sorted(found, key=str):
-        for _, text in sorted(found[label])[:per_label]:
-            texts.append(text)
-            labels.append(label)
-    return texts, labels
+        passes = passes | ((label == F.lit(value)) & (draw <= int(share * ((1 << DRAW_BITS) - 1))))
+    return passes
+
+
+def draw(*key: str) -> Column:
+    return F.xxhash64(F.lit(SEED), *key).bitwiseAND(F.lit((1 << DRAW_BITS) - 1))
+
+
+def few_of_each(rows: DataFrame, per_label: int, *key: str) -> DataFrame:
+    """Of the rows with a label, about ``per_label`` of each, chosen by a hash of the key."""
+    known = rows.where("label IS NOT NULL")
+    counts = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
+    return known.withColumn("draw", draw(*key)).where(_share(counts, per_label, F.col("draw"), F.col("label")))
+
+
+def train_on(sample: DataFrame, per_label: int, text_bytes: int, train: Callable[[list[bytes], list], dict[str, np.ndarray]]) -> dict[str, np.ndarray]:
+    """Train on a bounded sample (``text, label, draw``) in one task and return the arrays.
+
+    At most ``per_label`` texts of each label are used, those of the lowest draw, and of a
+    single text its first ``text_bytes``; scoring always reads whole texts.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict = {}
+        for batch in batches:
+            for text, label, number in zip(*(c.to_pylist() for c in batch.columns)):
+                found.setdefault(label, []).append((number, text))
+        texts, labels = [], []
+        for label in sorted(found, key=str):
+            for _, text in sorted(found[label])[:per_label]:
+                texts.append(text)
+                labels.append(label)
+        held = io.BytesIO()
+        np.savez(held, **train(texts, labels))
+        yield pa.RecordBatch.from_arrays([pa.array([held.getvalue()], pa.binary())], names=["model"])
+
+    cut = sample.where("text IS NOT NULL").select(F.substring(F.col("text").cast("binary"), 1, text_bytes).alias("text"), "label", "draw")
+    model = cut.repartition(1).mapInArrow(run, "model binary").collect()
+    if not model:  # an empty table has no partition that trains
+        return train([], [])
+    return dict(np.load(io.BytesIO(model[0]["model"]), allow_pickle=False))
 
 
 class Adam:
