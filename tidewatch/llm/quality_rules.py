@@ -150,7 +150,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, thresh
     """The documents that are kept, with all their columns."""
     weights = bucket_weights(docs, labels, buckets)
     rows, names = beside(docs, text="string")
-    # the row number keeps the filter where it is: pushed below, it would compute the nested
-    # expressions anew for every word
+    # asking for the row number keeps the filter where it is: pushed below, it would compute
+    # the nested expressions anew for every word
     judged = with_quality(rows, weights, threshold_micro=threshold_micro).withColumn("__row", F.monotonically_increasing_id())
-    return original(judged.where("kept"), names)
+    return original(judged.where("kept AND __row >= 0"), names)
