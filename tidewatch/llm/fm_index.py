@@ -25,7 +25,7 @@ _powers: dict[str, np.ndarray] = {}
 
 
 def _power(kind: str, base: np.uint64, n: int) -> np.ndarray:
-    if len(_powers.get(kind, ())) < n:
+    if kind not in _powers or len(_powers[kind]) < n:
         steps = np.full(max(n, 1 << 20), base, np.uint64)
         steps[0] = 1
         _powers[kind] = np.multiply.accumulate(steps)
@@ -56,7 +56,7 @@ def suffix_order(symbols: np.ndarray) -> np.ndarray:
     """Suffixes in order, by prefix doubling; only groups still tied are sorted again."""
     n = len(symbols)
     bits = max(1, int(symbols.max()).bit_length())
-    depth = max(1, 62 // bits)
+    depth = max(1, min(62 // bits, n))
     key = np.zeros(n, np.int64)
     for k in range(depth):
         key <<= bits
