@@ -105,15 +105,20 @@ def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS, with_text: bool = Fa
     rows = pick(docs, doc_id="long", text="string").select("doc_id", F.xxhash64("text").alias("h"), F.coalesce("text", F.lit("")).alias("text"))
     # a merge join at every size: the list of documents with deletions grows with the input
     joined = rows.hint("merge").join(by_doc.hint("merge"), [F.col("doc_id").eqNullSafe(F.col("g_doc")), F.col("h") == F.col("g_h")], "left")
-    joined = joined.select("doc_id", F.split("text", "\n").alias("all"), F.coalesce("gone", F.array().cast("array<int>")).alias("gone"))
+    # most rows lose nothing: their text is neither split nor joined again
+    none = F.array().cast("array<int>")
+    cut = F.size("gone") > 0
+    joined = joined.select("doc_id", "text", F.coalesce("gone", none).alias("gone"))
+    joined = joined.select("doc_id", "text", "gone", F.when(cut, F.split("text", "\n")).alias("all"))
     worded = F.filter(F.transform("all", lambda x, i: F.when(F.translate(x, BLANKS, "") != "", i)), lambda i: i.isNotNull())
-    joined = joined.select("doc_id", "all", "gone", F.when(F.size("gone") > 0, worded).otherwise(F.array().cast("array<int>")).alias("worded"))
-    lost = joined.select("doc_id", "all", F.transform("gone", lambda at: F.get(F.col("worded"), at)).alias("lost"))
-    kept = F.when(F.size("lost") > 0, F.filter("all", lambda _, i: ~F.array_contains(F.col("lost"), i))).otherwise(F.col("all"))
-    text = F.array_join(kept, "\n")
+    joined = joined.select("doc_id", "text", "all", "gone", F.when(cut, worded).alias("worded"))
+    lost = joined.select("doc_id", "text", "all", F.when(cut, F.transform("gone", lambda at: F.get(F.col("worded"), at))).otherwise(none).alias("lost"))
+    kept = F.array_join(F.filter("all", lambda _, i: ~F.array_contains(F.col("lost"), i)), "\n")
+    text = F.when(F.size("lost") > 0, kept).otherwise(F.col("text"))
+    n_breaks = F.octet_length("text") - F.octet_length(F.replace(F.col("text"), F.lit("\n"), F.lit("")))
     return lost.select(
         "doc_id",
-        F.size("all").cast("long").alias("n_lines"),
+        (n_breaks + 1).cast("long").alias("n_lines"),
         F.size("lost").cast("long").alias("n_deleted"),
         F.array_join(F.transform("lost", lambda v: v.cast("string")), ",").alias("deleted_lines"),
         F.md5(text.cast("binary")).alias("kept_md5"),
