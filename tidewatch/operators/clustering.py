@@ -48,16 +48,17 @@ def _unit(raw: Column) -> Column:
 # --- connected components --------------------------------------------------------------
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) of every node with an edge; the component is its least node.
 
     Alternating large-star and small-star steps; group minima are joined back, so a
-    node of any degree is handled by partial aggregation.
+    node of any degree is handled by partial aggregation.  Rounds go on until no pair
+    changes.
     """
     pairs = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct()
     pairs = cut_lineage(pairs)
     before = None
-    for _ in range(max_rounds):
+    while True:
         ways = F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))
         both = pairs.select(F.explode(ways).alias("e")).select("e.u", "e.v")
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -73,11 +74,13 @@ def spread_small_scan(df: DataFrame, rows_per_core: int = 50_000) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder of the cluster for checkpoints and intermediate tables.
 
-    It is the session's ``spark.checkpoint.dir``.  Only when that is unset (tests, a
-    laptop) a folder of our own is used.
+    It is the session's ``spark.checkpoint.dir``.  Only when that is unset and the master
+    is ``local`` (tests, a laptop) a folder of our own is used; a cluster must name one.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if configured is None:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         configured = os.path.join(os.environ.get("TMPDIR", "/tmp"), f"tidewatch-{uuid.uuid4().hex}")
         spark.conf.set("spark.checkpoint.dir", configured)
     return configured

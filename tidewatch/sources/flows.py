@@ -71,7 +71,7 @@ def conn_records(lines: DataFrame) -> DataFrame:
         trimmed.filter(F.col("line").startswith("#fields"))
         .groupBy("path")
         .agg(F.max("line").alias("header"))
-        .select("path", F.slice(F.split("header", "\t"), 2, 10000).alias("names"))
+        .select("path", F.slice(F.split("header", "\t"), F.lit(2), F.size(F.split("header", "\t"))).alias("names"))
     )
     rows = trimmed.filter(~F.col("line").startswith("#"))
     is_json = F.col("line").startswith("{")
