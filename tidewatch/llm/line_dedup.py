@@ -112,8 +112,11 @@ def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS, with_text: bool = Fa
     joined = joined.select("doc_id", "text", "gone", F.when(cut, F.split("text", "\n")).alias("all"))
     worded = F.filter(F.transform("all", lambda x, i: F.when(F.translate(x, BLANKS, "") != "", i)), lambda i: i.isNotNull())
     joined = joined.select("doc_id", "text", "all", "gone", F.when(cut, worded).alias("worded"))
-    lost = joined.select("doc_id", "text", "all", F.when(cut, F.transform("gone", lambda at: F.get(F.col("worded"), at))).otherwise(none).alias("lost"))
-    kept = F.array_join(F.filter("all", lambda _, i: ~F.array_contains(F.col("lost"), i)), "\n")
+    lost = joined.select("doc_id", "text", "all", F.when(F.size("worded") > 0, F.transform("gone", lambda at: F.get(F.col("worded"), at))).otherwise(none).alias("lost"))
+    # (asking for the size of ``worded`` too keeps it a column: used once only, it would be
+    # put into the lambda and computed again for every deleted line)
+    left = F.array_except(F.sequence(F.lit(0), F.size("all") - 1), F.col("lost"))
+    kept = F.array_join(F.transform(left, lambda i: F.get(F.col("all"), i)), "\n")
     text = F.when(F.size("lost") > 0, kept).otherwise(F.col("text"))
     n_breaks = F.octet_length("text") - F.octet_length(F.replace(F.col("text"), F.lit("\n"), F.lit("")))
     return lost.select(
