@@ -20,6 +20,7 @@ alone: offsets are the running sum of the chunk index.
 
 from __future__ import annotations
 
+import os
 import struct
 import zlib
 from collections.abc import Iterator
@@ -150,9 +151,6 @@ class FileReader:
             held = held[n:]
 
 
-_TO_SPACE = {ord(c): " " for c in "\t\n\r"}
-
-
 class WordEncoder:
     """Ids of whole texts by the tokenizer of a file, with the parts between blanks remembered.
 
@@ -167,6 +165,7 @@ class WordEncoder:
 
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
@@ -188,7 +187,7 @@ class WordEncoder:
         if not self.exact:
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
         ids = []
-        parts = text.translate(_TO_SPACE).split(" ")
+        parts = text.replace("\t", " ").replace("\n", " ").replace("\r", " ").split(" ")
         for at in range(0, len(parts), CACHED_PARTS // 4):
             some = parts[at : at + CACHED_PARTS // 4]
             new = [p for p in set(some) if p not in self.known]
