@@ -147,6 +147,19 @@ def test_held_out_accuracy(spark):
     assert (scored.predicted == scored.quality).mean() > 0.93
 
 
+def test_models_learn_from_the_ends_of_long_texts(spark):
+    """What tells the labels apart begins after 4,200 bytes of text that is alike."""
+    data = [(i, prose(1100, i)[:4200] + (" QXZ WVJ" if i % 2 else " 0941 2b") * 300, i % 2, "ab"[i % 2]) for i in range(60)]
+    d = spark.createDataFrame(data, "doc_id long, text string, quality int, lang string")
+    net = quality_classifier.fit(d, d.select("doc_id", "quality"))
+    scores = {r.doc_id: r.score for r in quality_classifier.score_documents(d, net).collect()}
+    assert all(v > 0.9 if i % 2 else v < 0.1 for i, v in scores.items())
+    tails = spark.createDataFrame([(i, text[4200:], lang) for i, text, _, lang in data], "doc_id long, text string, lang string")
+    got = language_id.predict_languages(tails, language_id.fit(d.select("doc_id", "text", "lang"), steps=150)).collect()
+    assert all(r.lang_pred == "ab"[r.doc_id % 2] for r in got)
+
+
+
 def test_token_counts(docs, nothing):
     whole = token_counts.Encoder(BYTE_BPE).count([t or "" for _, t, *_ in ROWS])
     want = sorted(((d, len((t or "").encode()), n, n > 512) for (d, t, *_), n in zip(ROWS, whole)), key=repr)

@@ -2,7 +2,7 @@
 
 The network reads bytes from both ends of a chunk and labels every position; a document's
 probabilities are the mean over all positions of all its chunks.  It is trained in numpy by
-back-propagation through time on a bounded sample.
+back-propagation through time on random chunks of the whole texts of a bounded sample of rows.
 """
 
 from __future__ import annotations
@@ -21,7 +21,6 @@ CHUNK = 96
 STATE = 8
 PAD = 256
 PER_LABEL = 400
-TRAIN_BYTES = 2_048
 STEPS = 300
 BATCH = 64
 UNKNOWN = "und"
@@ -161,7 +160,7 @@ def fit(docs: DataFrame, per_label: int = PER_LABEL, steps: int = STEPS) -> Lang
         net = train(texts, labels, steps)
         return net.w | {"languages": np.array(net.languages, dtype=np.str_)}
 
-    weights = train_on(sample, per_label, TRAIN_BYTES, run)
+    weights = train_on(sample, per_label, run)
     return LanguageNet([str(v) for v in weights.pop("languages")], weights=weights)
 
 

@@ -3,7 +3,8 @@
 A text's UTF-8 bytes are cut into overlapping chunks that cover all of it.  Each byte has a
 learned vector; learned filters of ``WIDTH`` bytes slide over a chunk and are max-pooled over
 it.  A document has, per filter, the maximum and the mean over its chunks, and one logistic
-unit makes the probability of them.  Trained by back-propagation on a bounded sample.
+unit makes the probability of them.  Trained by back-propagation on all chunks of the texts
+of a bounded sample of rows.
 """
 
 from __future__ import annotations
@@ -22,7 +23,6 @@ CHUNK, STEP = 512, 448
 VECTOR, WIDTH, FILTERS = 8, 8, 24
 PAD = 256
 PER_LABEL = 1_000
-TRAIN_BYTES = 4_096
 EPOCHS = 8
 PASS_AT = 0.3
 SLICE_BYTES = 4 << 20
@@ -62,9 +62,12 @@ class ByteNet:
         logit = self.document_vectors(pooled, doc) @ self.w["out"] + self.w["bias"]
         return 1 / (1 + np.exp(-np.clip(logit.astype(np.float64), -60, 60)))
 
-    def gradients(self, chunks: np.ndarray, doc: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
-        """Of the mean cross entropy; responses pass their share on to their largest place only."""
-        pooled, places = self.pooled(chunks, with_places=True)
+    def gradients(self, chunks: np.ndarray, doc: np.ndarray, y: np.ndarray, batch: int = 128) -> dict[str, np.ndarray]:
+        """Of the mean cross entropy; responses pass their share on to their largest place only.
+
+        A text may have any number of chunks: only maxima and places are held for all of them.
+        """
+        pooled, places = map(np.concatenate, zip(*(self.pooled(chunks[a : a + batch], with_places=True) for a in range(0, len(chunks), batch))))
         z = self.document_vectors(pooled, doc)
         p = 1 / (1 + np.exp(-(z @ self.w["out"] + self.w["bias"])))
         d = ((p - y) / len(y)).astype(np.float32)
@@ -79,12 +82,15 @@ class ByteNet:
             _, at = np.unique(doc[hits], return_index=True)
             best[hits[at], f] = 1
         dpooled = (best * dz[:, :FILTERS][doc] + (dz[:, FILTERS:] / counts)[doc]) * (pooled > 0)
-        taken = chunks[np.arange(len(chunks))[:, None, None], places[:, :, None] + np.arange(WIDTH)]
-        vectors = self.w["bytes"][taken].reshape(len(chunks), FILTERS, WIDTH * VECTOR)
-        dbytes = np.zeros_like(self.w["bytes"])
-        spread = dpooled[:, :, None] * self.w["filters"].T[None]
-        np.add.at(dbytes, taken.reshape(-1), spread.reshape(-1, VECTOR))
-        return {"bytes": dbytes, "filters": np.einsum("cf,cfk->kf", dpooled, vectors), "shift": dpooled.sum(axis=0), "out": z.T @ d, "bias": d.sum(keepdims=True)}
+        dbytes, dfilters = np.zeros_like(self.w["bytes"]), np.zeros_like(self.w["filters"])
+        for a in range(0, len(chunks), batch):
+            some, passed = chunks[a : a + batch], dpooled[a : a + batch]
+            taken = some[np.arange(len(some))[:, None, None], places[a : a + batch, :, None] + np.arange(WIDTH)]
+            vectors = self.w["bytes"][taken].reshape(len(some), FILTERS, WIDTH * VECTOR)
+            spread = passed[:, :, None] * self.w["filters"].T[None]
+            np.add.at(dbytes, taken.reshape(-1), spread.reshape(-1, VECTOR))
+            dfilters += np.einsum("cf,cfk->kf", passed, vectors)
+        return {"bytes": dbytes, "filters": dfilters, "shift": dpooled.sum(axis=0), "out": z.T @ d, "bias": d.sum(keepdims=True)}
 
 
 def train(texts: list[bytes], labels: list[int], epochs: int = EPOCHS, seed: int = 5) -> ByteNet:
@@ -114,7 +120,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, epochs:
     # ids are chosen before any text is looked at: a bounded list
     ids = few_of_each(teach, per_label, "doc_id").select("doc_id", "label", "draw")
     taught = pick(docs, doc_id="long", text="string").join(F.broadcast(ids), "doc_id").select("text", "label", "draw")
-    return ByteNet(train_on(taught, per_label, TRAIN_BYTES, lambda texts, labels: train(texts, labels, epochs).w))
+    return ByteNet(train_on(taught, per_label, lambda texts, labels: train(texts, labels, epochs).w))
 
 
 def score_documents(docs: DataFrame, net: ByteNet, pass_at: float = PASS_AT) -> DataFrame:

@@ -34,11 +34,11 @@ def few_of_each(rows: DataFrame, per_label: int, *key: str) -> DataFrame:
     return known.withColumn("draw", draw(*key)).where(_share(counts, per_label, F.col("draw"), F.col("label")))
 
 
-def train_on(sample: DataFrame, per_label: int, text_bytes: int, train: Callable[[list[bytes], list], dict[str, np.ndarray]]) -> dict[str, np.ndarray]:
+def train_on(sample: DataFrame, per_label: int, train: Callable[[list[bytes], list], dict[str, np.ndarray]]) -> dict[str, np.ndarray]:
     """Train on a bounded sample (``text, label, draw``) in one task and return the arrays.
 
-    At most ``per_label`` texts of each label are used, those of the lowest draw, and of a
-    single text its first ``text_bytes``; scoring always reads whole texts.
+    At most ``per_label`` texts of each label are used, those of the lowest draw, each of them
+    whole: the bound is on rows alone.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -55,8 +55,8 @@ def train_on(sample: DataFrame, per_label: int, text_bytes: int, train: Callable
         np.savez(held, **train(texts, labels))
         yield pa.RecordBatch.from_arrays([pa.array([held.getvalue()], pa.binary())], names=["model"])
 
-    cut = sample.where("text IS NOT NULL").select(F.substring(F.col("text").cast("binary"), 1, text_bytes).alias("text"), "label", "draw")
-    model = cut.repartition(1).mapInArrow(run, "model binary").collect()
+    whole = sample.where("text IS NOT NULL").select(F.col("text").cast("binary").alias("text"), "label", "draw")
+    model = whole.repartition(1).mapInArrow(run, "model binary").collect()
     if not model:  # an empty table has no partition that trains
         return train([], [])
     return dict(np.load(io.BytesIO(model[0]["model"]), allow_pickle=False))
