@@ -286,6 +286,17 @@ def test_near_duplicates(docs, nothing):
     assert jaccard_join.near_duplicates(nothing).count() == 0
 
 
+def test_a_text_goes_only_when_a_copy_stays(spark):
+    """Ids with several texts: near copies X and X', and texts that are nobody's copy."""
+    x, y, z, u = prose(90, 40), prose(90, 41), prose(90, 42), prose(90, 43)
+    data = [(3, x + " end"), (5, x), (5, y), (5, z), (5, z), (6, u), (6, u + " end"), (7, y + " end"), (8, ""), (8, None), (None, x)]
+    data += [(9, prose(40, 50 + i)) for i in range(5)]
+    kept = [tuple(r) for r in jaccard_join.one_of_each(spark.createDataFrame(data, "doc_id long, text string")).collect()]
+    whole = [(3, x + " end"), (5, y), (5, z), (8, ""), (8, None), (None, x), *data[-5:]]
+    assert sorted((r for r in kept if r[0] != 6), key=str) == sorted(whole, key=str)
+    assert len([r for r in kept if r[0] == 6]) == 1
+
+
 def test_large_group_is_cut_into_tiles(spark, monkeypatch):
     monkeypatch.setattr(jaccard_join, "BLOCK_MEMBERS", 8)
     base = prose(120, 70).split()

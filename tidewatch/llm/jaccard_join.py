@@ -28,10 +28,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import pick, text_slices, written
+from tidewatch.llm.common import beside, original, pick, text_slices, written
 from tidewatch.llm.fm_index import hash_words
 from tidewatch.session import cut_lineage
 
@@ -108,7 +108,8 @@ def least_matches(threshold: float, tolerance: float, step: int = STEP, n: int =
 
 
 def _sketches(docs: DataFrame, n: int) -> DataFrame:
-    """Per row: its set's digest and size and the MinHash values; sets themselves stay behind."""
+    """Per row (``doc_id, text, text_hash``): its set's digest and size and the MinHash values;
+    texts and sets themselves stay behind."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -117,9 +118,9 @@ def _sketches(docs: DataFrame, n: int) -> DataFrame:
                 sizes.append(len(g))
                 digests.append(digest(g))
                 values.append(signature(g).tobytes() if len(g) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(values, pa.binary())], names=["doc_id", "n_grams", "digest", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(values, pa.binary())], names=["doc_id", "text_hash", "n_grams", "digest", "sketch"])
 
-    return docs.mapInArrow(scan, "doc_id long, n_grams long, digest binary, sketch binary")
+    return docs.mapInArrow(scan, "doc_id long, text_hash long, n_grams long, digest binary, sketch binary")
 
 
 def _candidate_tiles(reps: DataFrame) -> DataFrame:
@@ -284,6 +285,23 @@ def classes(edges: DataFrame) -> DataFrame:
         labels = next_labels.select("rep", "class")
 
 
+def _linked_sets(docs: DataFrame, n: int, threshold: float, tolerance: float, node: Column) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The sketches of all rows, one row per different set, and the links between the sets.
+
+    ``node`` numbers a set as ``rep``: by its least ``doc_id``, or by a number of its own.
+    """
+    rows = pick(docs, doc_id="long", text="string")
+    sketches = written(_sketches(rows.withColumn("text_hash", F.xxhash64("text")), n), "sketches")
+    named = sketches.where("digest IS NOT NULL AND doc_id IS NOT NULL")
+    # one row per different set: the least id, and of that id one text, stands for it
+    reps = named.groupBy("digest").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"), F.count_distinct("doc_id").alias("copies"), F.first("n_grams").alias("n_grams"), F.first("sketch").alias("sketch"))
+    reps = written(reps.select("digest", "first.doc_id", "first.text_hash", "copies", "n_grams", "sketch").withColumn("rep", node), "near-sets")
+    tiles = written(_surviving(_candidate_tiles(reps), reps, threshold, tolerance), "near-tiles")
+    taking_part = tiles.select("rep").distinct()
+    sets = _sets(rows, reps.join(taking_part, "rep"), n)
+    return sketches, reps, written(_linked(tiles, sets, threshold, tolerance), "near-links")
+
+
 def near_duplicates(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
     """``doc_id, n_grams, class_id, n_links`` for every row.
 
@@ -294,16 +312,7 @@ def near_duplicates(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOL
     as one document; rows that share an id but not the text are one node with both texts'
     links to others.  An empty table gives no rows; other columns are ignored.
     """
-    rows = pick(docs, doc_id="long", text="string")
-    sketches = written(_sketches(rows, n), "sketches")
-    named = sketches.where("digest IS NOT NULL AND doc_id IS NOT NULL")
-    # one row per different set: the least id stands for it
-    reps = named.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count_distinct("doc_id").alias("copies"), F.first("n_grams").alias("n_grams"), F.first("sketch").alias("sketch"))
-    reps = written(reps, "near-sets")
-    tiles = written(_surviving(_candidate_tiles(reps), reps, threshold, tolerance), "near-tiles")
-    taking_part = tiles.select("rep").distinct()
-    sets = _sets(rows, reps.join(taking_part, "rep"), n)
-    links = written(_linked(tiles, sets, threshold, tolerance), "near-links")
+    sketches, reps, links = _linked_sets(docs, n, threshold, tolerance, F.col("doc_id"))
     found = classes(links)
     totals = links.groupBy("rep").agg(F.sum("links").alias("links"))
     by_set = reps.select("digest", "rep", "copies").join(found, "rep", "left").join(totals, "rep", "left")
@@ -317,7 +326,7 @@ def _sets(rows: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
     """``rep, copies, sketch, grams`` of the representatives that meet others: their texts are
     read again, which moves a tenth of what keeping all sets would."""
     # a merge join at every size: what takes part grows with the input
-    texts = rows.hint("merge").join(wanted.select(F.col("rep").alias("doc_id")).distinct().hint("merge"), "doc_id", "left_semi").select("text")
+    texts = rows.hint("merge").join(wanted.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi").select("text")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -335,21 +344,26 @@ def _sets(rows: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
     return wanted.select("digest", "rep", "copies", "sketch").join(made, "digest").drop("digest")
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
+def one_of_each(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
     """All columns of the documents that stand for their class.
 
-    Of a class the row of the least doc_id stays; rows repeating that id stay once.  Rows
-    without an id or without words are nobody's copy and stay.
+    Classes are of sets here, whatever ids their rows have: of a class the row of the least
+    doc_id stays, of equal rows one, and of several texts of that id the one of the least
+    hash.  Rows that share an id but are not linked stay beside each other.  Rows without an
+    id or without words are nobody's copy and stay.
     """
-    found = near_duplicates(docs)
-    gone = found.where("class_id <> doc_id").select(F.col("doc_id").alias("__gone")).distinct()
-    names = docs.columns
-    plain = docs.toDF(*[f"_{i}" for i in range(len(names))])
-    key = plain[f"_{names.index('doc_id')}"].cast("long")
-    kept = plain.join(gone, key == F.col("__gone"), "left_anti")
-    repeats = found.where("class_id = doc_id AND n_grams > 0").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    sketches, reps, links = _linked_sets(docs, n, threshold, tolerance, F.monotonically_increasing_id())
+    by_set = reps.join(classes(links), "rep", "left").withColumn("class", F.coalesce("class", "rep"))
+    stays = by_set.groupBy("class").agg(F.min(F.struct("doc_id", "text_hash")).alias("stays"))
+    by_set = by_set.select("digest", "class").join(stays, "class").select("digest", "stays")
+    placed = sketches.where("doc_id IS NOT NULL").join(by_set, "digest").groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("rows"), F.first("stays").alias("stays"))
+    placed = written(placed.select(F.col("doc_id").alias("__doc"), F.col("text_hash").alias("__hash"), "rows", F.struct("doc_id", "text_hash").eqNullSafe(F.col("stays")).alias("kept")).where("NOT kept OR rows > 1"), "near-copies")
+    rows, names = beside(docs, doc_id="long", text="string")
+    rows = rows.withColumn("text_hash", F.xxhash64("text"))
+    same = (F.col("doc_id") == F.col("__doc")) & (F.col("text_hash") == F.col("__hash"))
+    kept = rows.join(placed.where("NOT kept").select("__doc", "__hash"), same, "left_anti")
+    repeats = placed.where("kept").select("__doc", "__hash")
     if repeats.limit(1).count():
-        column = f"_{names.index('doc_id')}"
-        again = kept.join(repeats.select(F.col("doc_id").alias("__twice")), F.col(column).cast("long") == F.col("__twice"), "left_semi").dropDuplicates([column])
-        kept = kept.join(repeats.select(F.col("doc_id").alias("__twice")), F.col(column).cast("long") == F.col("__twice"), "left_anti").union(again)
-    return kept.toDF(*names)
+        again = kept.join(repeats, same, "left_semi").dropDuplicates(["doc_id", "text_hash"])
+        kept = kept.join(repeats, same, "left_anti").union(again)
+    return original(kept, names)
