@@ -200,12 +200,6 @@ _register(
     f"""WITH c AS ({_claims_sql('documents', 'doc_id')})
 SELECT article_id, position, article_id || '-' || position AS claim_id, text, 0.5::DOUBLE AS check_worthy FROM c""",
 )
-_register(
-    "v01_extract_first_claims",
-    lambda s, sf: vf.extract_claims(table(s, sf, "documents", spread=True), max_claims=12),
-    f"""WITH c AS ({_claims_sql('documents', 'doc_id', '[1:12]')})
-SELECT article_id, position, article_id || '-' || position AS claim_id, text, 0.5::DOUBLE AS check_worthy FROM c""",
-)
 
 
 def _article_verdicts(s, sf):

@@ -55,7 +55,7 @@ def _labelled_features(s, sf):
 
 def _classified(s, sf):
     rows = _labelled_features(s, sf)
-    model = ln.train_classifier(rows, list(fv.EMAIL_FEATURES), iterations=10)
+    model = ln.train_classifier(rows, list(fv.EMAIL_FEATURES))
     return ln.score_classifier(rows, model).select("msg_id", "label", F.round("probability", 6).alias("probability"))
 
 

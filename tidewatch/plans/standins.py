@@ -67,7 +67,7 @@ VIEWS = {
     "v_feedback": """
         SELECT event_id AS id, CASE event_id % 2 WHEN 0 THEN 'email' ELSE 'verdict' END AS subject_kind,
                CASE WHEN event_id % 3 = 0 THEN event_id END AS used_in_training, CAST(ts AS TIMESTAMP) AS created_at
-        FROM {events} WHERE event_id % 11 = 0""",
+        FROM {events}""",
     "v_log": """
         SELECT event_id AS id, CAST(ts AS DATE) AS batch_key, CAST(ts AS TIMESTAMP) AS ts,
                CASE WHEN user_id % 10 = 0 THEN NULL ELSE concat('10.0.0.', CAST(user_id % 250 AS STRING)) END AS source_ip,
@@ -97,12 +97,13 @@ VIEWS = {
         FROM {documents} WHERE source <> 'src19'""",
     "v_claims": """
         SELECT item_id AS claim_id, text FROM {benchmark}""",
+    # Every document has reviews of three claims; those from the seventh claim on are not counted.
     "v_reviews": """
-        SELECT doc_id, doc_id * 10 + n AS review_id, 0 AS claim_no, concat('pub', CAST(n AS STRING)) AS publisher,
-               CASE (doc_id + n) % 8 WHEN 0 THEN 'Pants on Fire' WHEN 1 THEN 'Mostly False' WHEN 2 THEN 'Mostly True'
+        SELECT doc_id, doc_id * 10 + 3 * c + n AS review_id, CAST(c + 2 * (doc_id % 4) AS INT) AS claim_no, concat('pub', CAST(n AS STRING)) AS publisher,
+               CASE (doc_id + c + n) % 8 WHEN 0 THEN 'Pants on Fire' WHEN 1 THEN 'Mostly False' WHEN 2 THEN 'Mostly True'
                     WHEN 3 THEN 'True' WHEN 4 THEN 'Misleading' WHEN 5 THEN 'Unproven' WHEN 6 THEN 'Inaccurate' ELSE 'Satire' END AS rating,
-               concat('https://pub', CAST(n AS STRING), '.example.net/', CAST(doc_id AS STRING)) AS url
-        FROM {documents} JOIN (VALUES (0,0),(0,1),(0,2)) AS t(k,n) ON doc_id % 3 = k""",
+               concat('https://pub', CAST(n AS STRING), '.example.net/', CAST(doc_id AS STRING), '/', CAST(c AS STRING)) AS url
+        FROM {documents} CROSS JOIN (VALUES (0,0),(0,1),(0,2),(1,0),(1,1),(1,2),(2,0),(2,1),(2,2)) AS t(c,n)""",
     "v_html": """
         SELECT page_id, concat('<p><a href="', url, '">', CASE page_id % 3 WHEN 0 THEN 'see paypal.com' WHEN 1 THEN 'click' ELSE url END,
                '</a> also http://192.168.4.9/x, https://bit.ly/z and https://a.b.c.d.micros0ft.com/</p>', html) AS html
