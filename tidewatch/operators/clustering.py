@@ -21,11 +21,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.operators import flows as fl
-from tidewatch.session import broadcast_if_small, cut_lineage
+from tidewatch.session import broadcast_if_small, cut_lineage, gathered
 
 DIMS = len(fl.FEATURES) + 1
 MAX_NONZERO = 6  # the score and five attributed features
@@ -116,25 +117,22 @@ def _blocks(batch: pd.DataFrame, width: int) -> Iterator[pd.DataFrame]:
         yield batch.iloc[start : start + step]
 
 
-def _scan(df: DataFrame, table: pd.DataFrame, work, schema: str) -> DataFrame:
-    """Run ``work(block, table)`` over the rows against one broadcast table."""
-    shared = df.sparkSession.sparkContext.broadcast(table)
+def _scan(df: DataFrame, tables: Iterator[pd.DataFrame], work, schema: str) -> DataFrame:
+    """Run ``work(block, table)`` over the rows against one broadcast table after another."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for block in _blocks(batch, len(shared.value)):
-                out = work(block, shared.value)
-                if out is not None and len(out):
-                    yield out
+    def part(table: pd.DataFrame) -> tuple[DataFrame, Broadcast]:
+        shared = df.sparkSession.sparkContext.broadcast(table)
 
-    return df.mapInPandas(run, schema)
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                for block in _blocks(batch, len(shared.value)):
+                    out = work(block, shared.value)
+                    if out is not None and len(out):
+                        yield out
 
+        return df.mapInPandas(run, schema), shared
 
-def _union(parts: list[DataFrame]) -> DataFrame:
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    return gathered(map(part, tables), "clustering")
 
 
 def _neighbourhood(r2: float):
@@ -237,7 +235,7 @@ def dbscan(rows: DataFrame, eps: float = 0.5, min_samples: int = 3) -> DataFrame
         return rows.select("id", F.col("id").alias("cluster_id")).filter(F.lit(False))
 
     # Neighbour counts of single units, and the pairs their boxes leave open.
-    seen = cut_lineage(_union([_scan(units, t, _neighbourhood(reach2), _TRIPLE) for t in _chunks(units, "label", n_units)]))
+    seen = cut_lineage(_scan(units, _chunks(units, "label", n_units), _neighbourhood(reach2), _TRIPLE))
     sure_counts = seen.filter("b = -1").groupBy("a").agg(F.sum("n").alias("n"))
     open_pairs = seen.filter("b <> -1").select("a", "b")
     single_labels = units.filter("n = 1").select("label", "lo")
@@ -246,7 +244,7 @@ def dbscan(rows: DataFrame, eps: float = 0.5, min_samples: int = 3) -> DataFrame
     dense_points = points.join(broadcast_if_small(dense.select("cell", F.col("label").alias("unit"))), "cell").select("unit", "id", "v")
     if n_asking:
         found = cut_lineage(
-            _union([_scan(dense_points, t, _count_in_reach(reach2), _TRIPLE) for t in _chunks(asking, "label", n_asking)])
+            _scan(dense_points, _chunks(asking, "label", n_asking), _count_in_reach(reach2), _TRIPLE)
             .groupBy("a", "b").agg(F.sum("n").alias("n")).filter("n > 0")
         )
         sure_counts = sure_counts.unionByName(found.select("a", "n")).groupBy("a").agg(F.sum("n").alias("n"))
@@ -260,7 +258,7 @@ def dbscan(rows: DataFrame, eps: float = 0.5, min_samples: int = 3) -> DataFrame
         return rows.select("id", F.col("id").alias("cluster_id")).filter(F.lit(False))
 
     # Links between core units, then components.
-    links = _union([_scan(cores, t, _sure_links(reach2), "a long, b long") for t in _chunks(cores, "label", n_cores)])
+    links = _scan(cores, _chunks(cores, "label", n_cores), _sure_links(reach2), "a long, b long")
     links = links.unionByName(found.select("a", "b").join(core_labels.withColumnRenamed("label", "a"), "a", "left_semi"))
     own = core_labels.select(F.col("label").alias("node"), F.col("label").alias("component"))
 
@@ -290,7 +288,7 @@ def dbscan(rows: DataFrame, eps: float = 0.5, min_samples: int = 3) -> DataFrame
         probes = dense_points.join(undecided.select(F.col("a").alias("unit")).distinct(), "unit", "left_semi")
         n_boxes = boxes.count()
         answers = cut_lineage(
-            _union([_scan(probes, t, _probe(reach2), _TRIPLE) for t in _chunks(boxes, "lo", n_boxes)]).groupBy("a", "b").agg(F.max("n").alias("n"))
+            _scan(probes, _chunks(boxes, "lo", n_boxes), _probe(reach2), _TRIPLE).groupBy("a", "b").agg(F.max("n").alias("n"))
         )
         links = cut_lineage(links.unionByName(answers.filter("n = 1").select("a", "b")))
         component = labelled(links)
@@ -308,7 +306,7 @@ def dbscan(rows: DataFrame, eps: float = 0.5, min_samples: int = 3) -> DataFrame
         out = pd.DataFrame({"node": block["label"].to_numpy(), "component": best})
         return out[out["component"] < np.iinfo(np.int64).max]
 
-    by_box = _union([_scan(border, t, reached, "node long, component long") for t in _chunks(core_component, "label", n_cores)])
+    by_box = _scan(border, _chunks(core_component, "label", n_cores), reached, "node long, component long")
     by_row = found.join(border.select(F.col("label").alias("a")), "a", "left_semi").join(
         component.select(F.col("node").alias("b"), "component"), "b"
     ).select(F.col("a").alias("node"), "component")

@@ -16,13 +16,14 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from tidewatch.functions import text as tx
 from tidewatch.functions.scoring import let
-from tidewatch.session import broadcast_if_small, cut_lineage
+from tidewatch.session import broadcast_if_small, cut_lineage, gathered
 from tidewatch.sources.corpus import with_credibility
 
 K1, B = 1.5, 0.75
@@ -99,13 +100,6 @@ def _in_block(key: str, i: int, n_blocks: int) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(n_blocks)) == i
 
 
-def _union_or_empty(parts: list[DataFrame], spark, schema: str) -> DataFrame:
-    out = parts[0] if parts else spark.createDataFrame([], schema)
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
-
-
 def _arrow_types(df: DataFrame, *columns: str) -> list[pa.DataType]:
     return [to_arrow_type(df.schema[c].dataType) for c in columns]
 
@@ -171,20 +165,24 @@ def bm25(claims: DataFrame, docs: DataFrame, k: int = POOL, k1: float = K1, b: f
     n_blocks = max(_blocks_of(n_claims, block), _blocks_of(n_pairs, ASKED_BLOCK))
     if n_blocks > 1:
         asked = cut_lineage(asked)
-    parts = []
-    for i in range(n_blocks):
-        mine = (asked if n_blocks == 1 else asked.filter(_in_block("claim_id", i, n_blocks))).toPandas()
-        terms = sorted(mine["term"].unique())
-        pruned = corpus.withColumn("tokens", _wanted(terms))
-        stats = term_statistics(pruned).toPandas().set_index("term") if terms else None  # at most one row per asked term
-        if stats is None or _EVERY_DOC not in stats.index:
-            continue
-        n, total_len = (float(x) for x in stats.loc[_EVERY_DOC])
-        df = stats["df"].reindex(terms).fillna(0).to_numpy(dtype=float)
-        idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
-        shared = spark.sparkContext.broadcast(_AskedTerms.of(mine, terms, idf, total_len / n))
-        parts.append(pruned.select("doc_id", "len", "tokens").mapInArrow(_score_terms(shared, k, k1, b, types), schema))
-    return top_k(_union_or_empty(parts, spark, schema), "claim_id", "bm25_score", "doc_id", k)
+
+    def parts() -> Iterator[tuple[DataFrame, Broadcast]]:
+        for i in range(n_blocks):
+            mine = (asked if n_blocks == 1 else asked.filter(_in_block("claim_id", i, n_blocks))).toPandas()
+            terms = sorted(mine["term"].unique())
+            pruned = corpus.withColumn("tokens", _wanted(terms))
+            stats = term_statistics(pruned).toPandas().set_index("term") if terms else None  # at most one row per asked term
+            if stats is None or _EVERY_DOC not in stats.index:
+                continue
+            n, total_len = (float(x) for x in stats.loc[_EVERY_DOC])
+            df = stats["df"].reindex(terms).fillna(0).to_numpy(dtype=float)
+            idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
+            shared = spark.sparkContext.broadcast(_AskedTerms.of(mine, terms, idf, total_len / n))
+            found = pruned.select("doc_id", "len", "tokens").mapInArrow(_score_terms(shared, k, k1, b, types), schema)
+            yield top_k(found, "claim_id", "bm25_score", "doc_id", k), shared  # a claim is in one block
+
+    best = gathered(parts(), "bm25")
+    return best if best is not None else top_k(spark.createDataFrame([], schema), "claim_id", "bm25_score", "doc_id", k)
 
 
 @dataclass
@@ -317,14 +315,18 @@ def vector_topk(queries: DataFrame, docs: DataFrame, k: int = POOL, dim: int | N
     n_blocks = _blocks_of(queries.count(), block)
     if n_blocks > 1:
         queries = cut_lineage(queries)
-    parts = []
-    for i in range(n_blocks):
-        mine = queries if n_blocks == 1 else queries.filter(_in_block("query_id", i, n_blocks))
-        table = mine.select("query_id", "vector").toArrow()
-        if table.num_rows:
-            shared = spark.sparkContext.broadcast((np.array(table.column("query_id").to_pylist()), _dense(table.column("vector"), dim)))
-            parts.append(docs.select("doc_id", "vector").mapInArrow(_score_vectors(shared, k, dim, types), schema))
-    return top_k(_union_or_empty(parts, spark, schema), "query_id", "vector_score", "doc_id", k)
+
+    def parts() -> Iterator[tuple[DataFrame, Broadcast]]:
+        for i in range(n_blocks):
+            mine = queries if n_blocks == 1 else queries.filter(_in_block("query_id", i, n_blocks))
+            table = mine.select("query_id", "vector").toArrow()
+            if table.num_rows:
+                shared = spark.sparkContext.broadcast((np.array(table.column("query_id").to_pylist()), _dense(table.column("vector"), dim)))
+                found = docs.select("doc_id", "vector").mapInArrow(_score_vectors(shared, k, dim, types), schema)
+                yield top_k(found, "query_id", "vector_score", "doc_id", k), shared  # a query is in one block
+
+    best = gathered(parts(), "vector-topk")
+    return best if best is not None else top_k(spark.createDataFrame([], schema), "query_id", "vector_score", "doc_id", k)
 
 
 def _score_vectors(shared, k: int, dim: int | None, types: list[pa.DataType]):

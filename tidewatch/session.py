@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import itertools
 import os
 import re
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -99,6 +102,26 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def gathered(parts: Iterator[tuple[DataFrame, Broadcast]], name: str) -> DataFrame | None:
+    """The union of parts that each read a broadcast of their own; None without parts.
+
+    A single part stays a plan.  Of several, each is written in the shared folder and its
+    broadcast destroyed before the one after the next is made, so that the driver holds two
+    broadcasts and one read, however many parts there are.
+    """
+    ahead = list(itertools.islice(parts, 2))
+    if len(ahead) < 2:
+        return ahead[0][0] if ahead else None
+    spark, schema = ahead[0][0].sparkSession, ahead[0][0].schema
+    path = scratch_path(spark, name)
+    while ahead:
+        part, shared = ahead.pop(0)
+        part.write.mode("append").parquet(path)
+        shared.destroy()
+        ahead += itertools.islice(parts, 1)
+    return spark.read.schema(schema).parquet(path)
+
+
 def broadcast_if_small(df: DataFrame, bound: int = BROADCAST_ROW_BOUND) -> DataFrame:
     """Broadcast hint only when a row count proves the side small.
 
