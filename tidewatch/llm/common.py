@@ -88,6 +88,7 @@ def put_file(folder: str, name: str, write) -> None:
 
     ``write(stream)`` fills a file of this attempt alone, which then takes the final
     name, so a second attempt after a lost executor replaces a whole file by an equal one.
+    A file that a lost attempt left there goes first: some stores refuse to rename onto it.
     """
     from pyarrow import fs
 
@@ -96,7 +97,10 @@ def put_file(folder: str, name: str, write) -> None:
     own = f"{base}/.{name}.{uuid.uuid4().hex}"
     with store.open_output_stream(own, compression=None) as stream:
         write(stream)
-    store.move(own, f"{base}/{name}")
+    final = f"{base}/{name}"
+    if store.get_file_info(final).type != fs.FileType.NotFound:
+        store.delete_file(final)
+    store.move(own, final)
 
 
 def as_uri(folder: str) -> str:

@@ -6,7 +6,8 @@ import public_tokenizers
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewatch.llm import decontamination, jaccard_join, language_id, line_dedup, mixing, quality_classifier, quality_rules, token_blocks, token_counts, warc
+from tidewatch.llm import decontamination, hard_negatives, importance, jaccard_join, language_id, line_dedup, mixing
+from tidewatch.llm import quality_classifier, quality_rules, sharding, token_blocks, token_counts, warc
 from tidewatch.llm.common import table
 
 
@@ -53,6 +54,19 @@ def op10_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_blocks.token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op11_row_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.row_shards(table(spark, sf_dir, "documents"))
+
+
+def op12_importance_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.hard_negatives(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_token_counts": op2_token_counts,
@@ -64,6 +78,9 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_source_mix": op9_source_mix,
     "op10_token_blocks": op10_token_blocks,
+    "op11_row_shards": op11_row_shards,
+    "op12_importance_resample": op12_importance_resample,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 ORACLES = {
@@ -154,4 +171,54 @@ ORACLES = {
         links AS (SELECT a AS doc_id, count(*) AS n_links FROM link GROUP BY 1)
         SELECT doc_id, coalesce(n, 0) AS n_grams, class_id, coalesce(n_links, 0) AS n_links
         FROM least_id LEFT JOIN size USING (doc_id) LEFT JOIN links USING (doc_id)""",
+    "op11_row_shards": r"""
+        WITH bits AS (SELECT [list_reduce(list_concat([CAST(b AS BIGINT)], range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)
+                              FOR b IN range(256)] AS t),
+        d AS (SELECT doc_id, source, encode(coalesce(text, '')) AS b FROM documents),
+        c AS (SELECT doc_id, source, CAST(octet_length(b) + 8 AS BIGINT) AS size,
+                     xor(list_reduce(list_concat([CAST(4294967295 AS BIGINT)], [CAST('0x' || substr(hex(b), 2 * k + 1, 2) AS BIGINT) FOR k IN range(octet_length(b))]),
+                                     lambda c, x: xor(t[(xor(c, x) & 255) + 1], c >> 8)), 4294967295) AS text_crc32
+              FROM d, bits),
+        keyed AS (SELECT *, CAST('0x' || substr(md5('=11|' || coalesce('=' || doc_id, '-') || '|' || coalesce('=' || source, '-') || '|=' || size || '|=' || text_crc32), 1, 15) AS BIGINT) AS key,
+                         CAST('0x' || substr(md5('=11|' || coalesce('=' || source, '-')), 1, 15) AS BIGINT) AS phase FROM c),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY key, doc_id NULLS FIRST) - 1 AS rank, count(*) OVER (PARTITION BY source) AS source_rows FROM keyed),
+        placed AS (SELECT *, row_number() OVER (ORDER BY (rank + CAST(phase AS DOUBLE) / 1152921504606846976.0::DOUBLE) / source_rows, phase, source NULLS FIRST, rank) - 1 AS place,
+                          count(*) OVER () AS n FROM ranked)
+        SELECT doc_id, size, text_crc32, 'rows' AS law, CAST(place * 24 // n AS INTEGER) AS shard,
+               place - ((place * 24 // n) * n + 23) // 24 AS slot, CAST(NULL AS INTEGER) AS grown_shard
+        FROM placed""",
+    "op12_importance_resample": r"""
+        WITH bits AS (SELECT [list_reduce(list_concat([CAST(b AS BIGINT)], range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)
+                              FOR b IN range(256)] AS t),
+        dw AS (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS word
+               FROM documents),
+        bw AS (SELECT unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS word FROM benchmark),
+        vocab AS (SELECT word FROM dw UNION SELECT word FROM bw),
+        crc AS (SELECT word, xor(list_reduce(list_concat([CAST(4294967295 AS BIGINT)],
+                                  [CAST('0x' || substr(hex(encode(word)), 2 * k + 1, 2) AS BIGINT) FOR k IN range(octet_length(encode(word)))]),
+                                 lambda c, x: xor(t[(xor(c, x) & 255) + 1], c >> 8)), 4294967295) % 10000 AS bucket FROM vocab, bits),
+        raw AS (SELECT bucket, count(*) AS s FROM dw JOIN crc USING (word) GROUP BY 1),
+        aim AS (SELECT bucket, count(*) AS t FROM bw JOIN crc USING (word) GROUP BY 1),
+        whole AS (SELECT (SELECT count(*) FROM dw) AS s_all, (SELECT count(*) FROM bw) AS t_all),
+        gain AS (SELECT bucket, CAST(floor(1000 * ln((CAST(coalesce(t, 0) AS DOUBLE) + 1) * (s_all + 10000) / ((CAST(s AS DOUBLE) + 1) * (t_all + 10000)))) AS BIGINT) AS g
+                 FROM raw LEFT JOIN aim USING (bucket), whole),
+        weighed AS (SELECT doc_id, count(*) AS n_features, CAST(sum(g) AS BIGINT) AS weight FROM dw JOIN crc USING (word) JOIN gain USING (bucket) GROUP BY 1),
+        scored AS (SELECT doc_id, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+                          coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('2024:' || doc_id), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score
+                   FROM documents LEFT JOIN weighed USING (doc_id)),
+        placed AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS place, count(*) OVER () AS n FROM scored WHERE n_features >= 20)
+        SELECT doc_id, n_features, weight, score, CASE WHEN place <= 10 * n // 100 THEN place END AS rank FROM scored LEFT JOIN placed USING (doc_id)""",
+    "op13_hard_negatives": r"""
+        WITH v AS (SELECT vec_id, CAST(CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS BIGINT) AS label,
+                          list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS w
+                   FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+                    AND coalesce(list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x))), true)),
+        pair AS (SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS same, CAST(list_inner_product(a.w, b.w) AS BIGINT) AS score
+                 FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+        pos AS (SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM pair WHERE same
+                QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5)
+        SELECT pos.anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY pos.anchor_id, positive_id ORDER BY score DESC, other_id) AS INTEGER) AS rank,
+               other_id AS negative_id, positive_score, score AS negative_score
+        FROM pos JOIN pair ON pair.anchor_id = pos.anchor_id AND NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+        QUALIFY row_number() OVER (PARTITION BY pos.anchor_id, positive_id ORDER BY score DESC, other_id) <= 10""",
 }
