@@ -15,7 +15,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tests.llm.test_operators import LONG, ROWS, docs, nothing, prose  # noqa: F401
-from tidewatch.llm import common, hard_negatives, importance, sharding
+from tidewatch.llm import common, hard_negatives, importance, sharding, token_blocks
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -205,3 +205,40 @@ def test_a_second_attempt_replaces_its_file(tmp_path):
     for text in (b"first", b"second"):
         common.put_file(folder, "a.bin", lambda stream, text=text: stream.write(text))
     assert os.listdir(tmp_path / "files") == ["a.bin"] and (tmp_path / "files" / "a.bin").read_bytes() == b"second"
+
+
+# words remembered by the token file writer
+
+PARTS = ["the", "The,", "don't", "'sam", "l'été", "Größe", "ΣΑΣ", "éa", "́", "x1y22", "“oui”", "<|endoftext|>", "a<|startoftext|>b", "</w>", "&&&'s", " ", "İI", "한국어", "日本　語", "½²", "\x1c", "\u0085", "ŉ", "", "!!", "'re're"]
+
+
+@pytest.fixture(scope="module")
+def encoder():
+    import public_tokenizers
+
+    return token_blocks.WordEncoder(public_tokenizers.path("word_bpe_49k.json"))
+
+
+@settings(max_examples=300, deadline=None)
+@given(
+    st.lists(st.lists(st.one_of(st.sampled_from(PARTS), st.sampled_from(" \t\n\r\x0b"), st.text(max_size=4)), max_size=14).map("".join), min_size=1, max_size=5),
+    st.sampled_from([1, 7, 1 << 20]),
+    st.sampled_from([3, 400_000]),
+)
+def test_remembered_words_are_whole_text_ids(encoder, texts, slice_chars, cached):
+    old = token_blocks.SLICE_CHARS, token_blocks.CACHED_PARTS
+    token_blocks.SLICE_CHARS, token_blocks.CACHED_PARTS = slice_chars, cached
+    try:
+        got = [np.frombuffer(b, "<u4").tolist() for b in encoder.encode_many([*texts, None])]
+    finally:
+        token_blocks.SLICE_CHARS, token_blocks.CACHED_PARTS = old
+    assert encoder.exact and got == [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts] + [[]]
+
+
+def test_other_tokenizers_encode_whole_texts():
+    import public_tokenizers
+
+    other = token_blocks.WordEncoder(public_tokenizers.path("byte_bpe_50k.json"))
+    assert not other.exact
+    text = "Don't  split\n\nme <|endoftext|> é"
+    assert other.encode(text).tolist() == other.tokenizer.encode(text, add_special_tokens=False).ids

@@ -23,7 +23,8 @@ from tidewatch.llm.common import as_uri, pick, written
 
 SHARDS = 24
 SEED = 11
-CELL_ROWS = 100_000
+CELL_ROWS = 10_000
+FILE_ROWS = 100_000
 KEY_BITS = 60
 EXTRA_BYTES = 8
 
@@ -92,7 +93,7 @@ def row_shards(docs: DataFrame, n_shards: int = SHARDS, seed: int = SEED) -> Dat
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-def write_shards(docs: DataFrame, folder: str, n_shards: int = SHARDS, seed: int = SEED, rows_per_file: int = CELL_ROWS) -> DataFrame:
+def write_shards(docs: DataFrame, folder: str, n_shards: int = SHARDS, seed: int = SEED, rows_per_file: int = FILE_ROWS) -> DataFrame:
     """Write ``doc_id, text, source`` as Parquet folders ``shard=<n>`` and return the table read back.
 
     Files hold consecutive slots and are sorted by them.  A text moves once to meet its place

@@ -21,9 +21,10 @@ alone: offsets are the running sum of the chunk index.
 from __future__ import annotations
 
 import os
+import re
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -38,9 +39,10 @@ from tidewatch.session import scratch_path
 MAGIC = b"TWPLANE1"
 BLOCK_IDS = 1 << 16
 FILE_IDS = 1 << 22
-ROWS_PER_TASK = 20_000
+ROWS_PER_TASK = 10_000
 END_ID = 1
 CACHED_PARTS = 400_000
+SLICE_CHARS = 1 << 20
 
 
 def to_planes(ids: np.ndarray, planes: int, unit: str) -> list[bytes]:
@@ -151,13 +153,40 @@ class FileReader:
             held = held[n:]
 
 
+# The rules of the tokenizer file that make parts between blanks independent.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+NORMAL_FORMS = [("NFC", None), ("Replace", r"\s+"), ("Lowercase", None)]
+WORD_END = "</w>"
+# SPLIT over lowered ASCII and the letters of Latin-1, which NFC leaves as they are
+_PLAIN = re.compile(r"[!-~\xc0-\xd6\xd8-\xf6\xf8-\xff]*")
+_PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[!-/:-@\[-`{-~]+")
+
+
+def _splits_alike(state: dict) -> bool:
+    """Whether a tokenizer's normaliser, splitter and model are the ones named above."""
+    normal = [(n.get("type"), (n.get("pattern") or {}).get("Regex")) for n in (state.get("normalizer") or {}).get("normalizers", [])]
+    steps = (state.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    model = state.get("model") or {}
+    return (
+        normal == NORMAL_FORMS
+        and [s.get("type") for s in steps] == ["Split", "ByteLevel"]
+        and (steps[0].get("pattern"), steps[0].get("behavior"), steps[0].get("invert")) == ({"Regex": SPLIT}, "Removed", True)
+        and (steps[1].get("add_prefix_space"), steps[1].get("use_regex")) == (False, False)
+        and (model.get("type"), model.get("dropout"), model.get("end_of_word_suffix")) == ("BPE", None, WORD_END)
+    )
+
+
 class WordEncoder:
-    """Ids of whole texts by the tokenizer of a file, with the parts between blanks remembered.
+    """Ids of whole texts by the tokenizer of a file, with what it has seen remembered.
 
     The tokenizer drops white space and never joins pieces over it, so a text's ids are those
-    of its parts in turn.  That holds when no added token has white space and the pattern of
-    the pre-tokenizer keeps only what is not white space; ``exact`` says so, otherwise whole
-    texts are encoded.  The memory is cleared at ``CACHED_PARTS`` parts.
+    of its parts between blanks in turn; a part of plain characters falls into pieces (letter
+    runs, single digits, runs of symbols), whose ids follow one another likewise.  Unseen
+    pieces are encoded many to a call with blanks between them and cut apart where a token
+    ends a word, other unseen parts by the offsets of their tokens.  ``exact`` says whether the
+    file's rules are those that this rests on and no added token has white space; otherwise
+    whole texts are encoded.  Either memory is cleared at ``CACHED_PARTS``; texts are taken in
+    slices of about ``SLICE_CHARS`` characters, cut at blanks.
     """
 
     def __init__(self, path: str):
@@ -169,34 +198,105 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        added = self.tokenizer.get_added_tokens_decoder().values()
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        kinds = self.tokenizer.get_added_tokens_decoder().values()
         state = json.loads(self.tokenizer.to_str())
-        first = (state.get("pre_tokenizer") or {}).get("pretokenizers", [{}])[0]
-        drops_blanks = first.get("type") == "Split" and first.get("behavior") == "Removed" and first.get("invert") is True
-        self.exact = drops_blanks and not any(any(c.isspace() for c in t.content) or t.lstrip or t.rstrip for t in added)
-        self.largest = max(self.tokenizer.get_vocab(with_added_tokens=True).values())
-        self.known: dict[str, bytes] = {}
-
-    def _learn(self, parts: list[str]) -> None:
-        if len(self.known) + len(parts) > CACHED_PARTS:
-            self.known.clear()
-        for part, e in zip(parts, self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)):
-            self.known[part] = np.array(e.ids, "<u4").tobytes()
-
-    def encode(self, text: str) -> np.ndarray:
-        if not self.exact:
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
-        ids = []
-        parts = text.replace("\t", " ").replace("\n", " ").replace("\r", " ").split(" ")
-        for at in range(0, len(parts), CACHED_PARTS // 4):
-            some = parts[at : at + CACHED_PARTS // 4]
-            new = [p for p in set(some) if p not in self.known]
-            if new:
-                self._learn(new)
-                if any(p not in self.known for p in some):  # cleared just now
-                    self._learn([p for p in set(some) if p not in self.known])
-            ids.append(b"".join(map(self.known.__getitem__, some)))
-        return np.frombuffer(b"".join(ids), "<u4")
+        self.exact = _splits_alike(state) and not any(any(c.isspace() for c in t.content) or t.lstrip or t.rstrip for t in kinds)
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.largest = max(vocabulary.values())
+        self.ends_word = np.zeros(self.largest + 1, bool)
+        self.ends_word[[i for token, i in vocabulary.items() if token.endswith(WORD_END)]] = True
+        self.parts: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _learn_pieces(self, new: list[str]) -> None:
+        (found,) = self.tokenizer.encode_batch_fast([" ".join(new)], add_special_tokens=False)
+        ids = np.array(found.ids, "<u4")
+        cuts = [0, *(4 * (np.flatnonzero(self.ends_word[ids]) + 1)).tolist()]
+        if len(cuts) != len(new) + 1 or cuts[-1] != 4 * len(ids):  # a piece without an end of its own
+            self.pieces.update((p, self._whole(p)) for p in new)
+            return
+        held = ids.tobytes()
+        for k, piece in enumerate(new):
+            self.pieces[piece] = held[cuts[k] : cuts[k + 1]]
+
+    def _learn_by_offsets(self, new: list[str]) -> None:
+        found = self.tokenizer.encode(" ".join(new), add_special_tokens=False)
+        ids = np.array(found.ids, "<u4")
+        starts = np.fromiter((a for a, _ in found.offsets), np.int64, len(ids))
+        begins = np.concatenate([[0], np.cumsum(np.fromiter(map(len, new), np.int64, len(new)) + 1)])
+        cuts, held = (4 * np.searchsorted(starts, begins)).tolist(), ids.tobytes()
+        for k, part in enumerate(new):
+            self.parts[part] = held[cuts[k] : cuts[k + 1]]
+
+    def _learn(self, new: set[str]) -> None:
+        marks = [t[:2] for t in self.added]
+        plain = {p: _PIECE.findall(p.lower()) for p in new if _PLAIN.fullmatch(p) and not any(m in p for m in marks)}
+        if len(self.pieces) > CACHED_PARTS:
+            self.pieces.clear()
+        unseen = {q for own in plain.values() for q in own}.difference(self.pieces)
+        if unseen:
+            self._learn_pieces(list(unseen))
+        known = self.pieces.__getitem__
+        for part, own in plain.items():
+            self.parts[part] = known(own[0]) if len(own) == 1 else b"".join(map(known, own))
+        other = [p for p in new if p not in plain]
+        if other:
+            self._learn_by_offsets(other)
+
+    def _known(self, slices: list[str]) -> list[bytes]:
+        """Ids of a few slices, as bytes."""
+        split = [t.replace("\t", " ").replace("\n", " ").replace("\r", " ").split(" ") for t in slices]
+        every = set().union(*split)
+        new = every.difference(self.parts)
+        if len(self.parts) + len(new) > CACHED_PARTS:
+            self.parts.clear()
+            new = every
+        if new:
+            self._learn(new)
+        known = self.parts.__getitem__
+        return [b"".join(map(known, own)) for own in split]
+
+    def encode_many(self, texts: Iterable[str | None]) -> Iterator[bytes]:
+        """Ids of every text, as little-endian unsigned 32-bit numbers; null has none."""
+        held: list[str] = []
+        last: list[bool] = []  # whether a held slice ends its text
+        size, begun = 0, []
+
+        def ready() -> Iterator[bytes]:
+            for ids, ends in zip(self._known(held), last):
+                begun.append(ids)
+                if ends:
+                    yield b"".join(begun) if len(begun) > 1 else ids
+                    begun.clear()
+            held.clear()
+            last.clear()
+
+        for text in texts:
+            text = text or ""
+            if not self.exact:
+                yield self._whole(text) if text else b""
+                continue
+            at = 0
+            while True:
+                end = text.find(" ", at + SLICE_CHARS) if at + SLICE_CHARS < len(text) else -1
+                held.append(text[at:end] if end >= 0 else text[at:])
+                last.append(end < 0)
+                size += len(held[-1])
+                if size >= SLICE_CHARS:
+                    yield from ready()
+                    size = 0
+                if end < 0:
+                    break
+                at = end
+        yield from ready()
+
+    def encode(self, text: str | None) -> np.ndarray:
+        (ids,) = self.encode_many([text])
+        return np.frombuffer(ids, "<u4")
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
@@ -215,8 +315,10 @@ def write_token_files(
     """Encode every text, append ``end_id``, write files in ascending doc_id order.
 
     Returns the folder and its manifest: ``file, first_part, part_no, n_docs, n_ids``.
-    Null ids sort first, rows of one id by a hash of the text; null texts are empty and have the end id
-    only.  Documents are dealt by ranges of doc_id once; a task writes files of about
+    Null ids sort first, rows of one id by a hash of the text (rows that repeat both are equal);
+    null and empty texts have the end id only; texts of any length are encoded in slices and may
+    make a file longer; an empty table makes no file and an empty manifest; other columns are
+    ignored.  Documents are dealt by ranges of doc_id once; a task writes files of about
     ``file_ids`` ids, so its memory does not grow with its share.
     """
     spark = docs.sparkSession
@@ -237,10 +339,11 @@ def write_token_files(
             put_file(folder, name, out.finish)
             made.append((name, part, len(made), len(out.docs) // 3, out.n_ids))
 
-        end = np.array([end_id], "<u4")
+        end = struct.pack("<I", end_id)
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                out.add(doc_id, np.concatenate([encoder.encode(text), end]) if text else end)
+            texts = (v.as_py() for v in batch.column(1))
+            for doc_id, ids in zip(batch.column(0).to_pylist(), encoder.encode_many(texts)):
+                out.add(doc_id, np.frombuffer(ids + end, "<u4"))
                 if out.n_ids >= file_ids:
                     close()
                     out = FileWriter(largest, unit, block_ids)
