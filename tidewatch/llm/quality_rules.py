@@ -24,6 +24,8 @@ MIN_WORDS = 10
 MAX_REPEATED_PERCENT = 20
 WINDOW = 5
 SYMBOL = r"[#*$%&|<>]"
+MEASURED = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_grams", "score_micro"]
+RESULT = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_grams", "score_micro", "base_failed", "kept"]
 BLANKS = "\t\n\x0b\x0c\r "
 
 
@@ -125,13 +127,16 @@ def with_quality(df: DataFrame, weights: list[int], text: str = "text", threshol
     df = df.select(*had, F.array_sort(F.transform(again, lambda x: x["i"])).alias("__p"))
     p = F.col("__p")
     df = df.select(*had, F.transform(p, lambda i, k: F.least(F.coalesce(F.get(p, k + 1) - i, F.lit(WINDOW)), F.lit(WINDOW)).cast("long")).alias("__c"))
-    df = df.select(*had, F.aggregate("__c", F.lit(0).cast("long"), lambda acc, c: acc + c).alias("n_repeat_words"))
+    repeats = F.aggregate("__c", F.lit(0).cast("long"), lambda acc, c: acc + c)
+    # the results leave a generator: no filter on them can go below it, where Spark would put
+    # the nested expressions into one another and compute them anew for every word
+    had = [c for c in had if c not in RESULT]
+    df = df.select(*had, F.inline_outer(F.array(F.struct(*MEASURED, repeats.alias("n_repeat_words")))))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED_PERCENT * F.col("n_words"))
     df = df.withColumn("base_failed", failed)
     return df.withColumn("kept", ~F.col("base_failed") & (F.col("score_micro") >= threshold_micro * F.col("n_grams")))
 
 
-RESULT = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_grams", "score_micro", "base_failed", "kept"]
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, threshold_micro: int = THRESHOLD_MICRO) -> DataFrame:
@@ -143,14 +148,15 @@ def quality_rules(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, th
     ignored.
     """
     weights = bucket_weights(docs, labels, buckets)
-    return with_quality(pick(docs, doc_id="long", text="string"), weights, threshold_micro=threshold_micro).select(*RESULT)
+    return with_quality(pick(docs, doc_id="long", text="string"), weights, threshold_micro=threshold_micro).select("doc_id", *RESULT)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, threshold_micro: int = THRESHOLD_MICRO) -> DataFrame:
-    """The documents that are kept, with all their columns."""
+    """The documents that are kept, with all their columns, whatever their names.
+
+    Nulls, empty texts, ties, repeated rows and empty tables as in ``quality_rules``: each row
+    is judged alone, so of repeated rows all stay or none.
+    """
     weights = bucket_weights(docs, labels, buckets)
     rows, names = beside(docs, text="string")
-    # asking for the row number keeps the filter where it is: pushed below, it would compute
-    # the nested expressions anew for every word
-    judged = with_quality(rows, weights, threshold_micro=threshold_micro).withColumn("__row", F.monotonically_increasing_id())
-    return original(judged.where("kept AND __row >= 0"), names)
+    return original(with_quality(rows, weights, threshold_micro=threshold_micro).where("kept"), names)
