@@ -15,7 +15,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tests.llm.test_operators import LONG, ROWS, docs, nothing, prose  # noqa: F401
-from tidewatch.llm import common, hard_negatives, importance, sharding, token_blocks
+from tidewatch.llm import common, hard_negatives, importance, jaccard_join, sharding, token_blocks
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -242,3 +242,25 @@ def test_other_tokenizers_encode_whole_texts():
     assert not other.exact
     text = "Don't  split\n\nme <|endoftext|> é"
     assert other.encode(text).tolist() == other.tokenizer.encode(text, add_special_tokens=False).ids
+
+
+# links of ids with several texts
+
+
+def test_links_are_between_documents(spark):
+    x, y, z = prose(90, 40), prose(90, 41), prose(90, 42)
+    data = [(3, x + " end"), (5, x), (5, "start " + x), (6, y), (7, y), (7, z), (8, z + " end"), (8, z), (9, x + " end"), (10, prose(60, 43)), (10, prose(60, 44)), (11, ""), (11, z), (12, y), (12, y)]
+    got = jaccard_join.near_duplicates(spark.createDataFrame([(*r, "?") for r in data], "doc_id long, text string, rep string"))
+    grams = lambda t: {tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)}
+    near = {}
+    for a, s in data:
+        for b, t in data:
+            if a != b and s and t and len(grams(s) & grams(t)) >= 0.8 * len(grams(s) | grams(t)):
+                near.setdefault(a, set()).add(b)
+    assert near[3] == {5, 9} and near[7] == {6, 12, 8, 11}
+    rows = got.collect()
+    assert len(rows) == len(data)
+    for r in rows:
+        empty = r.n_grams == 0
+        want = {3: 3, 5: 3, 9: 3, 10: 10}.get(r.doc_id, 6)
+        assert (r.class_id, r.n_links) == ((r.doc_id, 0) if empty else (want, len(near.get(r.doc_id, ())))), r

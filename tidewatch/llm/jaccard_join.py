@@ -28,12 +28,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.llm.common import beside, original, pick, text_slices, written
 from tidewatch.llm.fm_index import hash_words
-from tidewatch.session import cut_lineage
+from tidewatch.session import broadcast_if_small, cut_lineage
 
 NGRAM = 5
 THRESHOLD = 0.8
@@ -43,6 +43,7 @@ STEP = 16
 TOLERANCE = 1e-6
 BLOCK_MEMBERS = 256
 BLOCK_GRAMS = 400_000
+SALTS = 16
 
 SLICE_BYTES = 4 << 20
 _IS_WORD = np.ones(256, bool)
@@ -252,18 +253,37 @@ def _surviving(tiles: DataFrame, reps: DataFrame, threshold: float, tolerance: f
 
 
 def _linked(tiles: DataFrame, sets: DataFrame, threshold: float, tolerance: float) -> DataFrame:
-    """``rep, star, links``: per tile and member, its links (copies counted) and its star."""
+    """``rep, star, links, other``: per tile and member, the documents of its links and its star.
+
+    ``links`` counts documents of one set only; a link from or to a set that shares an id with
+    another set is named as well, in a row of its own with ``other``.
+    """
     least = least_matches(threshold, tolerance)
 
     def solve(members: list[list], bucket: int, ti: int, tj: int, band: int) -> list[tuple]:
         a, b = _pruned(members, band, ti, tj, least)
-        a, b = _verified([np.frombuffer(m[4], np.uint64) for m in members], a, b, threshold)
-        copies = np.array([m[3] for m in members])
-        links = np.bincount(a, copies[b], len(members)) + np.bincount(b, copies[a], len(members))
+        a, b = _verified([np.frombuffer(m[5], np.uint64) for m in members], a, b, threshold)
+        singles, shared = np.array([m[3] for m in members]), np.array([m[4] for m in members], bool)
+        links = np.bincount(a, singles[b], len(members)) + np.bincount(b, singles[a], len(members))
         star = _stars(len(members), a, b)
-        return [(members[i][0], members[star[i]][0], int(links[i])) for i in np.flatnonzero(links)]
+        out = [(members[i][0], members[star[i]][0], int(links[i]), None) for i in np.union1d(a, b)]
+        named = shared[a] | shared[b]
+        for i, j in zip(a[named], b[named]):
+            out += [(members[x][0], members[x][0], 0, members[y][0]) for x, y in ((i, j), (j, i))]
+        return out
+
+    return _by_tile(tiles.join(sets, "rep"), ["rep", "block", "sketch", "singles", "shared", "grams"], solve, "rep long, star long, links long, other long")
+
 
-    return _by_tile(tiles.join(sets, "rep"), ["rep", "block", "sketch", "copies", "grams"], solve, "rep long, star long, links long")
+def _with_head(rows: DataFrame, heads: DataFrame, spread: str) -> DataFrame:
+    """``rows`` joined by ``class`` with ``heads``, one row per class.
+
+    A class may hold most rows: its head is repeated ``SALTS`` times, and its rows are dealt
+    among them by ``spread``.
+    """
+    dealt = rows.withColumn("salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)))
+    repeated = heads.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>")))
+    return dealt.join(repeated, ["class", "salt"]).drop("salt")
 
 
 def classes(edges: DataFrame) -> DataFrame:
@@ -278,28 +298,52 @@ def classes(edges: DataFrame) -> DataFrame:
     while True:
         near = both.join(labels.select(F.col("rep").alias("star"), F.col("class").alias("theirs")), "star").groupBy("rep").agg(F.min("theirs").alias("theirs"))
         next_labels = labels.join(near, "rep").select("rep", F.col("class").alias("before"), F.least("class", "theirs").alias("class"))
-        jump = labels.select(F.col("rep").alias("class"), F.col("class").alias("further"))
-        next_labels = cut_lineage(next_labels.join(jump, "class").select("rep", "before", F.least("class", "further").alias("class")))
+        used = next_labels.select("class").distinct()
+        jump = labels.select(F.col("rep").alias("class"), F.col("class").alias("further")).join(used, "class", "left_semi")
+        next_labels = cut_lineage(_with_head(next_labels, jump, "rep").select("rep", "before", F.least("class", "further").alias("class")))
         if next_labels.where("before <> class").limit(1).count() == 0:
             return next_labels.select("rep", "class")
         labels = next_labels.select("rep", "class")
 
 
-def _linked_sets(docs: DataFrame, n: int, threshold: float, tolerance: float, node: Column) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The sketches of all rows, one row per different set, and the links between the sets.
+def _linked_sets(docs: DataFrame, n: int, threshold: float, tolerance: float, by_document: bool) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """The sketches of all rows, one row per different set, the links between the sets, and
+    the sets of ids that have several (only ``by_document``; else none are looked for).
 
-    ``node`` numbers a set as ``rep``: by its least ``doc_id``, or by a number of its own.
+    ``rep`` numbers a set; ids play no part in it.
     """
     rows = pick(docs, doc_id="long", text="string")
     sketches = written(_sketches(rows.withColumn("text_hash", F.xxhash64("text")), n), "sketches")
     named = sketches.where("digest IS NOT NULL AND doc_id IS NOT NULL")
     # one row per different set: the least id, and of that id one text, stands for it
     reps = named.groupBy("digest").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"), F.count_distinct("doc_id").alias("copies"), F.first("n_grams").alias("n_grams"), F.first("sketch").alias("sketch"))
-    reps = written(reps.select("digest", "first.doc_id", "first.text_hash", "copies", "n_grams", "sketch").withColumn("rep", node), "near-sets")
+    members = named.select("doc_id", "digest").distinct()
+    if not by_document:
+        members = members.limit(0)
+    several = broadcast_if_small(written(members.groupBy("doc_id").count().where("count > 1").select("doc_id"), "shared-ids"))
+    members = written(members.join(several, "doc_id"), "shared-members")
+    per_set = members.groupBy("digest").agg(F.count(F.lit(1)).alias("n_shared"))
+    reps = reps.join(per_set, "digest", "left").withColumn("n_shared", F.coalesce("n_shared", F.lit(0)))
+    reps = reps.select("digest", "first.doc_id", "first.text_hash", "copies", (F.col("copies") - F.col("n_shared")).alias("singles"), (F.col("n_shared") > 0).cast("int").alias("shared"), "n_grams", "sketch")
+    reps = written(reps.withColumn("rep", F.monotonically_increasing_id()), "near-sets")
     tiles = written(_surviving(_candidate_tiles(reps), reps, threshold, tolerance), "near-tiles")
     taking_part = tiles.select("rep").distinct()
     sets = _sets(rows, reps.join(taking_part, "rep"), n)
-    return sketches, reps, written(_linked(tiles, sets, threshold, tolerance), "near-links")
+    links = written(_linked(tiles, sets, threshold, tolerance), "near-links")
+    return sketches, reps, links, written(members.join(reps.select("digest", "rep"), "digest").select("doc_id", "rep"), "shared-sets")
+
+
+def _shared_counts(reps: DataFrame, links: DataFrame, shared: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Links where an id has several sets: ``rep, n_shared``, the ids with several sets among
+    a set and its neighbours, and ``doc_id, n_links`` of those ids themselves."""
+    own = reps.where("shared = 1").select("rep", F.col("rep").alias("other"))
+    near = written(links.where("other IS NOT NULL").select("rep", "other").distinct().union(own), "shared-links")
+    ids = shared.select(F.col("doc_id").alias("near_doc"), F.col("rep").alias("other"))
+    per_set = near.join(ids, "other").select("rep", "near_doc").distinct().groupBy("rep").agg(F.count(F.lit(1)).alias("n_shared"))
+    reached = written(shared.join(near, "rep").select("doc_id", "other").distinct(), "shared-reach")
+    singles = reached.join(reps.select(F.col("rep").alias("other"), "singles"), "other").groupBy("doc_id").agg(F.sum("singles").alias("n"))
+    others = reached.join(ids, "other").select("doc_id", "near_doc").distinct().groupBy("doc_id").agg(F.count(F.lit(1)).alias("m"))
+    return per_set, singles.join(others, "doc_id").select("doc_id", (F.col("n") + F.col("m") - 1).alias("n_links"))
 
 
 def near_duplicates(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
@@ -309,21 +353,29 @@ def near_duplicates(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOL
     the other documents of similarity ``threshold`` or more, copies included.  Null and
     empty texts have no n-grams, are linked to nothing and keep their own id as class; so do
     rows with a null doc_id, whose class is null.  Rows that repeat an id and a text count
-    as one document; rows that share an id but not the text are one node with both texts'
-    links to others.  An empty table gives no rows; other columns are ignored.
+    as one document; so do rows that share an id but not the text: that document is linked
+    to each other document once, however many of its texts are near, never to itself, and
+    connects the classes of its texts.  An empty table gives no rows; other columns are ignored.
     """
-    sketches, reps, links = _linked_sets(docs, n, threshold, tolerance, F.col("doc_id"))
-    found = classes(links)
+    sketches, reps, links, shared = _linked_sets(docs, n, threshold, tolerance, by_document=True)
+    firsts = shared.groupBy("doc_id").agg(F.min("rep").alias("star"))  # one row per id with several sets
+    joined = shared.join(broadcast_if_small(firsts), "doc_id").select("rep", "star")
+    found = classes(links.select("rep", "star").union(joined))
+    by_set = reps.join(found, "rep", "left").withColumn("class", F.coalesce("class", "rep"))
+    heads = by_set.groupBy("class").agg(F.min("doc_id").alias("class_id"))
     totals = links.groupBy("rep").agg(F.sum("links").alias("links"))
-    by_set = reps.select("digest", "rep", "copies").join(found, "rep", "left").join(totals, "rep", "left")
-    by_set = by_set.select("digest", F.coalesce("class", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    placed = sketches.join(by_set, "digest", "left")
+    per_set, per_id = _shared_counts(reps, links, shared)
+    by_set = _with_head(by_set.select("digest", "rep", "singles", "class"), heads, "rep").join(totals, "rep", "left").join(per_set, "rep", "left")
+    count = F.coalesce("links", F.lit(0)) + F.col("singles") + F.coalesce("n_shared", F.lit(0)) - 1
+    placed = sketches.join(by_set.select("digest", "class_id", count.alias("n_links")), "digest", "left")
+    placed = placed.join(broadcast_if_small(written(per_id.select(F.col("doc_id").alias("shared_id"), F.col("n_links").alias("own_links")), "shared-counts")), F.col("doc_id") == F.col("shared_id"), "left")
     in_class = F.col("doc_id").isNotNull()
-    return placed.select("doc_id", "n_grams", F.when(in_class, F.coalesce("class_id", "doc_id")).alias("class_id"), F.when(in_class, F.coalesce("n_links", F.lit(0))).otherwise(F.lit(0)).cast("long").alias("n_links"))
+    n_links = F.when(in_class & F.col("digest").isNotNull(), F.coalesce("own_links", "n_links")).otherwise(F.lit(0))
+    return placed.select("doc_id", "n_grams", F.when(in_class, F.coalesce("class_id", "doc_id")).alias("class_id"), n_links.cast("long").alias("n_links"))
 
 
 def _sets(rows: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
-    """``rep, copies, sketch, grams`` of the representatives that meet others: their texts are
+    """``rep, singles, shared, sketch, grams`` of the representatives that meet others: their texts are
     read again, which moves a tenth of what keeping all sets would."""
     # a merge join at every size: what takes part grows with the input
     texts = rows.hint("merge").join(wanted.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi").select("text")
@@ -341,7 +393,7 @@ def _sets(rows: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
                 yield _records(out, ["digest", "grams"], pa.binary())
 
     made = texts.mapInArrow(scan, "digest binary, grams binary").dropDuplicates(["digest"])
-    return wanted.select("digest", "rep", "copies", "sketch").join(made, "digest").drop("digest")
+    return wanted.select("digest", "rep", "singles", "shared", "sketch").join(made, "digest").drop("digest")
 
 
 def one_of_each(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
@@ -350,12 +402,13 @@ def one_of_each(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD, t
     Classes are of sets here, whatever ids their rows have: of a class the row of the least
     doc_id stays, of equal rows one, and of several texts of that id the one of the least
     hash.  Rows that share an id but are not linked stay beside each other.  Rows without an
-    id or without words are nobody's copy and stay.
+    id or without words are nobody's copy and stay.  An empty table gives no rows; other
+    columns, whatever their names, come along.
     """
-    sketches, reps, links = _linked_sets(docs, n, threshold, tolerance, F.monotonically_increasing_id())
+    sketches, reps, links, _ = _linked_sets(docs, n, threshold, tolerance, by_document=False)
     by_set = reps.join(classes(links), "rep", "left").withColumn("class", F.coalesce("class", "rep"))
     stays = by_set.groupBy("class").agg(F.min(F.struct("doc_id", "text_hash")).alias("stays"))
-    by_set = by_set.select("digest", "class").join(stays, "class").select("digest", "stays")
+    by_set = _with_head(by_set.select("digest", "rep", "class"), stays, "rep").select("digest", "stays")
     placed = sketches.where("doc_id IS NOT NULL").join(by_set, "digest").groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("rows"), F.first("stays").alias("stays"))
     placed = written(placed.select(F.col("doc_id").alias("__doc"), F.col("text_hash").alias("__hash"), "rows", F.struct("doc_id", "text_hash").eqNullSafe(F.col("stays")).alias("kept")).where("NOT kept OR rows > 1"), "near-copies")
     rows, names = beside(docs, doc_id="long", text="string")
