@@ -5,6 +5,7 @@ import math
 import os
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -15,7 +16,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tests.llm.test_operators import LONG, ROWS, docs, nothing, prose  # noqa: F401
-from tidewatch.llm import common, hard_negatives, importance, jaccard_join, sharding, token_blocks
+from tidewatch.llm import common, hard_negatives, importance, jaccard_join, line_dedup, quality_rules, sharding, token_blocks
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -264,3 +265,33 @@ def test_links_are_between_documents(spark):
         empty = r.n_grams == 0
         want = {3: 3, 5: 3, 9: 3, 10: 10}.get(r.doc_id, 6)
         assert (r.class_id, r.n_links) == ((r.doc_id, 0) if empty else (want, len(near.get(r.doc_id, ())))), r
+
+
+# fingerprints of lines
+
+
+def test_fingerprints_of_one_place_are_dropped(spark):
+    """A line that is in every document, each time among others, and one passage in three of them."""
+    common, run = prose(12, 7), [prose(20, 80 + k) for k in range(4)]
+    texts = {k: "\n".join([prose(20, 100 + k), common, prose(25, 200 + k), common, prose(30, 300 + k)]) for k in range(30)}
+    for k in (5, 6, 29):
+        texts[k] += "\n" + "\n".join(run)
+    frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    windows = line_dedup._windows(line_dedup._lines(frame), 50)
+    left = line_dedup._with_shared_print(windows)
+    counts = Counter(r.print for r in windows.select("doc_id", "h", "pick", "print").distinct().collect())
+    assert 0 < left.count() < windows.count()
+    assert {r.print for r in left.collect()} == {x for x, n in counts.items() if n > 1}
+    got = {r.doc_id: r.deleted_lines for r in line_dedup.line_dedup(frame).collect()}
+    assert {d for d, lost in got.items() if lost} == {6, 29} and got[6] == "5,6,7,8"
+
+
+def test_verdicts_can_be_filtered(spark):
+    sf = "/root/testdata/sf0.001"
+    judged = quality_rules.quality_rules(common.table(spark, sf, "documents"), common.table(spark, sf, "labels"))
+    every = judged.toPandas()
+    begun = time.monotonic()
+    assert judged.where("kept").count() == every.kept.sum()
+    assert judged.where("n_repeat_words > 0").count() == (every.n_repeat_words > 0).sum()
+    assert judged.where("base_failed").count() == every.base_failed.sum()
+    assert time.monotonic() - begun < 60

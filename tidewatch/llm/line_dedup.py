@@ -6,9 +6,15 @@ itself.  From each window its smallest line hash is selected, the leftmost of eq
 the fingerprints of the document.  A run of lines that occurs twice with ``min_words`` words
 or more holds the same window in both places, hence the same fingerprint: none is missed.
 
-A fingerprint is joined with one position only, that of the earliest occurrence of its
-window in (doc_id, text hash, line) order, so a line that is everywhere makes no pairs.
-Fingerprints of one document with the same distance to the same earlier document are one
+Fingerprints (line hash, document, place) are joined by their line hash: one that is at a
+single place of the corpus is dropped with the windows it was selected from, which is what
+becomes of most of a large corpus.  What two places share is decided on the windows of the
+fingerprints left: a window is compared with the earliest occurrence of the same window in
+(doc_id, text hash, line) order, never with the earliest place of its fingerprint alone, since
+that line may stand there among others and the match with a third place would be lost.  A
+line that is everywhere makes no pairs either way.
+
+Windows of one document with the same distance to the same earlier document are one
 match; it is extended both ways over all lines that are equal at that distance, and every
 unbroken run of equal lines that holds a window is deleted from the later place.  The
 earliest occurrence always stays.
@@ -23,6 +29,7 @@ from pyspark.sql import functions as F
 from tidewatch.llm.common import WORD, pick, written
 
 MIN_WORDS = 50
+SALTS = 16
 BLANKS = "\t\n\x0b\x0c\r "
 
 
@@ -38,7 +45,8 @@ def _lines(docs: DataFrame) -> DataFrame:
 
 
 def _windows(hashed: DataFrame, min_words: int) -> DataFrame:
-    """``doc_id, h, first, last, pick, window``: places of all windows and of their minima."""
+    """``doc_id, h, first, len, pick, print, window``: all windows, the place and hash of their
+    minimum and a hash of their content."""
     n = F.col("n")
     # a window has no more than min_words lines, so looking that far is enough at any length
     def at(i):
@@ -54,16 +62,28 @@ def _windows(hashed: DataFrame, min_words: int) -> DataFrame:
     found = hashed.select("doc_id", "h", "x", F.filter(F.transform(n, lambda _, i: at(i)), lambda w: w["words"] >= min_words).alias("w"))
     each = found.select("doc_id", "h", "x", F.explode_outer("w").alias("w")).where("w IS NOT NULL").select("doc_id", "h", F.col("w.first").alias("first"), F.col("w.len").alias("len"), F.slice("x", F.col("w.first") + 1, F.col("w.len")).alias("x"))
     return each.select(
-        "doc_id", "h", "first", "len",
+        "doc_id", "h", "first", "len", F.array_min("x").alias("print"),
         (F.col("first") + F.array_position("x", F.array_min("x")).cast("int") - 1).alias("pick"),
         F.concat(F.xxhash64("x"), F.lit(" "), F.md5(F.concat_ws(" ", F.transform("x", lambda v: v.cast("string"))).cast("binary"))).alias("window"),
     )
 
 
+def _with_shared_print(windows: DataFrame) -> DataFrame:
+    """The windows whose fingerprint is selected at two places or more.
+
+    The fingerprints are repeated ``SALTS`` times and a window goes to one of them by its own
+    place, so that those of a very common line don't meet in one task.
+    """
+    place = F.struct("doc_id", "h", "pick")
+    prints = windows.groupBy("print").agg(F.min(place).alias("low"), F.max(place).alias("high")).where("NOT (low <=> high)")
+    prints = prints.select("print", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>")).alias("salt"))
+    return windows.withColumn("salt", F.pmod(F.xxhash64("doc_id", "h", "first"), F.lit(SALTS))).join(prints, ["print", "salt"], "left_semi").drop("salt")
+
+
 def matches(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """``doc_id, h, at``: the places to delete, counted over lines with words from 0."""
     keyed = _lines(docs)
-    windows = written(_windows(keyed, min_words), "line-windows")
+    windows = written(_with_shared_print(written(_windows(keyed, min_words), "line-windows")), "line-fingerprints")
     here = F.struct("doc_id", "h", "first")
     first_seen = windows.groupBy("window").agg(F.min(here).alias("origin"), F.count(F.lit(1)).alias("times")).where("times > 1")
     paired = windows.join(first_seen.select("window", "origin"), "window").select(
