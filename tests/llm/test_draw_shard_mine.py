@@ -210,7 +210,7 @@ def test_a_second_attempt_replaces_its_file(tmp_path):
 
 # words remembered by the token file writer
 
-PARTS = ["the", "The,", "don't", "'sam", "l'été", "Größe", "ΣΑΣ", "éa", "́", "x1y22", "“oui”", "<|endoftext|>", "a<|startoftext|>b", "</w>", "&&&'s", " ", "İI", "한국어", "日本　語", "½²", "\x1c", "\u0085", "ŉ", "", "!!", "'re're"]
+PARTS = ["the", "The,", "don't", "'sam", "l'été", "Größe", "ΣΑΣ", "éa", "́", "x1y22", "“oui”", "<|endoftext|>", "a<|startoftext|>b", "</w>", "&&&'s", " ", "İI", "한국어", "日本　語", "½²", "\x1c", "\u0085", "ŉ", "", "!!", "'re're", "ŁÓDŹ", "ŒUVRE's", "ſĲĸ"]
 
 
 @pytest.fixture(scope="module")

@@ -157,9 +157,10 @@ class FileReader:
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 NORMAL_FORMS = [("NFC", None), ("Replace", r"\s+"), ("Lowercase", None)]
 WORD_END = "</w>"
-# SPLIT over lowered ASCII and the letters of Latin-1, which NFC leaves as they are
-_PLAIN = re.compile(r"[!-~\xc0-\xd6\xd8-\xf6\xf8-\xff]*")
-_PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[!-/:-@\[-`{-~]+")
+# SPLIT over lowered ASCII and the Latin letters that NFC and lower-casing treat one by one
+_LETTERS = r"\xc0-\xd6\xd8-\xf6\xf8-įı-ňŊ-ž"
+_PLAIN = re.compile(rf"[\t\n\r -~{_LETTERS}]*")
+_PIECE = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[a-z{_LETTERS}]+|[0-9]|[!-/:-@\[-`{{-~]+")
 
 
 def _splits_alike(state: dict) -> bool:
@@ -180,13 +181,13 @@ class WordEncoder:
     """Ids of whole texts by the tokenizer of a file, with what it has seen remembered.
 
     The tokenizer drops white space and never joins pieces over it, so a text's ids are those
-    of its parts between blanks in turn; a part of plain characters falls into pieces (letter
+    of its parts between blanks in turn; a text of plain characters falls into pieces (letter
     runs, single digits, runs of symbols), whose ids follow one another likewise.  Unseen
     pieces are encoded many to a call with blanks between them and cut apart where a token
-    ends a word, other unseen parts by the offsets of their tokens.  ``exact`` says whether the
-    file's rules are those that this rests on and no added token has white space; otherwise
-    whole texts are encoded.  Either memory is cleared at ``CACHED_PARTS``; texts are taken in
-    slices of about ``SLICE_CHARS`` characters, cut at blanks.
+    ends a word; the parts of other texts by the offsets of their tokens.  ``exact`` says
+    whether the file's rules are those that this rests on and no added token has white space;
+    otherwise whole texts are encoded.  Either memory is cleared at ``CACHED_PARTS``; texts are
+    taken in slices of about ``SLICE_CHARS`` characters, cut at blanks.
     """
 
     def __init__(self, path: str):
@@ -198,8 +199,8 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         kinds = self.tokenizer.get_added_tokens_decoder().values()
+        self.marks = sorted({t.content[:2] for t in kinds})  # a text without any has no added token
         state = json.loads(self.tokenizer.to_str())
         self.exact = _splits_alike(state) and not any(any(c.isspace() for c in t.content) or t.lstrip or t.rstrip for t in kinds)
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
@@ -232,34 +233,27 @@ class WordEncoder:
         for k, part in enumerate(new):
             self.parts[part] = held[cuts[k] : cuts[k + 1]]
 
-    def _learn(self, new: set[str]) -> None:
-        marks = [t[:2] for t in self.added]
-        plain = {p: _PIECE.findall(p.lower()) for p in new if _PLAIN.fullmatch(p) and not any(m in p for m in marks)}
-        if len(self.pieces) > CACHED_PARTS:
-            self.pieces.clear()
-        unseen = {q for own in plain.values() for q in own}.difference(self.pieces)
-        if unseen:
-            self._learn_pieces(list(unseen))
-        known = self.pieces.__getitem__
-        for part, own in plain.items():
-            self.parts[part] = known(own[0]) if len(own) == 1 else b"".join(map(known, own))
-        other = [p for p in new if p not in plain]
-        if other:
-            self._learn_by_offsets(other)
-
-    def _known(self, slices: list[str]) -> list[bytes]:
-        """Ids of a few slices, as bytes."""
-        split = [t.replace("\t", " ").replace("\n", " ").replace("\r", " ").split(" ") for t in slices]
+    def _joined(self, split: list[list[str]], memory: dict[str, bytes], learn) -> list[bytes]:
+        """Ids of lists of pieces or parts, after learning the unseen ones."""
         every = set().union(*split)
-        new = every.difference(self.parts)
-        if len(self.parts) + len(new) > CACHED_PARTS:
-            self.parts.clear()
+        new = every.difference(memory)
+        if len(memory) + len(new) > CACHED_PARTS:
+            memory.clear()
             new = every
         if new:
-            self._learn(new)
-        known = self.parts.__getitem__
+            learn(list(new))
+        known = memory.__getitem__
         return [b"".join(map(known, own)) for own in split]
 
+    def _known(self, slices: list[str]) -> list[bytes]:
+        """Ids of a few slices, as bytes."""
+        plain = [bool(_PLAIN.fullmatch(t)) and not any(m in t for m in self.marks) for t in slices]
+        pieces = [_PIECE.findall(t.lower()) for t, is_plain in zip(slices, plain) if is_plain]
+        parts = [t.replace("\t", " ").replace("\n", " ").replace("\r", " ").split(" ") for t, is_plain in zip(slices, plain) if not is_plain]
+        by_piece = iter(self._joined(pieces, self.pieces, self._learn_pieces))
+        by_part = iter(self._joined(parts, self.parts, self._learn_by_offsets))
+        return [next(by_piece if is_plain else by_part) for is_plain in plain]
+
     def encode_many(self, texts: Iterable[str | None]) -> Iterator[bytes]:
         """Ids of every text, as little-endian unsigned 32-bit numbers; null has none."""
         held: list[str] = []
