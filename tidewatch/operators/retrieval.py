@@ -23,6 +23,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from tidewatch.functions import text as tx
 from tidewatch.functions.scoring import let
+from tidewatch.operators import postings
 from tidewatch.session import broadcast_if_small, cut_lineage, gathered
 from tidewatch.sources.corpus import with_credibility
 
@@ -65,17 +66,26 @@ class _RunningTopK:
     def __init__(self, query_ids: np.ndarray, k: int, positive_only: bool):
         self.query_ids, self.k, self.positive_only = query_ids, k, positive_only
         self.found: list[tuple[np.ndarray, np.ndarray] | None] = [None] * len(query_ids)
+        self.floor = np.full(len(query_ids), -np.inf)
 
     def add(self, ids: np.ndarray, scores: np.ndarray) -> None:
-        for q in range(len(self.query_ids)):
-            these, column = ids, scores[:, q]
-            if self.positive_only:
-                hit = column > 0
-                these, column = these[hit], column[hit]
+        """``scores`` is (rows, queries); rows below a query's k-th best so far are left at once."""
+        hit = scores >= self.floor
+        if self.positive_only:
+            hit &= scores > 0
+        rows, columns = np.nonzero(hit)
+        by = np.argsort(columns, kind="stable")
+        rows, columns = rows[by], columns[by]
+        values = scores[rows, columns]
+        used, starts = np.unique(columns, return_index=True)
+        for q, at, end in zip(used.tolist(), starts.tolist(), [*starts[1:].tolist(), len(columns)]):
+            these, column = ids[rows[at:end]], values[at:end]
             if self.found[q] is not None:
                 these, column = np.concatenate([self.found[q][0], these]), np.concatenate([self.found[q][1], column])
             keep = _best(these, column, self.k)
             self.found[q] = (these[keep], column[keep])
+            if len(keep) == self.k:
+                self.floor[q] = column[keep[-1]]
 
     def batches(self, names: list[str], id_type: pa.DataType, query_type: pa.DataType) -> Iterator[pa.RecordBatch]:
         for query_id, found in zip(self.query_ids, self.found):
@@ -119,12 +129,6 @@ def tokenised(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", tx.tokens(searchable(F.col("title"), F.col("text"))).alias("tokens")).withColumn("len", F.size("tokens"))
 
 
-def _wanted(terms: list[str]) -> Column:
-    """Keep the tokens of a bounded vocabulary: a hash-set test inside the row, no join."""
-    listed = ", ".join(f"'{t}'" for t in terms)  # tokens are [a-z0-9]+
-    return F.expr(f"filter(tokens, t -> t IN ({listed}))") if terms else F.array().cast("array<string>")
-
-
 def term_statistics(documents: DataFrame) -> DataFrame:
     """(term, df, total_len) of (len, tokens) rows; the pseudo term has the collection totals.
 
@@ -152,37 +156,57 @@ def collection_statistics(docs: DataFrame) -> DataFrame:
 def bm25(claims: DataFrame, docs: DataFrame, k: int = POOL, k1: float = K1, b: float = B, block: int = QUERY_BLOCK) -> DataFrame:
     """(claim_id, doc_id, bm25_score, rank): Okapi BM25, best ``k`` per claim, zero scores dropped.
 
-    Two scans per block of claims, and no shuffle of documents or postings: the first
-    counts the block's terms, the second scores every document where it lies against
-    the broadcast block and keeps a running top-k per claim and task.
+    The corpus is read twice, however many claims there are.  Claims that fit one block of
+    bounded size are broadcast: a first scan counts their terms, a second scores every
+    document where it lies and keeps a running top-k per claim and task.  More claims are
+    answered from an index that the two scans write (:mod:`tidewatch.operators.postings`).
     """
+    asked = query_terms(claims)
+    n_claims, n_pairs = asked.agg(F.countDistinct("claim_id"), F.count("*")).first()
+    if n_claims > block or n_pairs > ASKED_BLOCK:
+        return bm25_postings(claims, docs, k, k1, b)
     spark = docs.sparkSession
     corpus = tokenised(docs)
     types = _arrow_types(claims, "claim_id") + _arrow_types(docs, "doc_id")
     schema = f"claim_id {claims.schema['claim_id'].dataType.simpleString()}, doc_id {docs.schema['doc_id'].dataType.simpleString()}, bm25_score double"
-    asked = query_terms(claims)
-    n_claims, n_pairs = asked.agg(F.countDistinct("claim_id"), F.count("*")).first()
-    n_blocks = max(_blocks_of(n_claims, block), _blocks_of(n_pairs, ASKED_BLOCK))
-    if n_blocks > 1:
-        asked = cut_lineage(asked)
+    mine = asked.toPandas()
+    terms = sorted(mine["term"].unique())
+    stats = _asked_statistics(corpus, terms) if terms else None
+    if stats is None or not stats[1]:
+        return top_k(spark.createDataFrame([], schema), "claim_id", "bm25_score", "doc_id", k)
+    df, n_docs, total_len = stats
+    idf = np.log(1 + (n_docs - df + 0.5) / (df + 0.5))
+    shared = spark.sparkContext.broadcast(_AskedTerms.of(mine, terms, idf, total_len / n_docs))
+    found = corpus.select("doc_id", "len", "tokens").mapInArrow(_score_terms(shared, k, k1, b, types), schema)
+    return top_k(found, "claim_id", "bm25_score", "doc_id", k)
+
+
+def bm25_postings(claims: DataFrame, docs: DataFrame, k: int = POOL, k1: float = K1, b: float = B, index: postings.Postings | None = None) -> DataFrame:
+    """:func:`bm25` from a written index, for any number of claims; ``index`` brings one made before."""
+    index = index or postings.build_postings(tokenised(docs), k1, b)
+    return top_k(postings.search(index, query_terms(claims), k, SCORE_DIGITS), "claim_id", "bm25_score", "doc_id", k)
+
+
+def _asked_statistics(corpus: DataFrame, terms: list[str]) -> tuple[np.ndarray, float, float]:
+    """Documents per asked term, all documents and their tokens; a row per task goes to the driver."""
+    shared = corpus.sparkSession.sparkContext.broadcast(pa.array(terms))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        df, n, total = np.zeros(len(shared.value), np.int64), 0, 0
+        for batch in batches:
+            row, words = _lists(batch.column("tokens"))
+            index = pc.fill_null(pc.index_in(words, shared.value), -1).to_numpy(zero_copy_only=False)
+            known = index >= 0
+            cell = np.unique(row[known] * len(df) + index[known].astype(np.int64))
+            df += np.bincount(cell % len(df), minlength=len(df))
+            n, total = n + batch.num_rows, total + len(words)
+        place = np.flatnonzero(df)
+        values = np.concatenate([[n, total], df[place]])
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([[-1, -2], place])), pa.array(values)], names=["place", "n"])
 
-    def parts() -> Iterator[tuple[DataFrame, Broadcast]]:
-        for i in range(n_blocks):
-            mine = (asked if n_blocks == 1 else asked.filter(_in_block("claim_id", i, n_blocks))).toPandas()
-            terms = sorted(mine["term"].unique())
-            pruned = corpus.withColumn("tokens", _wanted(terms))
-            stats = term_statistics(pruned).toPandas().set_index("term") if terms else None  # at most one row per asked term
-            if stats is None or _EVERY_DOC not in stats.index:
-                continue
-            n, total_len = (float(x) for x in stats.loc[_EVERY_DOC])
-            df = stats["df"].reindex(terms).fillna(0).to_numpy(dtype=float)
-            idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
-            shared = spark.sparkContext.broadcast(_AskedTerms.of(mine, terms, idf, total_len / n))
-            found = pruned.select("doc_id", "len", "tokens").mapInArrow(_score_terms(shared, k, k1, b, types), schema)
-            yield top_k(found, "claim_id", "bm25_score", "doc_id", k), shared  # a claim is in one block
-
-    best = gathered(parts(), "bm25")
-    return best if best is not None else top_k(spark.createDataFrame([], schema), "claim_id", "bm25_score", "doc_id", k)
+    found = corpus.select("tokens").mapInArrow(count, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).toPandas()
+    by_place = dict(zip(found["place"], found["n"]))
+    return np.array([by_place.get(i, 0) for i in range(len(terms))], float), float(by_place.get(-1, 0)), float(by_place.get(-2, 0))
 
 
 @dataclass
@@ -225,8 +249,9 @@ def _score_terms(shared, k: int, k1: float, b: float, types: list[pa.DataType]):
                 batch = whole.slice(at, step)
                 rows, words = _lists(batch.column("tokens"))
                 length = batch.column("len").to_numpy(zero_copy_only=False).astype(float)
-                index = pc.index_in(words, asked.terms).to_numpy(zero_copy_only=False).astype(np.int64)
-                posting, tf = np.unique(rows * len(asked.terms) + index, return_counts=True)
+                index = pc.fill_null(pc.index_in(words, asked.terms), -1).to_numpy(zero_copy_only=False)
+                known = index >= 0
+                posting, tf = np.unique(rows[known] * len(asked.terms) + index[known].astype(np.int64), return_counts=True)
                 row, term = posting // len(asked.terms), posting % len(asked.terms)
                 saturated = tf * (k1 + 1) / (tf + k1 * (1 - b + b * length[row] / max(asked.avg_len, 1e-9)))
                 scores = asked.scores(row, term, saturated, batch.num_rows)

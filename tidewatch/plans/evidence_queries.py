@@ -88,6 +88,11 @@ _register(
     lambda s, sf: rt.bm25(*_inputs(s, sf)[:2]).withColumn("bm25_score", sc.stable_round(F.col("bm25_score"), 6)),
     with_views(_VIEWS, f"SELECT claim_id, doc_id, {_dec('bm25_score', 6)} AS bm25_score, rank::INT AS rank FROM bm", _PLAIN | _SEARCH),
 )
+_register(
+    "r01_j07_bm25_postings",
+    lambda s, sf: rt.bm25_postings(*_inputs(s, sf)[:2]).withColumn("bm25_score", sc.stable_round(F.col("bm25_score"), 6)),
+    with_views(_VIEWS, f"SELECT claim_id, doc_id, {_dec('bm25_score', 6)} AS bm25_score, rank::INT AS rank FROM bm", _PLAIN | _SEARCH),
+)
 _register(
     "r02_hash_embed",
     lambda s, sf: sc.explode_rows(rt.embed_docs(_inputs(s, sf)[1]), ["doc_id"], F.arrays_zip("vector.buckets", "vector.weights")).select(
