@@ -162,6 +162,8 @@ def test_triage_batch(spark):
         {"batch_key": F.lit(1), "ts": F.lit("2024-01-01").cast("timestamp")})
     row = fl.flow_triage(df, "batch_key").first()
     assert (row["flows"], row["flagged"], row["level"]) == (16, 14, "Critical")
-    assert "flw-07: SYN flood pattern; flw-08: oversized packet (14800 bytes); flw-09: ICMP flood" in row["report"]
+    assert row["report"].startswith("14 of 16 flows broke a rule: flw-07=syn_flood, flw-08=oversized_packet, flw-09=icmp_flood")
+    assert (row["syn_flood"], row["oversized_packet"], row["icmp_flood"], row["busy_source"], row["action"]) == (1, 1, 5, 7, "isolate_sources")
+    assert len(fl.flow_triage(df, "batch_key", shown=None).first()["report"].split(", ")) == 14 == fl.flagged_flows(df, "batch_key").count()
     calm = fl.flow_triage(df.filter("id in ('flw-01', 'flw-02')"), "batch_key").first()
-    assert calm["level"] == "Safe" and calm["report"].endswith("No anomalous patterns in this sample.")
+    assert calm["level"] == "Safe" and calm["action"] == "none" and calm["report"] == "0 of 2 flows broke a rule"

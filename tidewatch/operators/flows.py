@@ -74,8 +74,13 @@ def flow_features(flows: DataFrame, keep: tuple[str, ...] = ("flow_id", "ts", "s
 # --- rule triage ----------------------------------------------------------------
 
 
+# Reason codes of the rules, and what each level asks for.
+SYN_FLOOD, OVERSIZED, ICMP_FLOOD, BUSY_SOURCE = "syn_flood", "oversized_packet", "icmp_flood", "busy_source"
+ACTIONS = {"Critical": "isolate_sources", "High": "inspect_now", "Medium": "review", "Safe": "none"}
+
+
 def flow_rules(log: DataFrame, batch_key: str) -> DataFrame:
-    """Every log row with the rule that flags it (``reason``), NULL when none does.
+    """Every log row with the rule that flags it (``reason``, a code), NULL when none does.
 
     The counts per source come from an aggregate joined back, not from a window: a
     source that holds most of a batch is counted by partial sums and never gathers
@@ -89,10 +94,10 @@ def flow_rules(log: DataFrame, batch_key: str) -> DataFrame:
     size = F.coalesce("packet_size", F.lit(0))
     protocol = F.upper(F.coalesce("protocol", F.lit("")))
     reason = (
-        F.when(flags.contains("SYN_FLOOD") | (F.regexp_count(flags, F.lit("SYN")) >= 3), "SYN flood pattern")
-        .when(size > 8000, F.format_string("oversized packet (%d bytes)", size))
-        .when((protocol == "ICMP") & (F.col("from_source") >= 4), "ICMP flood")
-        .when((F.coalesce("source_ip", F.lit("")) != "") & (F.col("from_source") >= 6), "high-volume source — possible port scan")
+        F.when(flags.contains("SYN_FLOOD") | (F.regexp_count(flags, F.lit("SYN")) >= 3), SYN_FLOOD)
+        .when(size > 8000, OVERSIZED)
+        .when((protocol == "ICMP") & (F.col("from_source") >= 4), ICMP_FLOOD)
+        .when((F.coalesce("source_ip", F.lit("")) != "") & (F.col("from_source") >= 6), BUSY_SOURCE)
     )
     return counted.withColumn("reason", reason)
 
@@ -106,26 +111,37 @@ def triage_level(flagged: Column, floods: Column) -> Column:
     )
 
 
-def flow_triage(log: DataFrame, batch_key: str, shown: int = 6) -> DataFrame:
-    """One row per batch: level, risk, counts and a report naming the first flagged rows.
+def flagged_flows(log: DataFrame, batch_key: str) -> DataFrame:
+    """Every flagged row: (batch_key, ts, id, reason, source_ip, packet_size)."""
+    return flow_rules(log, batch_key).filter("reason IS NOT NULL").select(batch_key, "ts", "id", "reason", "source_ip", "packet_size")
+
+
+def flow_triage(log: DataFrame, batch_key: str, shown: int | None = 6) -> DataFrame:
+    """One row per batch: level, action, counts per reason and a report.
 
-    The flagged rows themselves are :func:`flow_rules` with a reason; a batch row
-    only carries the ``shown`` first ones, picked by a bounded top-k.
+    The report is a line for people and names the ``shown`` first flagged rows, picked by a
+    bounded top-k (None: all of them); :func:`flagged_flows` has every flagged row as a table.
     """
     ruled = flow_rules(log, batch_key)
-    flood = F.col("reason").contains("flood")
     counts = ruled.groupBy(batch_key).agg(
-        F.count("*").alias("flows"), F.count("reason").alias("flagged"), F.count_if(flood).alias("floods"), F.max("ts").alias("ts")
+        F.count("*").alias("flows"),
+        F.count("reason").alias("flagged"),
+        *[F.count_if(F.col("reason") == code).alias(code) for code in (SYN_FLOOD, OVERSIZED, ICMP_FLOOD, BUSY_SOURCE)],
+        F.max("ts").alias("ts"),
     )
     first = Window.partitionBy(batch_key).orderBy("ts", "id")
-    top = ruled.filter("reason IS NOT NULL").select(batch_key, "ts", "id", "reason").withColumn("n", F.row_number().over(first)).filter(F.col("n") <= shown)
+    top = ruled.filter("reason IS NOT NULL").select(batch_key, "ts", "id", "reason").withColumn("n", F.row_number().over(first))
+    if shown is not None:
+        top = top.filter(F.col("n") <= shown)
     detail = top.groupBy(batch_key).agg(F.array_sort(F.collect_list(F.struct("n", "id", "reason"))).alias("first_flagged"))
-    listed = F.concat_ws("; ", F.transform("first_flagged", lambda e: F.concat(e["id"].cast("string"), F.lit(": "), e["reason"])))
-    level = triage_level(F.col("flagged"), F.col("floods"))
-    head = F.format_string("Heuristic triage of %d flow(s): %d flagged. ", F.col("flows"), F.col("flagged"))
-    return counts.join(detail, batch_key, "left").select(
-        batch_key, "ts", "flows", "flagged", level.alias("level"),
-        F.concat(head, F.when(F.col("flagged") > 0, listed).otherwise("No anomalous patterns in this sample.")).alias("report"),
+    listed = F.concat_ws(", ", F.transform("first_flagged", lambda e: F.concat(e["id"].cast("string"), F.lit("="), e["reason"])))
+    level = triage_level(F.col("flagged"), F.col(SYN_FLOOD) + F.col(ICMP_FLOOD))
+    action = F.create_map(*[F.lit(x) for pair in ACTIONS.items() for x in pair])
+    leveled = counts.join(detail, batch_key, "left").withColumn("level", level)
+    return leveled.select(
+        batch_key, "ts", "flows", "flagged", SYN_FLOOD, OVERSIZED, ICMP_FLOOD, BUSY_SOURCE, "level",
+        action[F.col("level")].alias("action"),
+        F.concat_ws(": ", F.format_string("%d of %d flows broke a rule", F.col("flagged"), F.col("flows")), F.nullif(listed, F.lit(""))).alias("report"),
         F.lit("heuristic").alias("score_source"),
     )
 

@@ -78,9 +78,8 @@ _register(
 )
 _LOG_RULES = {
     "ruled": """SELECT *, count(source_ip) OVER (PARTITION BY batch_key, source_ip) AS k, upper(coalesce(flags, '')) AS f, upper(coalesce(protocol, '')) AS p FROM v_log""",
-    "reasons": """SELECT *, CASE WHEN contains(f, 'SYN_FLOOD') OR len(regexp_extract_all(f, 'SYN')) >= 3 THEN 'SYN flood pattern'
-   WHEN packet_size > 8000 THEN 'oversized packet (' || packet_size || ' bytes)' WHEN p = 'ICMP' AND k >= 4 THEN 'ICMP flood'
-   WHEN source_ip IS NOT NULL AND k >= 6 THEN 'high-volume source — possible port scan' END AS reason FROM ruled""",
+    "reasons": """SELECT *, CASE WHEN contains(f, 'SYN_FLOOD') OR len(regexp_extract_all(f, 'SYN')) >= 3 THEN 'syn_flood'
+   WHEN packet_size > 8000 THEN 'oversized_packet' WHEN p = 'ICMP' AND k >= 4 THEN 'icmp_flood' WHEN source_ip IS NOT NULL AND k >= 6 THEN 'busy_source' END AS reason FROM ruled""",
 }
 _register(
     "w03_flow_rules",
@@ -89,16 +88,24 @@ _register(
 )
 _TRIAGE = """
 , o AS (SELECT *, row_number() OVER (PARTITION BY batch_key, reason IS NULL ORDER BY ts, id) AS rn FROM reasons),
-b AS (SELECT batch_key, max(ts) AS ts, count(*) AS flows, count(reason) AS flagged, count(*) FILTER (WHERE contains(reason, 'flood')) AS floods,
-  string_agg(id || ': ' || reason, '; ' ORDER BY rn) FILTER (WHERE reason IS NOT NULL AND rn <= 6) AS listed FROM o GROUP BY 1),
-t AS (SELECT batch_key, ts, flows, flagged, CASE WHEN floods > 0 AND flagged >= 3 THEN 'Critical' WHEN floods > 0 OR flagged >= 4 THEN 'High' WHEN flagged >= 1 THEN 'Medium' ELSE 'Safe' END AS level,
- 'Heuristic triage of ' || flows || ' flow(s): ' || flagged || ' flagged. ' || CASE WHEN flagged > 0 THEN listed ELSE 'No anomalous patterns in this sample.' END AS report,
+b AS (SELECT batch_key, max(ts) AS ts, count(*) AS flows, count(reason) AS flagged, count(*) FILTER (WHERE reason = 'syn_flood') AS syn_flood,
+  count(*) FILTER (WHERE reason = 'oversized_packet') AS oversized_packet, count(*) FILTER (WHERE reason = 'icmp_flood') AS icmp_flood, count(*) FILTER (WHERE reason = 'busy_source') AS busy_source,
+  string_agg(id || '=' || reason, ', ' ORDER BY rn) FILTER (WHERE reason IS NOT NULL AND rn <= 6) AS listed FROM o GROUP BY 1),
+t AS (SELECT batch_key, ts, flows, flagged, syn_flood, oversized_packet, icmp_flood, busy_source,
+ CASE WHEN syn_flood + icmp_flood > 0 AND flagged >= 3 THEN 'Critical' WHEN syn_flood + icmp_flood > 0 OR flagged >= 4 THEN 'High' WHEN flagged >= 1 THEN 'Medium' ELSE 'Safe' END AS level,
+ CASE WHEN syn_flood + icmp_flood > 0 AND flagged >= 3 THEN 'isolate_sources' WHEN syn_flood + icmp_flood > 0 OR flagged >= 4 THEN 'inspect_now' WHEN flagged >= 1 THEN 'review' ELSE 'none' END AS action,
+ concat_ws(': ', flagged || ' of ' || flows || ' flows broke a rule', listed) AS report,
  'heuristic' AS score_source FROM b)"""
 _register(
     "n02_f31_flow_triage",
     lambda s, sf: fl.flow_triage(view(s, sf, "v_log"), "batch_key"),
     with_views(["v_log"], _TRIAGE + " SELECT * FROM t", _LOG_RULES),
 )
+_register(
+    "n02_flagged_flows",
+    lambda s, sf: fl.flagged_flows(view(s, sf, "v_log"), "batch_key"),
+    with_views(["v_log"], "SELECT batch_key, ts, id, reason, source_ip, packet_size FROM reasons WHERE reason IS NOT NULL", _LOG_RULES),
+)
 _register(
     "s06_u03_unified_detections",
     lambda s, sf: _unified(s, sf),

@@ -74,18 +74,23 @@ def spread_small_scan(df: DataFrame, rows_per_core: int = 50_000) -> DataFrame:
     return df.repartition(cores) if df.limit(bound + 1).count() <= bound else df
 
 
+_own_folders: dict[str, str] = {}  # of sessions that name none, by application
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder of the cluster for checkpoints and intermediate tables.
 
     It is the session's ``spark.checkpoint.dir``.  Only when that is unset and the master
-    is ``local`` (tests, a laptop) a folder of our own is used; a cluster must name one.
+    is ``local`` (tests, a laptop) a folder of our own is used, one per application; a cluster
+    must name one.
     """
-    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    sc = spark.sparkContext
+    configured = spark.conf.get("spark.checkpoint.dir", None) or _own_folders.get(sc.applicationId) or sc.getCheckpointDir()
     if configured is None:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        configured = os.path.join(os.environ.get("TMPDIR", "/tmp"), f"tidewatch-{uuid.uuid4().hex}")
-        spark.conf.set("spark.checkpoint.dir", configured)
+        configured = _own_folders[sc.applicationId] = os.path.join(os.environ.get("TMPDIR", "/tmp"), f"tidewatch-{uuid.uuid4().hex}")
+        sc.setCheckpointDir(configured)
     return configured
 
 

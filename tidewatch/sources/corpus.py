@@ -17,7 +17,7 @@ def url_domain(url: Column) -> Column:
 
 
 def seed_sources(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(fv.SEED_SOURCES), "domain string, publisher string, credibility_weight double, rationale string")
+    return spark.createDataFrame(list(fv.SEED_SOURCES), "domain string, publisher string, credibility_weight double")
 
 
 def with_credibility(documents: DataFrame, sources: DataFrame, url_col: str = "url") -> DataFrame:
