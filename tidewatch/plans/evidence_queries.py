@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tidewatch.functions import fixed_values as fv
 from tidewatch.functions import scoring as sc
 from tidewatch.functions import text as tx
+from tidewatch.operators import lsh
 from tidewatch.operators import retrieval as rt
 from tidewatch.operators import verification as vf
 from tidewatch.plans import oracle_sql as osql
@@ -125,6 +126,32 @@ q AS (SELECT label AS query_id, list(x ORDER BY i) AS v FROM m GROUP BY 1),
 d AS (SELECT q.query_id, e.vec_id AS doc_id, round(list_cosine_similarity(q.v, e.embedding::DOUBLE[]), 9) AS vector_score FROM q CROSS JOIN embeddings e)
 SELECT query_id, doc_id, {_dec('vector_score', 6)} AS vector_score, row_number() OVER (PARTITION BY query_id ORDER BY vector_score DESC, doc_id)::INT AS rank FROM d QUALIFY rank <= 50""",
 )
+
+
+def _near_vectors(s, sf):
+    """Every row whose id is divisible by 50 against all rows: (queries, index, probes, documents)."""
+    docs = table(s, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").cast("array<double>").alias("vector"))
+    queries = docs.where("doc_id % 50 = 0").withColumnRenamed("doc_id", "query_id")
+    return queries, *lsh.fit_index(docs, dim=None, k=10), docs
+
+
+def _near_recall(s, sf):
+    queries, index, probes, docs = _near_vectors(s, sf)
+    measured = lsh.recall(lsh.vector_topk_lsh(queries, index, 10, probes), rt.vector_topk(queries, docs, 10, dim=None))
+    return measured.select("queries", "asked", (F.col("recall") >= 0.9).alias("recall_reached"))
+
+
+def _near_topk(s, sf):
+    queries, index, probes, _ = _near_vectors(s, sf)
+    return lsh.vector_topk_lsh(queries, index, 10, probes)
+
+
+_register("r03_lsh_topk", _near_topk)
+_register(
+    "r03_lsh_recall",
+    _near_recall,
+    """SELECT count(*) AS queries, CAST(sum(least(10, (SELECT count(*) FROM embeddings))) AS BIGINT) AS asked, true AS recall_reached FROM embeddings WHERE vec_id % 50 = 0""",
+)
 _register(
     "r04_w01_u01_rank_fusion",
     lambda s, sf: rt.rrf([
