@@ -43,4 +43,4 @@ def test_blocks_of_queries_free_their_broadcasts(spark, made):
 def test_pieces_of_units_free_their_broadcasts(spark, made, monkeypatch):
     monkeypatch.setattr(clustering, "CHUNK", 15)
     check(spark, sparse(np.random.default_rng(7), 60, 3), 0.1, 4)
-    assert len(made) > 2 and sum(map(os.path.exists, made)) <= 2
+    assert sum(map(os.path.exists, made)) <= 2  # units meet by a join; only open pairs of boxes are broadcast

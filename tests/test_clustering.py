@@ -74,6 +74,45 @@ def test_few_features(spark, eps, min_samples):
     check(spark, sparse(np.random.default_rng(7), 150, 3), eps, min_samples)
 
 
+def test_thirteen_values_a_row(spark):
+    """Rows with many values: cells are narrow enough for all of them to be neighbours."""
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(12, DIMS)) * (rng.random((12, DIMS)) < 13 / DIMS)
+    centres[:, 0] = 1.0
+    raw = np.concatenate([c + 0.12 * rng.normal(size=(25, DIMS)) * (c != 0) for c in centres])
+    assert (np.count_nonzero(raw, axis=1) > 6).all()
+    for eps in (0.01, 0.03, 0.3):
+        check(spark, raw, eps, 4)
+
+
+def test_units_meet_in_cells(spark, monkeypatch):
+    """A small reach: units are compared only where they can meet, in tiles of bounded size."""
+    rng = np.random.default_rng(6)
+    raw = np.zeros((400, DIMS))
+    angle = rng.uniform(0, 2 * np.pi, 400)
+    raw[:, 3], raw[:, 7] = np.cos(angle), np.sin(angle)
+    check(spark, raw, 0.0002, 3)
+    monkeypatch.setattr(cl, "CHUNK", 25)
+    check(spark, raw, 0.0002, 3)
+    lone = np.eye(DIMS)[:, :DIMS]
+    boxes = spark.createDataFrame([(int(i), 1, v.tolist(), v.tolist()) for i, v in enumerate(raw)], "label long, n long, lo array<double>, hi array<double>")
+    pairs = cl._meeting(boxes, boxes, 0.02, lambda a, b: cl.pd.DataFrame({"a": [len(a)], "b": [len(b)]}), "a long, b long").collect()
+    compared = sum(r["a"] * r["b"] for r in pairs)
+    assert 0 < compared < 0.2 * 400 * 400 and max(r["b"] for r in pairs) <= 60
+    assert run(spark, lone, 0.0002, 2) == {}
+
+
+def test_incidents_do_not_depend_on_partitions(spark):
+    schema = "flow_id string, ts timestamp, src_ip string, dst_ip string, score double, is_anomaly boolean, attribution array<struct<feature:string,z_score:double,direction:string>>"
+    rng = np.random.default_rng(8)
+    rows = [(f"f{i:03d}", None, f"s{i % 5}", "d", 0.6 + 0.3 * float(rng.random()), i % 9 != 0, [(("duration_ms", "iat_std", "fin_count")[i % 3], 4.0 + float(rng.random()), "high")]) for i in range(90)]
+    answers = []
+    for parts, order in ((1, 1), (7, -1)):
+        df = spark.createDataFrame(rows[::order], schema).repartition(parts)
+        answers.append(sorted((r["cluster_id"], r["member_count"]) for r in cl.cluster_incidents(df, eps=0.05).collect()))
+    assert answers[0] == answers[1] and {c for c, _ in answers[0]} == {"f001", "f002", "f003"}
+
+
 def test_dense_groups_near_the_reach(spark):
     """Two dense groups whose rows lie just inside and just outside of reach of each other."""
     rng = np.random.default_rng(3)

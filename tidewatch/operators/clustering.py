@@ -7,11 +7,15 @@ cells take the place of rows:
 * all rows of a cell are neighbours, so a cell with ``min_samples`` rows is one
   dense unit, whatever its size: a campaign of any volume is a few units;
 * rows of thin cells are units of their own, at most ``min_samples - 1`` per cell;
-* two units are compared by their bounding boxes.  Nearly always the boxes alone
+* units meet by an equi-join of coarse cells, R and a box wide, over the few dimensions
+  that spread the data most; a coarse cell of many units is cut into tiles of bounded size;
+* two units that meet are compared by their bounding boxes.  Nearly always the boxes alone
   decide; a box pair that straddles R is settled by scanning the rows of one side
   against ever smaller boxes of the other.
 
-No step emits row pairs, no step gathers a cell in one task, nothing is approximated.
+No step emits row pairs, no step gathers a cell in one task, nothing is approximated.  With
+an R that spans the data (eps 0.5 and more) no dimension tells units apart and all tiles of
+units are compared.
 """
 
 from __future__ import annotations
@@ -29,7 +33,7 @@ from tidewatch.operators import flows as fl
 from tidewatch.session import broadcast_if_small, cut_lineage, gathered
 
 DIMS = len(fl.FEATURES) + 1
-MAX_NONZERO = 6  # the score and five attributed features
+MEETING_DIMS = 3  # dimensions of the coarse cells, at most
 CHUNK = 10_000  # boxes broadcast at a time: 10,000 x 62 doubles are 5 MB
 _SLACK = 1e-12
 
@@ -135,6 +139,57 @@ def _scan(df: DataFrame, tables: Iterator[pd.DataFrame], work, schema: str) -> D
     return gathered(map(part, tables), "clustering")
 
 
+def _meeting(left: DataFrame, right: DataFrame, reach: float, work, schema: str) -> DataFrame:
+    """``work(left rows, right rows)`` for all boxes that may lie within ``reach`` of each other.
+
+    A right box is at home in the coarse cell of its lower corner; a left box visits every
+    cell in which the corner of a box within reach can lie.  So a pair meets in one cell.
+    """
+    ends = right.agg(*[f(F.col(c)[d]).alias(f"{n}{d}") for n, f, c in (("lo", F.min, "lo"), ("hi", F.max, "hi")) for d in range(DIMS)],
+                     *[F.max(F.col("hi")[d] - F.col("lo")[d]).alias(f"w{d}") for d in range(DIMS)]).first()
+    if ends["lo0"] is None:
+        return left.sparkSession.createDataFrame([], schema)
+    widths = {d: reach + ends[f"w{d}"] for d in range(DIMS)}
+    cells = {d: (ends[f"hi{d}"] - ends[f"lo{d}"]) / widths[d] for d in range(DIMS)}
+    dims = [d for d in sorted(cells, key=lambda d: (-cells[d], d))[:MEETING_DIMS] if cells[d] > 3]
+
+    def at(x: Column, d: int) -> Column:
+        return F.floor(x / widths[d]).cast("long")
+
+    home, visited = right, left
+    for k, d in enumerate(dims):
+        home = home.withColumn(f"c{k}", at(F.col("lo")[d], d))
+        low, high = at(F.col("lo")[d] - reach - ends[f"w{d}"] - _SLACK, d), at(F.col("hi")[d] + reach + _SLACK, d)
+        visited = visited.withColumn(f"c{k}", F.explode(F.sequence(low, high)))
+    cell = [f"c{k}" for k in range(len(dims))]
+    if not cell:
+        cell, home, visited = ["c0"], home.withColumn("c0", F.lit(0).cast("long")), visited.withColumn("c0", F.lit(0).cast("long"))
+    met = cut_lineage(
+        home.groupBy(*cell).agg(F.count("*").alias("right_rows")).join(visited.groupBy(*cell).agg(F.count("*").alias("left_rows")), cell)
+        .select(*cell, F.ceil(F.col("left_rows") / CHUNK).cast("long").alias("i_tiles"), F.ceil(F.col("right_rows") / CHUNK).cast("long").alias("j_tiles"))
+    )
+    met = broadcast_if_small(met)
+    own = F.pmod(F.xxhash64("label"), F.lit(1 << 30))
+    lefts = visited.join(met, cell).withColumn("i", F.pmod(own, F.col("i_tiles"))).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("j_tiles") - 1).cast("array<bigint>")))
+    rights = home.join(met, cell).withColumn("j", F.pmod(own, F.col("j_tiles"))).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("i_tiles") - 1).cast("array<bigint>")))
+    names = [x.split()[0] for x in schema.split(", ")]
+    kept_left, kept_right = left.columns, [f"r_{c}" for c in right.columns]
+    rights = rights.toDF(*[f"r_{c}" for c in rights.columns])  # a table may meet itself
+
+    def solve(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        found = []
+        if len(a) and len(b):
+            theirs = b[kept_right].rename(columns=lambda c: c.removeprefix("r_"))
+            for block in _blocks(a[kept_left], len(b)):
+                out = work(block, theirs)
+                if out is not None and len(out):
+                    found.append(out)
+        return pd.concat(found) if found else pd.DataFrame({n: pd.Series(dtype="int64") for n in names})
+
+    tile = [*cell, "i", "j"]
+    return lefts.groupBy(*tile).cogroup(rights.groupBy(*[f"r_{c}" for c in tile])).applyInPandas(solve, schema)
+
+
 def _neighbourhood(r2: float):
     """Per single unit: rows surely in reach; pairs of units the boxes cannot settle."""
 
@@ -218,24 +273,26 @@ def dbscan(rows: DataFrame, eps: float = 0.5, min_samples: int = 3) -> DataFrame
     The cluster id is the least unit label in the cluster, hence stable across runs.
     """
     reach2 = 2.0 * eps + _SLACK
-    side = math.sqrt(2.0 * eps / min(DIMS, 2 * MAX_NONZERO))
+    reach = math.sqrt(reach2)
 
     def cell(width: float) -> Column:
         return F.transform("v", lambda x: F.floor(x / width))
 
-    points = rows.select("id", _unit(F.col("raw")).alias("v")).filter("v IS NOT NULL").withColumn("cell", cell(side))
-    points = cut_lineage(points)
+    points = cut_lineage(rows.select("id", _unit(F.col("raw")).alias("v")).filter("v IS NOT NULL"))
+    # two rows differ in as many dimensions as they have values in, together; so wide is a cell
+    most = points.agg(F.max(F.size(F.filter("v", lambda x: x != 0)))).first()[0] or 1
+    side = math.sqrt(2.0 * eps / min(DIMS, 2 * most))
+    points = points.withColumn("cell", cell(side))
     cells = cut_lineage(_boxes(points, ["cell"]))
     dense = cells.filter(F.col("n") >= min_samples)
     thin = points.join(cells.filter(F.col("n") < min_samples).select("cell"), "cell", "left_semi")
     singles = thin.select(F.lit(1).cast("long").alias("n"), F.col("id").alias("label"), F.col("v").alias("lo"), F.col("v").alias("hi"))
     units = cut_lineage(dense.select("n", "label", "lo", "hi").unionByName(singles))
-    n_units = units.count()
-    if n_units == 0:
+    if units.limit(1).count() == 0:
         return rows.select("id", F.col("id").alias("cluster_id")).filter(F.lit(False))
 
     # Neighbour counts of single units, and the pairs their boxes leave open.
-    seen = cut_lineage(_scan(units, _chunks(units, "label", n_units), _neighbourhood(reach2), _TRIPLE))
+    seen = cut_lineage(_meeting(units, units, reach, _neighbourhood(reach2), _TRIPLE))
     sure_counts = seen.filter("b = -1").groupBy("a").agg(F.sum("n").alias("n"))
     open_pairs = seen.filter("b <> -1").select("a", "b")
     single_labels = units.filter("n = 1").select("label", "lo")
@@ -253,12 +310,11 @@ def dbscan(rows: DataFrame, eps: float = 0.5, min_samples: int = 3) -> DataFrame
     core_singles = sure_counts.filter(F.col("n") >= min_samples).select(F.col("a").alias("label"))
     core_labels = cut_lineage(core_singles.unionByName(units.filter(F.col("n") >= min_samples).select("label")))
     cores = units.join(core_labels, "label", "left_semi")
-    n_cores = core_labels.count()
-    if n_cores == 0:
+    if core_labels.limit(1).count() == 0:
         return rows.select("id", F.col("id").alias("cluster_id")).filter(F.lit(False))
 
     # Links between core units, then components.
-    links = _scan(cores, _chunks(cores, "label", n_cores), _sure_links(reach2), "a long, b long")
+    links = _meeting(cores, cores, reach, _sure_links(reach2), "a long, b long")
     links = links.unionByName(found.select("a", "b").join(core_labels.withColumnRenamed("label", "a"), "a", "left_semi"))
     own = core_labels.select(F.col("label").alias("node"), F.col("label").alias("component"))
 
@@ -306,7 +362,7 @@ def dbscan(rows: DataFrame, eps: float = 0.5, min_samples: int = 3) -> DataFrame
         out = pd.DataFrame({"node": block["label"].to_numpy(), "component": best})
         return out[out["component"] < np.iinfo(np.int64).max]
 
-    by_box = _scan(border, _chunks(core_component, "label", n_cores), reached, "node long, component long")
+    by_box = _meeting(border, core_component, reach, reached, "node long, component long")
     by_row = found.join(border.select(F.col("label").alias("a")), "a", "left_semi").join(
         component.select(F.col("node").alias("b"), "component"), "b"
     ).select(F.col("a").alias("node"), "component")
@@ -318,8 +374,16 @@ def dbscan(rows: DataFrame, eps: float = 0.5, min_samples: int = 3) -> DataFrame
 
 
 def cluster_incidents(scored: DataFrame, eps: float = 0.5, min_samples: int = 3, id_col: str = "flow_id") -> DataFrame:
-    """Scored flows to incidents; noise and sets smaller than ``min_samples`` give none."""
-    # Written once with a number per row: clustering reads it several times.
-    anomalies = cut_lineage(scored.filter("is_anomaly").withColumn("id", F.monotonically_increasing_id()))
+    """Scored flows to incidents, each named by the least id of its flows (``cluster_id``).
+
+    Noise and sets smaller than ``min_samples`` give none.
+    """
+    # numbered in the order of their ids, so that labels and ties don't depend on partitions
+    ordered = scored.filter("is_anomaly").repartitionByRange(F.col(id_col)).sortWithinPartitions(id_col)
+    # written once: clustering reads it several times
+    anomalies = cut_lineage(ordered.withColumn("id", F.monotonically_increasing_id()))
     members = dbscan(anomalies.select("id", behaviour_vector(F.col("score"), F.col("attribution")).alias("raw")), eps, min_samples)
-    return fl.incident_rollup(anomalies.join(members, "id"))
+    members = cut_lineage(anomalies.join(members, "id"))
+    named = members.groupBy("cluster_id").agg(F.min(id_col).alias("incident"))
+    rolled = fl.incident_rollup(members)
+    return rolled.join(named, "cluster_id").withColumn("cluster_id", F.col("incident")).drop("incident")
