@@ -96,7 +96,8 @@ def _pair_range(lo_a, hi_a, lo_b, hi_b) -> tuple[np.ndarray, np.ndarray]:
     """Least and greatest squared distance between boxes a (rows) and boxes b (columns)."""
     near = np.zeros((len(lo_a), len(lo_b)))
     far = np.zeros_like(near)
-    for d in range(lo_a.shape[1]):
+    # dimensions in which neither side has a value add nothing
+    for d in np.flatnonzero(np.any([np.any(x != 0, axis=0) for x in (lo_a, hi_a, lo_b, hi_b)], axis=0)):
         up = lo_b[None, :, d] - hi_a[:, None, d]
         down = lo_a[:, None, d] - hi_b[None, :, d]
         near += np.maximum(np.maximum(up, down), 0.0) ** 2

@@ -313,6 +313,63 @@ UNION ALL SELECT n.p, min(c.cluster_id) FROM near n JOIN comp c ON c.node = n.q
 )
 
 
+def _vectors(flows):
+    """Behaviour vectors with three deviating features, and what an incident needs of a scored flow."""
+    z = {"duration_ms": (F.col("raw_value") - 200) / 50, "fwd_packets": (F.col("fwd_packets") - 20) / 5, "bwd_packets": (F.col("bwd_packets") - 30) / 10}
+    named = F.array(*[F.struct(F.lit(f).alias("feature"), c.alias("z_score")) for f, c in z.items()])
+    return flows.select("flow_id", "ts", "src_ip", "dst_ip", "raw_value", (F.col("raw_value") / 500).alias("score"), named.alias("attribution"))
+
+
+def _clusters_of_all(s, sf):
+    """All flows at two reaches."""
+    rows = _vectors(view(s, sf, "v_flow")).select(F.col("flow_id").alias("id"), cl.behaviour_vector(F.col("score"), F.col("attribution")).alias("raw"))
+    found = [cl.dbscan(rows, eps=eps, min_samples=3).withColumn("eps", F.lit(eps)) for eps in _EPS]
+    return found[0].unionByName(found[1]).withColumnRenamed("id", "flow_id")
+
+
+_EPS = (0.0002, 0.002)
+_INCIDENT_EPS = 0.002
+
+
+def _dbscan_sql(name: str, eps: float, where: str) -> dict[str, str]:
+    """CTEs up to ``<name>_found``: flow_id and the least core flow of its cluster."""
+    return {
+        f"{name}_v": f"""SELECT flow_id, s / n AS s, x / n AS x, y / n AS y, z / n AS z FROM (SELECT *, sqrt(s*s + x*x + y*y + z*z) AS n FROM
+   (SELECT flow_id, raw_value / 500 AS s, (raw_value - 200) / 50 AS x, (fwd_packets - 20) / 5 AS y, (bwd_packets - 30) / 10 AS z FROM v_flow WHERE {where}))""",
+        f"{name}_near": f"SELECT p.flow_id AS p, q.flow_id AS q FROM {name}_v p JOIN {name}_v q ON 1 - (p.s*q.s + p.x*q.x + p.y*q.y + p.z*q.z) <= {eps} + 1e-12",
+        f"{name}_core": f"SELECT p FROM {name}_near GROUP BY p HAVING count(*) >= 3",
+        f"{name}_link": f"SELECT p, q FROM {name}_near WHERE p IN (SELECT p FROM {name}_core) AND q IN (SELECT p FROM {name}_core) AND p <> q",
+        f"{name}_comp(node, cluster_id) USING KEY (node)": f"""SELECT p, p FROM {name}_core UNION (SELECT DISTINCT ON (u.node) u.node, v.cluster_id
+   FROM recurring.{name}_comp u, {name}_comp v, {name}_link e WHERE e.p = u.node AND e.q = v.node AND v.cluster_id < u.cluster_id ORDER BY u.node, v.cluster_id)""",
+        f"{name}_found": f"""SELECT node AS flow_id, cluster_id FROM {name}_comp
+   UNION ALL SELECT n.p, min(c.cluster_id) FROM {name}_near n JOIN {name}_comp c ON c.node = n.q WHERE n.p NOT IN (SELECT p FROM {name}_core) GROUP BY 1""",
+    }
+
+
+_register(
+    "j10_n08_dbscan_all_flows",
+    _clusters_of_all,
+    with_views(["v_flow"], " UNION ALL ".join(f"SELECT flow_id, cluster_id, {eps}::DOUBLE AS eps FROM e{i}_found" for i, eps in enumerate(_EPS)),
+               _dbscan_sql("e0", _EPS[0], "true") | _dbscan_sql("e1", _EPS[1], "true")).replace("WITH ", "WITH RECURSIVE ", 1),
+)
+
+
+def _incidents(s, sf):
+    scored = _vectors(view(s, sf, "v_flow")).withColumn("is_anomaly", F.col("raw_value") >= 100)
+    out = cl.cluster_incidents(scored, eps=_INCIDENT_EPS)
+    return out.select("cluster_id", "member_count", "max_score", "severity", "source_count", "dest_count", "first_seen", "last_seen")
+
+
+_register(
+    "n08_incidents_of_scores",
+    _incidents,
+    with_views(["v_flow"], f"""SELECT min(f.flow_id) AS cluster_id, count(*) AS member_count, {_dec('max(raw_value / 500)', 4)} AS max_score,
+ CASE WHEN max(raw_value / 500) > 0.9 THEN 'critical' WHEN max(raw_value / 500) > 0.75 THEN 'high' WHEN max(raw_value / 500) > 0.5 THEN 'medium' ELSE 'low' END AS severity,
+ count(DISTINCT src_ip) AS source_count, count(DISTINCT dst_ip) AS dest_count, min(ts) AS first_seen, max(ts) AS last_seen
+ FROM i_found f JOIN v_flow USING (flow_id) GROUP BY f.cluster_id""", _dbscan_sql("i", _INCIDENT_EPS, "raw_value >= 100")).replace("WITH ", "WITH RECURSIVE ", 1),
+)
+
+
 def _rollup(s, sf):
     """Roll-up over given clusters: the flows of a port and protocol."""
     v = view(s, sf, "v_flow")
