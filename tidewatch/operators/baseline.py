@@ -257,3 +257,25 @@ def score_flows(features: DataFrame, model: FlowBaseline) -> DataFrame:
         F.lit("model").alias("score_source"),
         F.lit(VERSION).alias("model_version"),
     )
+
+
+def train_and_evaluate(features: DataFrame, path: str, id_col: str = "flow_id", share: float = 0.7, seed: int = 42, **fitting) -> DataFrame:
+    """Fit on a share of the benign rows, store the model, and judge it on all it has not seen.
+
+    Returns the stored model's scores of the held-out rows (the other benign ones and every
+    attack), so what is judged is what a later job loads.  The metrics of
+    :func:`tidewatch.operators.flows.evaluate` are stored in the model's registry row.
+    """
+    spark = features.sparkSession
+    train, test = fl.benign_split(features, id_col, share, seed)
+    model = fit_baseline(train, **fitting)
+    model.save(spark, path)
+    scored = cut_lineage(score_flows(test, FlowBaseline.load(spark, path)))
+    model.info["metrics"] = {k: v for k, v in fl.evaluate(scored).first().asDict().items() if v is not None}
+    model.save(spark, path)
+    return scored
+
+
+def registered_metrics(spark: SparkSession, path: str) -> dict:
+    """What the registry row of a stored model says about its held-out rows."""
+    return json.loads(spark.read.parquet(f"{path}/registry").first()["metrics"])["metrics"]

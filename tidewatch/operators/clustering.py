@@ -7,7 +7,7 @@ cells take the place of rows:
 * all rows of a cell are neighbours, so a cell with ``min_samples`` rows is one
   dense unit, whatever its size: a campaign of any volume is a few units;
 * rows of thin cells are units of their own, at most ``min_samples - 1`` per cell;
-* units meet by an equi-join of coarse cells, R and a box wide, over the few dimensions
+* units meet by an equi-join of coarse cells, a few R wide, over the few dimensions
   that spread the data most; a coarse cell of many units is cut into tiles of bounded size;
 * two units that meet are compared by their bounding boxes.  Nearly always the boxes alone
   decide; a box pair that straddles R is settled by scanning the rows of one side
@@ -33,7 +33,8 @@ from tidewatch.operators import flows as fl
 from tidewatch.session import broadcast_if_small, cut_lineage, gathered
 
 DIMS = len(fl.FEATURES) + 1
-MEETING_DIMS = 3  # dimensions of the coarse cells, at most
+MEETING_DIMS = 2  # dimensions of the coarse cells, at most: every one more repeats boxes
+MEETING_WIDTH = 4  # of a coarse cell, in reaches and widest boxes
 CHUNK = 10_000  # boxes broadcast at a time: 10,000 x 62 doubles are 5 MB
 _SLACK = 1e-12
 
@@ -150,9 +151,9 @@ def _meeting(left: DataFrame, right: DataFrame, reach: float, work, schema: str)
                      *[F.max(F.col("hi")[d] - F.col("lo")[d]).alias(f"w{d}") for d in range(DIMS)]).first()
     if ends["lo0"] is None:
         return left.sparkSession.createDataFrame([], schema)
-    widths = {d: reach + ends[f"w{d}"] for d in range(DIMS)}
+    widths = {d: MEETING_WIDTH * (reach + ends[f"w{d}"]) for d in range(DIMS)}
     cells = {d: (ends[f"hi{d}"] - ends[f"lo{d}"]) / widths[d] for d in range(DIMS)}
-    dims = [d for d in sorted(cells, key=lambda d: (-cells[d], d))[:MEETING_DIMS] if cells[d] > 3]
+    dims = [d for d in sorted(cells, key=lambda d: (-cells[d], d))[:MEETING_DIMS] if cells[d] > 2]
 
     def at(x: Column, d: int) -> Column:
         return F.floor(x / widths[d]).cast("long")

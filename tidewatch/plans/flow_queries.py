@@ -11,6 +11,7 @@ from tidewatch.operators import clustering as cl
 from tidewatch.operators import flows as fl
 from tidewatch.plans import oracle_sql as osql
 from tidewatch.plans.standins import table, view, with_views
+from tidewatch.session import scratch_path
 from tidewatch.sources import sinks
 
 QUERIES = {}
@@ -283,6 +284,31 @@ def _score(s, sf):
     return bl.score_flows(features, bl.fit_baseline(_benign(features)))
 
 
+AUC_FLOOR = 0.85
+
+
+def _trained(s, sf):
+    """Split, fit, store, load, score and evaluate; the share and the model are Spark's own, so
+    the counts that don't depend on them are compared, and the rest against its floor."""
+    path = scratch_path(s, "flow-baseline")
+    scored = bl.train_and_evaluate(_features(s, sf, spread=True), path)
+    stored = bl.registered_metrics(s, path)
+    again = bl.score_flows(_features(s, sf, spread=True), bl.FlowBaseline.load(s, path)).select("flow_id", F.col("score").alias("again"))
+    judged = scored.join(again, "flow_id").agg(
+        F.count_if(fl.is_attack(F.col("label")) == 1).alias("attacks"),
+        (F.avg(F.when(F.col("label") == "ATTACK", F.col("score"))) > F.avg(F.when(F.col("label") == "BENIGN", F.col("score")))).alias("attacks_score_higher"),
+        F.bool_and(F.abs(F.col("score") - F.col("again")) < 1e-9).alias("stored_model_agrees"),
+        F.bool_and(F.col("score").between(0, 1) & ((F.col("is_anomaly") == (F.col("score") >= F.col("threshold"))) | (F.abs(F.col("score") - F.col("threshold")) < 2e-4))).alias("scores_hold"),
+    )
+    return judged.withColumn("auc_reached", F.lit(stored["auc_roc"] >= AUC_FLOOR)).withColumn("all_judged", F.lit(stored["n"]) == F.lit(scored.count()))
+
+
+_register(
+    "n10_n03_n06_n09_train_evaluate",
+    _trained,
+    with_views(["v_flow"], """SELECT count(*) AS attacks, true AS attacks_score_higher, true AS stored_model_agrees, true AS scores_hold, true AS auc_reached, true AS all_judged
+ FROM v_flow WHERE label = 'ATTACK'"""),
+)
 _register("n03_n04_n05_fit_baseline", _fit)
 _register("n06_score_flows", lambda s, sf: _score(s, sf).select("flow_id", "label", "score", "is_anomaly", "threshold"))
 _register("n08_cluster_incidents", lambda s, sf: cl.cluster_incidents(_score(s, sf)).select("cluster_id", "member_count", "max_score", "mean_score", "severity", "source_count", "dest_count", "first_seen", "last_seen"))
