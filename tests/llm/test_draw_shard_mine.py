@@ -1,6 +1,7 @@
 """Sharding, importance resampling and hard negatives against plain Python on small fixtures."""
 
 import hashlib
+import itertools
 import math
 import os
 import random
@@ -16,7 +17,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tests.llm.test_operators import LONG, ROWS, docs, nothing, prose  # noqa: F401
-from tidewatch.llm import common, hard_negatives, importance, jaccard_join, line_dedup, quality_rules, sharding, token_blocks
+from tidewatch.llm import common, hard_negatives, importance, jaccard_join, line_dedup, mixing, quality_rules, sharding, token_blocks
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -295,3 +296,72 @@ def test_verdicts_can_be_filtered(spark):
     assert judged.where("n_repeat_words > 0").count() == (every.n_repeat_words > 0).sum()
     assert judged.where("base_failed").count() == every.base_failed.sum()
     assert time.monotonic() - begun < 60
+
+
+# mixing sources that overlap
+
+
+def cheapest(patterns, quotas, costs):
+    """(words routed, cost) of the best flow, by trying every way to split every pattern."""
+    names, best = sorted(patterns), None
+    ways = []
+    for name in names:
+        sources, words = patterns[name]
+        own = [s for s in sources if s in quotas]
+        splits = [()]
+        for _ in own:
+            splits = [(*s, k) for s in splits for k in range(words * len(costs) + 1) if sum(s) + k <= words * len(costs)]
+        ways.append([dict(zip(own, s)) for s in splits])
+    for choice in itertools.product(*ways):
+        taken = Counter()
+        for flow in choice:
+            taken.update(flow)
+        if any(taken[s] > quotas[s] for s in taken):
+            continue
+        cost = 0
+        for name, flow in zip(names, choice):
+            n, words = sum(flow.values()), patterns[name][1]
+            cost += sum(c * max(0, min(words, n - k * words)) for k, c in enumerate(costs))
+        key = (-sum(taken.values()), cost)
+        best = key if best is None else min(best, key)
+    return -best[0], best[1]
+
+
+@settings(max_examples=40, deadline=None)
+@given(
+    st.lists(st.tuples(st.sets(st.sampled_from("abc"), min_size=1, max_size=2), st.integers(0, 2)), min_size=1, max_size=3),
+    st.fixed_dictionaries({s: st.integers(0, 4) for s in "abc"}),
+)
+def test_routes_are_the_cheapest_of_all(found, quotas):
+    patterns = {f"p{k}": (tuple(sorted(s)), n) for k, (s, n) in enumerate(found)}
+    costs = mixing.REPEAT_COSTS
+    flow = mixing.route(patterns, quotas, costs)
+    taken, cost = Counter(), 0
+    for name, (sources, words) in patterns.items():
+        assert set(flow[name]) <= set(sources) and sum(flow[name].values()) <= words * len(costs)
+        taken.update(flow[name])
+        cost += sum(c * max(0, min(words, sum(flow[name].values()) - k * words)) for k, c in enumerate(costs))
+    assert all(taken[s] <= quotas[s] for s in taken)
+    assert (sum(taken.values()), cost) == cheapest(patterns, quotas, costs)
+
+
+def test_overlapping_sources_are_mixed(spark):
+    r = random.Random(4)
+    lists = [["a"], ["b"], ["a", "b"], ["b", "c", "a"], ["c", None], [], None, ["a", "a"]]
+    rows = [(i, prose(r.randint(1, 9), i), lists[i % 8]) for i in range(400)] + [(900, None, ["a"]), (901, "", ["b"])]
+    frame = spark.createDataFrame([(*x, "?") for x in rows], "doc_id long, text string, members array<string>, pattern string")
+    decided, mix = mixing.mix_overlapping(frame, share_percent=120)
+    got = {x.doc_id: x for x in decided.collect()}
+    assert len(got) == len(rows)
+    by_pattern = Counter()
+    for doc_id, text, members in rows:
+        size = len((text or "").split())
+        assert got[doc_id].size == size and 0 <= got[doc_id].copies <= len(mixing.REPEAT_COSTS) and got[doc_id].taken == size * got[doc_id].copies
+        if not members:
+            assert got[doc_id].copies == 0
+        by_pattern[tuple(sorted({m or "" for m in members or []}))] += got[doc_id].taken
+    # what the documents of a pattern take comes near what the flow routes there
+    quotas = {s: round(t) for s, t in mix.targets.items()}
+    flow = mixing.route(mix.patterns, quotas)
+    for name, (sources, _) in mix.patterns.items():
+        assert abs(by_pattern[tuple(sorted(s or "" for s in sources))] - sum(flow[name].values())) <= 9
