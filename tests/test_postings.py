@@ -28,7 +28,7 @@ def test_index_equals_scan(spark, monkeypatch, k):
     claims = spark.createDataFrame(list(enumerate(asked)), "claim_id long, text string")
     scan = {tuple(r) for r in rt.bm25(claims, docs, k).collect()}
     assert scan == {tuple(r) for r in rt.bm25_postings(claims, docs, k).collect()}
-    index = postings.build_postings(rt.tokenised(docs), rt.K1, rt.B)
+    index = postings.build_postings(rt.tokenised(docs), rt.K1, rt.B, by_term=True)
     assert scan == {tuple(r) for r in rt.bm25_postings(claims, docs, k, index=index).collect()}
 
 

@@ -2,9 +2,10 @@
 
 The corpus is read twice, once for its totals and once for its postings, however many claims
 are asked.  Postings lie in blocks: a block is one term with the documents of one Arrow batch
-and each document's saturated term frequency, and knows its best one.  Blocks are dealt by a
-hash of the term and sorted by it; those of a frequent term are salted, so that no task holds
-them all.
+and each document's saturated term frequency, and knows its best one.  An index that will be asked
+often is dealt by a hash of the term and sorted by it (``by_term``); one made for a single
+question is written where the documents lie, without that shuffle.  The blocks of a frequent
+term are salted, so that no task holds them all.
 
 A claim's answer is found with the bounds the blocks carry.  Its rarest terms give a score
 that the k-th best document reaches at least.  Terms that can't reach it together, even with
@@ -74,16 +75,18 @@ def _to_blocks(avg_len: float, k1: float, b: float):
     return run
 
 
-def build_postings(tokenised: DataFrame, k1: float, b: float) -> Postings:
+def build_postings(tokenised: DataFrame, k1: float, b: float, by_term: bool = False) -> Postings:
     """Index ``(doc_id, tokens, len)`` rows; documents without tokens count in the totals only."""
     n_docs, total = tokenised.agg(F.count(F.lit(1)), F.coalesce(F.sum("len"), F.lit(0))).first()
     avg_len = total / max(n_docs, 1)
     doc_type = tokenised.schema["doc_id"].dataType.simpleString()
     found = tokenised.select("doc_id", "tokens").mapInArrow(_to_blocks(avg_len, k1, b), f"term string, docs array<{doc_type}>, sats array<double>, best double, n long")
     salted = F.when(F.col("n") >= HOT_POSTINGS, F.pmod(F.xxhash64("docs"), F.lit(SALTS))).otherwise(F.lit(0).cast("long"))
-    n_parts = max(tokenised.sparkSession.sparkContext.defaultParallelism, -(-total // BLOCK_TOKENS))
-    dealt = found.withColumn("salt", salted).repartition(n_parts, "term", "salt").sortWithinPartitions("term")
-    return Postings(_written(dealt, "postings"), n_docs, avg_len, k1, b)
+    found = found.withColumn("salt", salted)
+    if by_term:
+        n_parts = max(tokenised.sparkSession.sparkContext.defaultParallelism, -(-total // BLOCK_TOKENS))
+        found = found.repartition(n_parts, "term", "salt").sortWithinPartitions("term")
+    return Postings(_written(found, "postings"), n_docs, avg_len, k1, b)
 
 
 def _contributions(weighted: DataFrame, blocks: DataFrame) -> DataFrame:
