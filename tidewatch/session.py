@@ -65,11 +65,13 @@ def _ship_package(spark: SparkSession) -> None:
 def spread_small_scan(df: DataFrame, rows_per_core: int = 50_000) -> DataFrame:
     """Give every core a share of a small input whose rows are costly to work on.
 
-    A file of a few megabytes is one split, hence one task.  An input with rows
-    enough for every core is returned untouched, without a shuffle; the count stops
+    A file of a few megabytes is one split, hence one task.  An input with splits or
+    rows enough for every core is returned untouched, without a shuffle; the count stops
     as soon as that is clear.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= cores:
+        return df
     bound = cores * rows_per_core
     return df.repartition(cores) if df.limit(bound + 1).count() <= bound else df
 
