@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import csv
+from functools import reduce
+from urllib.parse import quote
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewatch.functions import fixed_values as fv
 from tidewatch.session import broadcast_if_small, cut_lineage
+from tidewatch.sources.ranges import RANGE_BYTES, read_lines
 
 FLOW_SCHEMA = (
     "flow_id string, ts timestamp, src_ip string, dst_ip string, src_port int, dst_port int, protocol string, "
@@ -33,7 +38,7 @@ def conn_flows(records: DataFrame, received_at: Column | None = None) -> DataFra
     history = F.lower(F.coalesce(rec["history"], F.lit("")))
     flags = [x for name, letter in _HISTORY_LETTERS.items() for x in (F.lit(name), F.regexp_count(history, F.lit(letter)))]
     seconds = F.coalesce(rec["ts"].try_cast("double"), F.lit(0.0))
-    sane = F.when(seconds.between(-62135596800, 253402300799), F.timestamp_micros((seconds * 1000000).cast("long")))
+    sane = F.when(seconds.between(-62135596800, 253402300799), F.timestamp_micros(F.rint(seconds * 1000000).cast("long")))
     uid = F.nullif(rec["uid"], F.lit(""))
     whole = lambda *names: F.floor(_first_number(rec, *names)).cast("long")
     empty_ints, empty_doubles = F.array().cast("array<int>"), F.array().cast("array<double>")
@@ -58,32 +63,47 @@ def conn_flows(records: DataFrame, received_at: Column | None = None) -> DataFra
     )
 
 
-def conn_records(lines: DataFrame) -> DataFrame:
-    """(path, value) lines to one map of text fields per record.
+def _unrepeated(names: Column) -> Column:
+    """Names of which only the last of equal ones keeps its name; a tab can't be in another."""
+    later = lambda i: F.slice(names, i + 2, F.size(names))
+    return F.transform(names, lambda n, i: F.when(F.array_contains(later(i), n), F.concat(n, F.lit("\t"), i)).otherwise(n))
+
+
+def conn_records(lines: DataFrame, block_bytes: int = RANGE_BYTES) -> DataFrame:
+    """(path, offset, value) lines to one map of text fields per record.
 
-    Tab-separated lines take their names from the ``#fields`` line of their file,
-    JSON lines bring their own.  Lines that fit neither are dropped.  One header
-    per file is assumed.
+    Tab-separated lines take their names from the last ``#fields`` line before them in
+    their file, JSON lines bring their own; of equal names in a header the last counts.
+    Lines that fit neither are dropped.  Headers are gathered by block of the file, one narrow
+    row per block; each line meets the row of its block.
     """
-    trimmed = lines.select("path", F.trim("value").alias("line")).filter(F.col("line") != "")
-    # One short row per file, written once so that its size is known before the join.
-    headers = cut_lineage(
-        trimmed.filter(F.col("line").startswith("#fields"))
-        .groupBy("path")
-        .agg(F.max("line").alias("header"))
-        .select("path", F.slice(F.split("header", "\t"), F.lit(2), F.size(F.split("header", "\t"))).alias("names"))
+    trimmed = lines.select("path", "offset", F.floor(F.col("offset") / block_bytes).alias("block"), F.regexp_replace("value", r"^\s+|\s+$", "").alias("line"))
+    names = _unrepeated(F.slice(F.split("line", "\t"), F.lit(2), F.size(F.split("line", "\t"))))
+    header = F.when(F.col("line").startswith("#fields"), F.struct("offset", names.alias("names")))
+    order = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    # One short row per block, written once so that its size is known before the join.
+    blocks = cut_lineage(
+        trimmed.groupBy("path", "block")
+        .agg(F.sort_array(F.collect_list(header)).alias("headers"))
+        .withColumn("before", F.last(F.try_element_at("headers", F.lit(-1))["names"], ignorenulls=True).over(order))
+        .filter(F.col("before").isNotNull() | (F.size("headers") > 0))
     )
-    rows = trimmed.filter(~F.col("line").startswith("#"))
+    rows = trimmed.filter((F.col("line") != "") & ~F.col("line").startswith("#"))
     is_json = F.col("line").startswith("{")
     from_json = rows.filter(is_json).select(F.from_json("line", "map<string,string>").alias("rec"))
-    cut = rows.filter(~is_json).join(broadcast_if_small(headers), "path").select("names", F.split("line", "\t").alias("parts"))
+    own = F.try_element_at(F.filter("headers", lambda h: h["offset"] < F.col("offset")), F.lit(-1))["names"]
+    cut = (
+        rows.filter(~is_json)
+        .join(broadcast_if_small(blocks), ["path", "block"])
+        .select(F.coalesce(own, F.col("before")).alias("names"), F.split("line", "\t").alias("parts"))
+    )
     from_tsv = cut.filter(F.size("names") == F.size("parts")).select(F.map_from_arrays("names", "parts").alias("rec"))
     return from_json.unionByName(from_tsv).filter(F.col("rec").isNotNull())
 
 
-def read_conn_log(spark: SparkSession, path: str, received_at: Column | None = None) -> DataFrame:
-    lines = spark.read.text(path, recursiveFileLookup=True).select(F.col("_metadata.file_path").alias("path"), "value")
-    return conn_flows(conn_records(lines), received_at)
+def read_conn_log(spark: SparkSession, path: str, received_at: Column | None = None, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """Every connection log below the folder, read in byte ranges."""
+    return conn_flows(conn_records(read_lines(spark, path, range_bytes), range_bytes), received_at)
 
 
 def _number(column: Column) -> Column:
@@ -119,13 +139,46 @@ def _normal_name(name: str) -> str:
     return " ".join(name.strip().lower().split())
 
 
+def _first_lines(paths):
+    """(path, first line) of each file; reads no further than that line."""
+    import gzip
+
+    import pandas as pd
+    from pyarrow import fs
+
+    for frame in paths:
+        lines = []
+        for uri in frame["path"]:
+            store, base = fs.FileSystem.from_uri(quote(uri, safe=":/@"))
+            with store.open_input_file(base) as raw:
+                stream = gzip.GzipFile(fileobj=raw) if uri.endswith(".gz") else raw
+                head = b""
+                while b"\n" not in head and (piece := stream.read(65536)):
+                    head += piece
+            lines.append(head.split(b"\n")[0].decode("utf-8-sig", "replace").strip("\r"))
+        yield pd.DataFrame({"path": frame["path"], "header": lines})
+
+
+def csv_headers(spark: SparkSession, path: str) -> DataFrame:
+    """(header, paths): the files below the folder grouped by their first line."""
+    listed = spark.read.format("binaryFile").options(recursiveFileLookup=True, pathGlobFilter="*.csv").load(path).filter("length > 0")
+    uris = listed.select(F.regexp_replace("path", "^file:/+", "file:///").alias("path"))
+    return uris.mapInPandas(_first_lines, "path string, header string").groupBy("header").agg(F.sort_array(F.collect_list("path")).alias("paths"))
+
+
 def read_cic_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Every CSV below the folder; header names are lower-cased and single-spaced."""
-    raw = spark.read.csv(path, header=True, recursiveFileLookup=True, pathGlobFilter="*.csv", enforceSchema=False)
-    seen: dict[str, int] = {}
-    names = []
-    for column in raw.columns:
-        base = _normal_name(column)
-        seen[base] = seen.get(base, 0) + 1
-        names.append(base if seen[base] == 1 else f"{base} #{seen[base]}")
-    return cic_features(raw.toDF(*names))
+    """Every CSV below the folder, each by its own header.
+
+    Header names are lower-cased and single-spaced; of equal ones the last counts.  Files of
+    one header are read by one plan; files without a byte bring no rows.
+    """
+    groups = []
+    for row in csv_headers(spark, path).sort("header").toLocalIterator():
+        names = [_normal_name(n) for n in next(csv.reader([row["header"]]), [])]
+        schema = ", ".join(f"c{i} string" for i in range(len(names)))
+        last = {name: f"c{i}" for i, name in enumerate(names)}
+        raw = spark.read.csv(row["paths"], header=True, schema=schema or "c0 string")
+        groups.append(cic_features(raw.select(*[F.col(column).alias(name) for name, column in last.items()])))
+    if not groups:
+        return cic_features(spark.createDataFrame([], "label string"))
+    return reduce(DataFrame.unionByName, groups)
