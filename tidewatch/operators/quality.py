@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
 from tidewatch.functions.scoring import enum_guard
 
@@ -34,13 +37,18 @@ def duplicate_active_models(models: DataFrame) -> DataFrame:
     )
 
 
-def insert_if_absent(existing: DataFrame, new: DataFrame, keys: Sequence[str], order_by: str) -> DataFrame:
-    """New rows whose key is not there yet; the first one per key wins.
+def insert_if_absent(existing: DataFrame, new: DataFrame, keys: Sequence[str], order_by: str | Sequence[str]) -> DataFrame:
+    """New rows whose key is not there yet; the first one per key wins, ties by all columns.
 
-    The first row per key comes from ``min_by``, which combines on the map side,
-    so a hot key never gathers in one task.
+    The first row per key is a minimum, which combines on the map side, so a hot key
+    never gathers in one task.  Null parts of a key equal each other.  With map
+    columns, which have no order, ``order_by`` alone decides.
     """
     cols = new.columns
-    first = new.groupBy(*keys).agg(F.min_by(F.struct(*cols), order_by).alias("_row")).select("_row.*")
-    present = existing.select(*keys).distinct()
-    return first.join(present, list(keys), "left_anti")
+    order = [order_by] if isinstance(order_by, str) else list(order_by)
+    ordered = not any(isinstance(f.dataType, MapType) for f in new.schema.fields)
+    rank = F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate([*order, *(cols if ordered else [])])])
+    first = new.groupBy(*keys).agg(F.min_by(F.struct(*cols), rank).alias("_row")).select("_row.*")
+    present = existing.select(*[F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)]).distinct()
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_key{i}")) for i, k in enumerate(keys)])
+    return first.join(present, same, "left_anti")

@@ -10,7 +10,10 @@ from tidewatch.functions import scoring as sc
 from tidewatch.operators import email as em
 from tidewatch.plans import oracle_sql as osql
 from tidewatch.plans.standins import table, view, with_views
+from tidewatch.session import scratch_path
 from tidewatch.sources import messages as ms
+from tidewatch.sources import sinks
+from tidewatch.sources.stored import stored
 
 QUERIES = {}
 ORACLES = {}
@@ -202,18 +205,19 @@ def _base64url(s, sf):
 _register("f32_base64url", _base64url, "SELECT doc_id AS msg_id, true AS same FROM documents")
 
 
-def _analysis_rows(s, sf):
-    from tidewatch.sources import sinks
-
-    rows = sinks.email_analysis_rows(em.email_risk(_signals(s, sf)).withColumns(
+def _risked(s, sf):
+    return em.email_risk(_signals(s, sf)).withColumns(
         {"message_id": F.col("msg_id").cast("string"), "from_addr": F.lit("x@y.z"), "reply_to_addr": F.lit(None).cast("string"),
-         "return_path": F.lit(None).cast("string"), "dkim_domain": F.lit(None).cast("string"), "tenant_id": F.lit(1)}))
+         "return_path": F.lit(None).cast("string"), "dkim_domain": F.lit(None).cast("string"), "tenant_id": F.lit(1)})
+
+
+def _analysis_rows(rows):
     return rows.select("message_id", "from_domain", "spf", "dkim", "dmarc", "risk_score", "verdict", F.get_json_object("features", "$.url_count").cast("int").alias("url_count"))
 
 
 _register(
     "s07_email_analysis_rows",
-    _analysis_rows,
+    lambda s, sf: _analysis_rows(sinks.email_analysis_rows(_risked(s, sf))),
     with_views(["v_email", "v_email_parsed"], f"""
 , i AS (SELECT *, {_LIST} AS l FROM s),
 r AS (SELECT *, round(least({_FUSED}, 0.99::DOUBLE)::DECIMAL(38,12), 4)::DOUBLE AS risk_score FROM i)
@@ -221,3 +225,15 @@ SELECT msg_id::VARCHAR AS message_id, from_domain, spf, dkim, CASE WHEN dmarc IN
  CASE WHEN risk_score >= 0.85 THEN 'phishing' WHEN risk_score >= 0.55 THEN 'suspicious' WHEN risk_score >= 0.25 THEN 'low_confidence' ELSE 'benign' END AS verdict,
  (ip_link::INT + short_link::INT) AS url_count FROM r""", _BASE),
 )
+
+
+def _stored_analyses(s, sf):
+    """The analyses by way of the stored table: the odd messages, all messages, the odd ones again."""
+    folder, rows = scratch_path(s, "analyses"), _risked(s, sf)
+    odd = rows.filter("msg_id % 2 = 1")
+    for batch, part in (("odd", odd), ("all", rows), ("odd", odd)):
+        sinks.write_email_analyses(part, folder, batch)
+    return _analysis_rows(stored(s, folder))
+
+
+_register("s07_analyses_stored", _stored_analyses, ORACLES["s07_email_analysis_rows"])

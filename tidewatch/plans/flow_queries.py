@@ -12,6 +12,7 @@ from tidewatch.operators import flows as fl
 from tidewatch.plans import oracle_sql as osql
 from tidewatch.plans.standins import table, view, with_views
 from tidewatch.session import scratch_path
+from tidewatch.sources import flows as flow_files
 from tidewatch.sources import sinks
 
 QUERIES = {}
@@ -127,6 +128,91 @@ def _unified(s, sf):
     return sinks.unify(network, sinks.email_detections(mail))
 
 
+def _stored_detections(s, sf):
+    """The unified rows by way of the stored table: two batches, one of them again, then all rows once more."""
+    folder, rows = scratch_path(s, "detections"), _unified(s, sf)
+    mail, network = rows.filter("module = 'email'"), rows.filter("module = 'network'")
+    for batch, part in (("mail", mail), ("network", network), ("mail", mail), ("all", rows)):
+        sinks.store_detections(part, folder, batch)
+    return sinks.read_detections(s, folder)
+
+
+_register("s06_detections_stored", _stored_detections, ORACLES["s06_u03_unified_detections"])
+
+
+# --- logs written and read back ----------------------------------------------------------
+
+_LOG_NAMES = {  # two layouts of the same log; the second repeats a name, whose last column counts
+    0: "ts uid id.orig_h id.orig_p id.resp_h id.resp_p proto duration orig_ip_bytes resp_ip_bytes orig_pkts resp_pkts history".split(),
+    1: "uid proto id.resp_h id.resp_p duration id.orig_h id.orig_p orig_pkts resp_pkts orig_ip_bytes resp_ip_bytes ts history uid".split(),
+}
+
+
+def _conn_log(s, sf):
+    """The flows as connection logs of alternating layouts, every tenth as JSON, read back."""
+    flows = view(s, sf, "v_flow").withColumn("block", F.floor(F.col("flow_id") / 2000))
+    micros = F.unix_micros("ts")
+    values = {
+        "ts": F.format_string("%d.%06d", F.floor(micros / 1000000), F.pmod(micros, F.lit(1000000))), "uid": F.concat(F.lit("C"), "flow_id"),
+        "id.orig_h": F.col("src_ip"), "id.orig_p": F.lit("50000"), "id.resp_h": F.col("dst_ip"), "id.resp_p": F.col("dst_port").cast("string"),
+        "proto": F.col("protocol"), "duration": (F.col("duration_ms") / 1000).cast("string"), "orig_ip_bytes": F.col("fwd_bytes").cast("string"),
+        "resp_ip_bytes": F.col("bwd_bytes").cast("string"), "orig_pkts": F.col("fwd_packets").cast("string"), "resp_pkts": F.col("bwd_packets").cast("string"),
+        "history": F.lit("ShADadFf"),
+    }
+    layout = {n: F.concat_ws("\t", *[F.lit("-") if i < len(names) - 1 and name in names[i + 1 :] else values[name] for i, name in enumerate(names)]) for n, names in _LOG_NAMES.items()}
+    odd = F.col("block") % 2 == 1
+    as_json = F.to_json(F.struct(*[c.alias(n) for n, c in values.items()]))
+    line = F.when(F.col("flow_id") % 10 == 0, as_json).when(odd, layout[1]).otherwise(layout[0])
+    header = F.concat(F.lit("#fields\t"), F.when(odd, F.lit("\t".join(_LOG_NAMES[1]))).otherwise(F.lit("\t".join(_LOG_NAMES[0]))))
+    headers = flows.select("block").distinct().select("block", F.lit(-1).cast("long").alias("at"), header.alias("line"))
+    lines = flows.select("block", F.col("flow_id").cast("long").alias("at"), line.alias("line")).unionByName(headers)
+    folder = scratch_path(s, "conn-logs")
+    lines.repartition("block").sortWithinPartitions("block", "at").select("line").write.text(folder)
+    flags = F.col("tcp_flags")
+    return flow_files.read_conn_log(s, folder, range_bytes=1 << 20).select(
+        "flow_id", "ts", "src_ip", "dst_ip", "src_port", "dst_port", "protocol", sc.stable_round(F.col("duration_ms"), 6).alias("duration_ms"),
+        "fwd_packets", "bwd_packets", "fwd_bytes", "bwd_bytes", *[flags[f].alias(f) for f in ("syn", "fin", "rst", "ack", "psh")])
+
+
+_register(
+    "s01_conn_log",
+    _conn_log,
+    with_views(["v_flow"], f"""
+SELECT 'C' || flow_id AS flow_id, ts, src_ip, dst_ip, 50000::INT AS src_port, dst_port::INT AS dst_port, protocol, {_dec('duration_ms', 6)} AS duration_ms,
+ fwd_packets::BIGINT AS fwd_packets, bwd_packets::BIGINT AS bwd_packets, fwd_bytes::BIGINT AS fwd_bytes, bwd_bytes::BIGINT AS bwd_bytes,
+ 1::INT AS syn, 2::INT AS fin, 0::INT AS rst, 2::INT AS ack, 0::INT AS psh FROM v_flow"""),
+)
+
+
+def _cic_files(s, sf):
+    """The flows as CSV files of three headers below one folder, read back."""
+    flows = view(s, sf, "v_flow")
+    columns = {
+        " Destination Port": F.col("dst_port"), "Flow  Duration": F.col("duration_ms") * 1000, "Total Fwd Packets": F.col("fwd_packets"),
+        "Total Backward Packets": F.col("bwd_packets"), "Total Length of Fwd Packets": F.col("fwd_bytes"), "Total Length of Bwd Packets": F.col("bwd_bytes"),
+        "Protocol": F.when(F.col("protocol") == "tcp", 6).otherwise(17), " Label": F.lower("label"),
+    }
+    orders = (list(columns), list(reversed(columns)), [n for n in columns if n != "Protocol"])
+    folder = scratch_path(s, "cic-files")
+    for number, names in enumerate(orders):
+        flows.filter(F.col("flow_id") % 3 == number).select(*[columns[n].alias(n) for n in names]).write.csv(f"{folder}/day{number}", header=True, ignoreLeadingWhiteSpace=False)
+    rows = flow_files.read_cic_csv(s, folder)
+    return rows.select(
+        "dst_port", sc.stable_round(F.col("duration_ms"), 6).alias("duration_ms"), "fwd_packets", "bwd_packets", "total_packets", "fwd_bytes", "bwd_bytes", "total_bytes",
+        "is_wellknown_port", "protocol_tcp", "protocol_udp", "iat_max", "label")
+
+
+_register(
+    "s02_cic_csv",
+    _cic_files,
+    with_views(["v_flow"], f"""
+SELECT dst_port::DOUBLE AS dst_port, {_dec('duration_ms', 6)} AS duration_ms, fwd_packets::DOUBLE AS fwd_packets, bwd_packets::DOUBLE AS bwd_packets,
+ (fwd_packets + bwd_packets)::DOUBLE AS total_packets, fwd_bytes::DOUBLE AS fwd_bytes, bwd_bytes::DOUBLE AS bwd_bytes, (fwd_bytes + bwd_bytes)::DOUBLE AS total_bytes,
+ (dst_port BETWEEN 1 AND 1023)::INT::DOUBLE AS is_wellknown_port, (protocol = 'tcp' AND flow_id % 3 <> 2)::INT::DOUBLE AS protocol_tcp,
+ (protocol = 'udp' AND flow_id % 3 <> 2)::INT::DOUBLE AS protocol_udp, 0::DOUBLE AS iat_max, upper(coalesce(label, '')) AS label FROM v_flow"""),
+)
+
+
 # --- scaling, thresholds, ensemble ------------------------------------------------------
 
 _SCALED = ("duration_ms", "fwd_packets", "bytes_per_second", "iat_std", "fin_count")

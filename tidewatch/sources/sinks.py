@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.functions import fixed_values as fv
 from tidewatch.functions import scoring as sc
 from tidewatch.operators import email as em
 from tidewatch.operators.quality import guard_enums
+from tidewatch.sources.stored import insert_batch, stored
 
 DETECTION_COLUMNS = ("ts", "tenant_id", "module", "threat_type", "risk_score", "ref_id", "summary")
 ANALYSIS_COLUMNS = (
@@ -67,6 +68,21 @@ def write_detections(detections: DataFrame, path: str, mode: str = "append") ->
     dated.repartition("module", "date", salt).write.mode(mode).partitionBy("module", "date").parquet(path)
 
 
+def store_detections(detections: DataFrame, folder: str, batch: str) -> bool:
+    """Add a batch to the stored detections; a replayed batch or row changes nothing."""
+    dated = detections.select(*DETECTION_COLUMNS, F.to_date("ts").alias("date"))
+    keys = ["date", *[c for c in DETECTION_COLUMNS if c != "risk_score"]]
+    return insert_batch(dated, folder, batch, keys, ["risk_score"], write_detections, pruned_by="date")
+
+
+def read_detections(spark: SparkSession, folder: str) -> DataFrame:
+    """The stored detections; without any batch an empty table."""
+    rows = stored(spark, folder)
+    if rows is None:
+        return spark.createDataFrame([], "ts timestamp, tenant_id int, module string, threat_type string, risk_score double, ref_id string, summary string")
+    return rows.select(*DETECTION_COLUMNS)
+
+
 def email_analysis_rows(risked: DataFrame) -> DataFrame:
     """The stored form of an analysis: guarded enums, features and indicators as JSON."""
     guarded = guard_enums(
@@ -79,5 +95,6 @@ def email_analysis_rows(risked: DataFrame) -> DataFrame:
     return guarded.select(*ANALYSIS_COLUMNS)
 
 
-def write_email_analyses(risked: DataFrame, path: str, mode: str = "append") -> None:
-    email_analysis_rows(risked).write.mode(mode).parquet(path)
+def write_email_analyses(risked: DataFrame, folder: str, batch: str) -> bool:
+    """Add analyses to the stored ones; a message of a tenant is stored once."""
+    return insert_batch(email_analysis_rows(risked), folder, batch, ["tenant_id", "message_id"], ["risk_score"])
