@@ -15,7 +15,7 @@ from tidewatch.plans import oracle_sql as osql
 from tidewatch.plans.standins import VIEWS, view, with_views
 from tidewatch.session import prepare, scratch_path
 from tidewatch.streaming import events as ev
-from tidewatch.streaming import jobs
+from tidewatch.streaming import incidents, jobs
 
 QUERIES = {}
 ORACLES = {}
@@ -222,11 +222,36 @@ _register(
     with_views(["v_detections", "v_flow"], """
 , h AS (SELECT d.tenant_id AS id, d.id AS change_id, d.ts, CASE WHEN f.raw_value > 100 THEN 'high' ELSE 'low' END AS severity,
    CASE WHEN d.module = 'network' THEN 'open' ELSE 'resolved' END AS status FROM v_detections d JOIN v_flow f ON f.flow_id = d.id),
-l AS (SELECT *, lag(severity) OVER w AS ps, lag(status) OVER w AS pt FROM h WINDOW w AS (PARTITION BY id ORDER BY ts))
+l AS (SELECT *, lag(severity) OVER w AS ps, lag(status) OVER w AS pt FROM h WINDOW w AS (PARTITION BY id ORDER BY ts, change_id))
 SELECT id, change_id, ts, severity, status FROM l WHERE ps IS NULL OR ps <> severity OR pt <> status"""),
 )
 
 
+def _live_incidents(s, sf):
+    """Incident events as payloads, of all changes that the watermark has passed."""
+    path, checkpoint = scratch_path(s, "incidents"), scratch_path(s, "incidents-state")
+    changes = _stream(s, sf, "v_detections").select(
+        (F.col("id") % 500).alias("id"), "ts", F.col("id").alias("change_id"), "tenant_id", F.lit("port_scan").alias("kind"),
+        F.when(F.col("risk_score") > 0.5, "high").otherwise("low").alias("severity"), F.col("model_version").alias("entity_count"),
+        F.when(F.col("module") == "network", "open").otherwise("resolved").alias("status"))
+    _finish(incidents.start_incident_events(changes, path, checkpoint, "1 hour", trigger=_NOW))
+    found = s.read.parquet(path).select(F.col("payload").alias("value"), F.timestamp_micros("at").alias("ts"), "change_id")
+    parsed = F.from_json("value", ev.INCIDENT_SCHEMA)
+    return found.select(parsed.alias("e"), "ts", "change_id").select("e.*", "ts", "change_id")
+
+
+_register(
+    "x03_incident_stream",
+    _live_incidents,
+    with_views(["v_detections"], """
+, h AS (SELECT id % 500 AS id, id AS change_id, ts, tenant_id, model_version, CASE WHEN risk_score > 0.5 THEN 'high' ELSE 'low' END AS severity,
+   CASE WHEN module = 'network' THEN 'open' ELSE 'resolved' END AS status FROM v_detections),
+l AS (SELECT *, lag(severity) OVER w AS ps, lag(status) OVER w AS pt FROM h WINDOW w AS (PARTITION BY id ORDER BY ts, change_id))
+SELECT 'incident' AS event, id, tenant_id, 'port_scan' AS kind, severity, model_version::BIGINT AS entity_count, status, ts, change_id FROM l
+WHERE (ps IS NULL OR ps <> severity OR pt <> status) AND ts <= (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 1 HOUR FROM h)"""),
+)
+
+
 def _live_triage(s, sf):
     path, checkpoint = scratch_path(s, "triage"), scratch_path(s, "triage-state")
     _finish(jobs.start_triage(_stream(s, sf, "v_log").drop("batch_key"), path, checkpoint, trigger=_NOW))

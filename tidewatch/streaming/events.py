@@ -31,8 +31,12 @@ def detection_payload(detections: DataFrame) -> DataFrame:
     return detections.select(F.to_json(detection_struct(), _JSON_OPTIONS).alias("value"))
 
 
+def incident_json() -> Column:
+    return F.to_json(incident_struct(), _JSON_OPTIONS)
+
+
 def incident_payload(incidents: DataFrame) -> DataFrame:
-    return incidents.select(F.to_json(incident_struct(), _JSON_OPTIONS).alias("value"))
+    return incidents.select(incident_json().alias("value"))
 
 
 def parse_payload(payloads: DataFrame, schema: str = DETECTION_SCHEMA) -> DataFrame:

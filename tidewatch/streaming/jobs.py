@@ -89,7 +89,8 @@ def fan_out(payloads: DataFrame, deliver: Callable[[DataFrame, int], None], chec
 def incident_changes(history: DataFrame) -> DataFrame:
     """Batch form: inserts of an incident and updates that change its status or severity.
 
-    ``history`` is (id, ts, severity, status, ...).  The previous state is looked up
+    ``history`` is (id, ts, change_id, severity, status, ...); changes of one moment follow
+    their change id.  The previous state is looked up
     inside (incident, day) and, for the first row of a day, from the last row of the
     days before: a long-lived incident is spread over its days.
     """
@@ -97,9 +98,9 @@ def incident_changes(history: DataFrame) -> DataFrame:
 
     state = F.struct("severity", "status")
     dated = history.withColumns({"day": F.to_date("ts"), "state": state})
-    last_of_day = dated.groupBy("id", "day").agg(F.max_by("state", "ts").alias("closing"))
+    last_of_day = dated.groupBy("id", "day").agg(F.max_by("state", F.struct("ts", "change_id")).alias("closing"))
     before = last_of_day.select("id", "day", F.lag("closing").over(Window.partitionBy("id").orderBy("day")).alias("opening"))
-    inside = F.lag("state").over(Window.partitionBy("id", "day").orderBy("ts"))
+    inside = F.lag("state").over(Window.partitionBy("id", "day").orderBy("ts", "change_id"))
     known = dated.withColumn("previous", inside).join(before, ["id", "day"])
     previous = F.coalesce("previous", "opening")
     return known.filter(previous.isNull() | (previous != F.col("state"))).drop("day", "state", "previous", "opening")
