@@ -17,6 +17,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from tidewatch.operators import dashboards as d
 from tidewatch.operators import flows as fl
 from tidewatch.streaming import events as ev
+from tidewatch.streaming.compaction import EPOCH_BATCHES, read_newest, write_newest
 
 ROLLUP_KEYS = ("bucket", "tenant_id", "module", "threat_type")
 
@@ -56,12 +57,12 @@ def rollup_stream(detections: DataFrame, late: str = "7 days") -> DataFrame:
     )
 
 
-def start_rollup(detections: DataFrame, path: str, checkpoint: str, trigger: dict | None = None):
-    return write_batches(rollup_stream(detections), path, checkpoint, "update", trigger)
+def start_rollup(detections: DataFrame, path: str, checkpoint: str, trigger: dict | None = None, epoch_batches: int = EPOCH_BATCHES):
+    return write_newest(rollup_stream(detections), path, checkpoint, ROLLUP_KEYS, F.to_date("bucket"), "update", trigger, epoch_batches)
 
 
 def read_rollup(spark: SparkSession, path: str) -> DataFrame:
-    return last_write(spark, path, ROLLUP_KEYS)
+    return read_newest(spark, path, ROLLUP_KEYS)
 
 
 def refresh_rollup(detections: DataFrame, path: str) -> None:
