@@ -158,13 +158,19 @@ SELECT series, count(DISTINCT origin) AS windows, count(*) AS forecast_hours, {_
 _NOW = {"availableNow": True}
 
 
+def _table_stream(s, sf, name):
+    """One of the given tables as a stream, whether it is one file or a folder of files.
+
+    The source takes a file only by a pattern; the pattern has this one match.
+    """
+    prepare(s)
+    path = f"{sf}/{name}.parquet"
+    return s.readStream.schema(s.read.parquet(path).schema).parquet(f"{path[:-1]}[{path[-1]}]")
+
+
 def _stream(s, sf, name):
     """A stand-in view over its table read as a stream."""
-    prepare(s)
-    source = VIEWS[name]
-    raw = s.read.parquet(f"{sf}/events.parquet")
-    stream = s.readStream.schema(raw.schema).option("pathGlobFilter", "events.parquet").parquet(sf)
-    return s.sql(source, events=stream)
+    return s.sql(VIEWS[name], events=_table_stream(s, sf, "events"))
 
 
 def _finish(query):
@@ -263,9 +269,7 @@ _register("x06_triage_stream", _live_triage, flow_queries.ORACLES["n02_f31_flow_
 
 def _live_scores(s, sf):
     """Messages from a stream of documents, scored as they come."""
-    prepare(s)
-    schema = s.read.parquet(f"{sf}/documents.parquet").schema
-    docs = s.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(sf)
+    docs = _table_stream(s, sf, "documents")
     messages = email_queries.raw_messages(docs.repartition(s.sparkContext.defaultParallelism))
     path, checkpoint = scratch_path(s, "scores"), scratch_path(s, "scores-state")
     scored = em.score_messages(messages).select("msg_id", "from_domain", "verdict", "risk_score", F.size("indicators").alias("n"))
