@@ -1,6 +1,7 @@
 """Classifier, forecasts and streams."""
 
 import random
+import threading
 
 import pytest
 from pyspark.sql import functions as F
@@ -37,6 +38,19 @@ def test_classifier_learns_and_round_trips(spark, tmp_path):
     assert missing[0] == missing[1]
 
 
+def test_folds_are_fitted_side_by_side(spark, monkeypatch):
+    fit, met = ln._fit_trees, threading.Barrier(3)
+
+    def together(rows, iterations, seed):
+        met.wait(30)  # breaks unless all folds come here
+        return fit(rows, iterations, seed)
+
+    with monkeypatch.context() as m:
+        m.setattr(ln, "_fit_trees", together)
+        model = ln.train_classifier(labelled(spark, 300), ["b", "a", "c"], iterations=2)
+    assert len(model.trees) == len(model.calibrations) == 3 and not met.broken
+
+
 def test_classifier_refuses_one_class(spark):
     with pytest.raises(ValueError):
         ln.train_classifier(labelled(spark, 30).withColumn("label", F.lit(1.0)), ["a"])

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import json
 from dataclasses import dataclass, field
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -108,15 +110,18 @@ def train_classifier(
     metrics = {"n_train": int(total), "n_phishing": int(positive), "calibrated": total >= MIN_CALIBRATED}
     if total < MIN_CALIBRATED:
         return PhishingClassifier(order, [_fit_trees(rows, iterations, seed)], [], version, metrics)
-    trees, calibrations = [], []
-    for fold in range(folds):
+
+    def fit(fold: int) -> tuple[GBTClassificationModel, IsotonicRegressionModel]:
         model = _fit_trees(rows.filter(F.col("_fold") != fold), iterations, seed)
         held_out = _raw_probability(model, rows.filter(F.col("_fold") == fold), "_p")
         # Folded to at most 100,001 weighted points before the pooling, whatever the row count.
         points = held_out.groupBy(F.round("_p", 5).alias("p")).agg(F.avg("_y").alias("y"), F.count("*").cast("double").alias("w"))
-        calibrations.append(IsotonicRegression(featuresCol="p", labelCol="y", weightCol="w").fit(points))
-        trees.append(model)
-    return PhishingClassifier(order, trees, calibrations, version, metrics)
+        return model, IsotonicRegression(featuresCol="p", labelCol="y", weightCol="w").fit(points)
+
+    # A boosting round waits for the one before; the folds don't, so their short jobs run side by side.
+    with ThreadPool(folds) as pool:
+        trees, calibrations = zip(*pool.map(inheritable_thread_target(rows.sparkSession)(fit), range(folds)))
+    return PhishingClassifier(order, list(trees), list(calibrations), version, metrics)
 
 
 def score_classifier(df: DataFrame, model: PhishingClassifier, out: str = "probability") -> DataFrame:
