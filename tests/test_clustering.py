@@ -152,3 +152,17 @@ def test_roll_up_ranks_shared_features(spark):
     row = fl.incident_rollup(df).first()
     assert row["severity"] == "critical" and row["member_count"] == 3 and row["source_count"] == 2 and row["dest_ips"] == ["d1", "d2"]
     assert [tuple(f) for f in row["shared_features"]] == [("b", 3), ("a", 1), ("c", 1)]
+
+
+def test_a_unit_is_compared_with_its_own_askers_only(spark, monkeypatch):
+    """The points of dense units meet what is asked of them by unit, a large unit in tiles."""
+    monkeypatch.setattr(cl, "CHUNK", 50)
+    unit = np.array([0] * 300 + [u for u in range(1, 101) for _ in range(5)])
+    v = [[float(i)] + [0.0] * (DIMS - 1) for i in range(len(unit))]
+    points = spark.createDataFrame([(int(u), i, x) for i, (u, x) in enumerate(zip(unit, v))], "unit long, id long, v array<double>")
+    asked = spark.createDataFrame([(int(u), 1000 + i, x) for i, (u, x) in enumerate(zip(unit, v)) if i % 2], "unit long, label long, lo array<double>")
+    tiles = cl._of_units(points, asked, lambda a, b: cl.pd.DataFrame({"a": [len(a)], "b": [len(b)], "n": [0]}), cl._TRIPLE).collect()
+    # every row a few times: not every point for every block of what is asked
+    assert sum(r["a"] for r in tiles) <= 300 * 4 + 500 and max(max(r["a"], r["b"]) for r in tiles) <= 100
+    within = cl._of_units(points, asked, cl._count_in_reach(0.25), cl._TRIPLE).groupBy("a", "b").agg(F.sum("n").alias("n")).collect()
+    assert {(r["a"] - 1000, r["b"], r["n"]) for r in within} == {(i, int(u), 1) for i, u in enumerate(unit) if i % 2}

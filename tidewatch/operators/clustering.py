@@ -25,17 +25,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewatch.functions.scoring import let
 from tidewatch.operators import flows as fl
-from tidewatch.session import broadcast_if_small, cut_lineage, gathered
+from tidewatch.session import broadcast_if_small, cut_lineage
 
 DIMS = len(fl.FEATURES) + 1
-MEETING_DIMS = 2  # dimensions of the coarse cells, at most: every one more repeats boxes
+MEETING_DIMS = 3  # dimensions of the coarse cells, at most: every one more repeats boxes
 MEETING_WIDTH = 4  # of a coarse cell, in reaches and widest boxes
-CHUNK = 10_000  # boxes broadcast at a time: 10,000 x 62 doubles are 5 MB
+CHUNK = 10_000  # rows of a tile, on each side: 10,000 boxes of 62 doubles are 5 MB
+BUCKETS = 256  # of small units, compared bucket by bucket
+TASKS_PER_CORE = 3  # tiles differ in work
+FINER = 4.0  # boxes of a unit get so much smaller at a time
 _SLACK = 1e-12
 
 
@@ -47,8 +50,11 @@ def behaviour_vector(score: Column, attribution: Column) -> Column:
 
 
 def _unit(raw: Column) -> Column:
-    norm = F.sqrt(F.aggregate(raw, F.lit(0.0), lambda s, x: s + x * x))
-    return F.when(norm >= 1e-9, F.transform(raw, lambda x: x / norm))
+    def scaled(v: Column) -> Column:
+        norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
+        return let(norm, lambda n: F.when(n >= 1e-9, F.transform(v, lambda x: x / n)))
+
+    return let(raw, scaled)  # the vector and its norm are made once per row, not once per number
 
 
 # --- connected components --------------------------------------------------------------
@@ -110,35 +116,64 @@ def _stack(values) -> np.ndarray:
     return np.stack([np.asarray(v, dtype=float) for v in values]) if len(values) else np.zeros((0, DIMS))
 
 
-def _chunks(df: DataFrame, key: str, n: int) -> Iterator[pd.DataFrame]:
-    """The table in pieces of bounded size, each as pandas for a broadcast."""
-    pieces = max(1, math.ceil(n / CHUNK))
-    for i in range(pieces):
-        yield (df if pieces == 1 else df.filter(F.pmod(F.xxhash64(key), F.lit(pieces)) == i)).toPandas()
-
-
 def _blocks(batch: pd.DataFrame, width: int) -> Iterator[pd.DataFrame]:
     step = max(1, 2_000_000 // max(width, 1))
     for start in range(0, len(batch), step):
         yield batch.iloc[start : start + step]
 
 
-def _scan(df: DataFrame, tables: Iterator[pd.DataFrame], work, schema: str) -> DataFrame:
-    """Run ``work(block, table)`` over the rows against one broadcast table after another."""
+def _in_tiles(left: DataFrame, right: DataFrame, tile: list[str], work, schema: str) -> DataFrame:
+    """``work(left rows, right rows)`` of every tile that both sides have rows in.
+
+    The tiles are dealt to a set number of tasks: they are little to read and much to compare,
+    and partitions put together by their bytes would leave most of the cluster idle.
+    """
+    tasks = TASKS_PER_CORE * left.sparkSession.sparkContext.defaultParallelism
+    names = [x.split()[0] for x in schema.split(", ")]
+    theirs = [f"r_{c}" for c in tile]
+    right = right.toDF(*[f"r_{c}" for c in right.columns])  # a table may meet itself
+
+    def solve(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        found = []
+        if len(a) and len(b):
+            b = b.drop(columns=theirs).rename(columns=lambda c: c.removeprefix("r_"))
+            for block in _blocks(a.drop(columns=tile), len(b)):
+                out = work(block, b)
+                if out is not None and len(out):
+                    found.append(out)
+        return pd.concat(found) if found else pd.DataFrame({n: pd.Series(dtype="int64") for n in names})
+
+    lefts, rights = left.repartition(tasks, *tile).groupBy(*tile), right.repartition(tasks, *theirs).groupBy(*theirs)
+    return lefts.cogroup(rights).applyInPandas(solve, schema)
+
+
+def _tiled(left: DataFrame, right: DataFrame, i: Column, j: Column) -> tuple[DataFrame, DataFrame]:
+    """Left rows at home in tile row ``i`` and in all ``j_tiles`` of it, right rows the other way."""
+
+    def every(tiles: str) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.col(tiles) - 1).cast("array<bigint>"))
 
-    def part(table: pd.DataFrame) -> tuple[DataFrame, Broadcast]:
-        shared = df.sparkSession.sparkContext.broadcast(table)
+    left = left.withColumn("i", F.pmod(i, F.col("i_tiles"))).withColumn("j", every("j_tiles"))
+    right = right.withColumn("j", F.pmod(j, F.col("j_tiles"))).withColumn("i", every("i_tiles"))
+    return left.drop("i_tiles", "j_tiles"), right.drop("i_tiles", "j_tiles")
 
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                for block in _blocks(batch, len(shared.value)):
-                    out = work(block, shared.value)
-                    if out is not None and len(out):
-                        yield out
 
-        return df.mapInPandas(run, schema), shared
+def _tile_counts(left: DataFrame, right: DataFrame, by: list[str]) -> DataFrame:
+    """``by, i_tiles, j_tiles``: tiles of at most about ``CHUNK`` rows a side, where both sides have rows."""
+    rows = left.groupBy(*by).agg(F.count("*").alias("left_rows")).join(right.groupBy(*by).agg(F.count("*").alias("right_rows")), by)
+    tiles = [F.ceil(F.col(f"{side}_rows") / CHUNK).cast("long").alias(name) for side, name in (("left", "i_tiles"), ("right", "j_tiles"))]
+    return broadcast_if_small(cut_lineage(rows.select(*by, *tiles)))
 
-    return gathered(map(part, tables), "clustering")
+
+def _of_units(points: DataFrame, asked: DataFrame, work, schema: str) -> DataFrame:
+    """``work(points, asked)`` by their ``unit``; a unit of many rows is cut into tiles.
+
+    Small units share a bucket, so that there are no more groups than the rows are worth.
+    """
+    tiles = _tile_counts(points, asked, ["unit"])
+    buckets = F.pmod(F.xxhash64("unit"), F.lit(BUCKETS))
+    left, right = _tiled(points.join(tiles, "unit"), asked.join(tiles, "unit"), F.xxhash64("id"), F.xxhash64("lo"))
+    return _in_tiles(left.withColumn("bucket", buckets), right.withColumn("bucket", buckets), ["bucket", "i", "j"], work, schema)
 
 
 def _meeting(left: DataFrame, right: DataFrame, reach: float, work, schema: str) -> DataFrame:
@@ -166,30 +201,10 @@ def _meeting(left: DataFrame, right: DataFrame, reach: float, work, schema: str)
     cell = [f"c{k}" for k in range(len(dims))]
     if not cell:
         cell, home, visited = ["c0"], home.withColumn("c0", F.lit(0).cast("long")), visited.withColumn("c0", F.lit(0).cast("long"))
-    met = cut_lineage(
-        home.groupBy(*cell).agg(F.count("*").alias("right_rows")).join(visited.groupBy(*cell).agg(F.count("*").alias("left_rows")), cell)
-        .select(*cell, F.ceil(F.col("left_rows") / CHUNK).cast("long").alias("i_tiles"), F.ceil(F.col("right_rows") / CHUNK).cast("long").alias("j_tiles"))
-    )
-    met = broadcast_if_small(met)
+    met = _tile_counts(visited, home, cell)
     own = F.pmod(F.xxhash64("label"), F.lit(1 << 30))
-    lefts = visited.join(met, cell).withColumn("i", F.pmod(own, F.col("i_tiles"))).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("j_tiles") - 1).cast("array<bigint>")))
-    rights = home.join(met, cell).withColumn("j", F.pmod(own, F.col("j_tiles"))).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("i_tiles") - 1).cast("array<bigint>")))
-    names = [x.split()[0] for x in schema.split(", ")]
-    kept_left, kept_right = left.columns, [f"r_{c}" for c in right.columns]
-    rights = rights.toDF(*[f"r_{c}" for c in rights.columns])  # a table may meet itself
-
-    def solve(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        found = []
-        if len(a) and len(b):
-            theirs = b[kept_right].rename(columns=lambda c: c.removeprefix("r_"))
-            for block in _blocks(a[kept_left], len(b)):
-                out = work(block, theirs)
-                if out is not None and len(out):
-                    found.append(out)
-        return pd.concat(found) if found else pd.DataFrame({n: pd.Series(dtype="int64") for n in names})
-
-    tile = [*cell, "i", "j"]
-    return lefts.groupBy(*tile).cogroup(rights.groupBy(*[f"r_{c}" for c in tile])).applyInPandas(solve, schema)
+    lefts, rights = _tiled(visited.join(met, cell), home.join(met, cell), own, own)
+    return _in_tiles(lefts, rights, [*cell, "i", "j"], work, schema)
 
 
 def _neighbourhood(r2: float):
@@ -231,36 +246,38 @@ def _sure_links(r2: float):
     return work
 
 
+def _each_unit(block: pd.DataFrame, table: pd.DataFrame) -> Iterator[tuple[int, pd.DataFrame, pd.DataFrame]]:
+    """(unit, its points, what is asked of it) of the units that both have."""
+    asked = table.groupby("unit").indices
+    for unit, at in block.groupby("unit").indices.items():
+        if unit in asked:
+            yield unit, block.iloc[at], table.iloc[asked[unit]]
+
+
 def _count_in_reach(r2: float):
     """Rows of a dense unit within reach of the single units asking for it."""
 
     def work(block: pd.DataFrame, table: pd.DataFrame) -> pd.DataFrame:
         out = []
-        asked = dict(tuple(table.groupby("unit")))
-        for unit, rows in block.groupby("unit"):
-            if unit in asked:
-                who = asked[unit]
-                v, p = _stack(rows["v"]), _stack(who["lo"])
-                near, _ = _pair_range(v, v, p, p)
-                out.append(pd.DataFrame({"a": who["label"].to_numpy(), "b": unit, "n": (near <= r2).sum(axis=0).astype(np.int64)}))
+        for unit, rows, who in _each_unit(block, table):
+            v, p = _stack(rows["v"]), _stack(who["lo"])
+            near, _ = _pair_range(v, v, p, p)
+            out.append(pd.DataFrame({"a": who["label"].to_numpy(), "b": unit, "n": (near <= r2).sum(axis=0).astype(np.int64)}))
         return pd.concat(out) if out else None
 
     return work
 
 
 def _probe(r2: float):
-    """Rows of unit a against small boxes of unit b: 1 when surely linked, 0 when still open."""
+    """Rows of a unit against small boxes of unit b: 1 when surely linked, 0 when still open."""
 
     def work(block: pd.DataFrame, table: pd.DataFrame) -> pd.DataFrame:
         out = []
-        asked = dict(tuple(table.groupby("a")))
-        for unit, rows in block.groupby("unit"):
-            if unit in asked:
-                boxes = asked[unit]
-                v = _stack(rows["v"])
-                near, far = _pair_range(v, v, _stack(boxes["lo"]), _stack(boxes["hi"]))
-                sure, maybe = (far <= r2).any(axis=0), (near <= r2).any(axis=0)
-                out.append(pd.DataFrame({"a": unit, "b": boxes["unit"].to_numpy(), "n": sure.astype(np.int64)})[sure | maybe])
+        for unit, rows, boxes in _each_unit(block, table):
+            v = _stack(rows["v"])
+            near, far = _pair_range(v, v, _stack(boxes["lo"]), _stack(boxes["hi"]))
+            sure, maybe = (far <= r2).any(axis=0), (near <= r2).any(axis=0)
+            out.append(pd.DataFrame({"a": unit, "b": boxes["b"].to_numpy(), "n": sure.astype(np.int64)})[sure | maybe])
         return pd.concat(out).groupby(["a", "b"], as_index=False)["n"].max() if out else None
 
     return work
@@ -299,11 +316,11 @@ def dbscan(rows: DataFrame, eps: float = 0.5, min_samples: int = 3) -> DataFrame
     open_pairs = seen.filter("b <> -1").select("a", "b")
     single_labels = units.filter("n = 1").select("label", "lo")
     asking = open_pairs.join(single_labels.withColumnRenamed("label", "a"), "a").select(F.col("b").alias("unit"), F.col("a").alias("label"), "lo")
-    n_asking = asking.count()
+    asking = cut_lineage(asking)
     dense_points = points.join(broadcast_if_small(dense.select("cell", F.col("label").alias("unit"))), "cell").select("unit", "id", "v")
-    if n_asking:
+    if asking.limit(1).count():
         found = cut_lineage(
-            _scan(dense_points, _chunks(asking, "label", n_asking), _count_in_reach(reach2), _TRIPLE)
+            _of_units(dense_points, asking, _count_in_reach(reach2), _TRIPLE)
             .groupBy("a", "b").agg(F.sum("n").alias("n")).filter("n > 0")
         )
         sure_counts = sure_counts.unionByName(found.select("a", "n")).groupBy("a").agg(F.sum("n").alias("n"))
@@ -324,8 +341,7 @@ def dbscan(rows: DataFrame, eps: float = 0.5, min_samples: int = 3) -> DataFrame
         linked = connected_components(edges)
         return cut_lineage(linked.unionByName(own.join(linked, "node", "left_anti")))
 
-    links = cut_lineage(links)
-    component = labelled(links)
+    component = labelled(links.distinct())
 
     # Dense pairs still open matter only across components; settle them with smaller boxes.
     undecided = open_pairs.join(dense.select(F.col("label").alias("a")), "a", "left_semi")
@@ -336,20 +352,21 @@ def dbscan(rows: DataFrame, eps: float = 0.5, min_samples: int = 3) -> DataFrame
         undecided = cut_lineage(across)
         if undecided.limit(1).count() == 0:
             break
-        width /= 2.0
+        width /= FINER
         targets = dense_points.join(undecided.select(F.col("b").alias("unit")).distinct(), "unit", "left_semi")
         if width > 1e-9:
             small = _boxes(targets.withColumn("cell", cell(width)), ["unit", "cell"]).select("unit", "lo", "hi")
         else:
             small = targets.select("unit", F.col("v").alias("lo"), F.col("v").alias("hi")).distinct()
-        boxes = cut_lineage(undecided.join(small.withColumnRenamed("unit", "b"), "b").select("a", F.col("b").alias("unit"), "lo", "hi"))
-        probes = dense_points.join(undecided.select(F.col("a").alias("unit")).distinct(), "unit", "left_semi")
-        n_boxes = boxes.count()
-        answers = cut_lineage(
-            _scan(probes, _chunks(boxes, "lo", n_boxes), _probe(reach2), _TRIPLE).groupBy("a", "b").agg(F.max("n").alias("n"))
-        )
-        links = cut_lineage(links.unionByName(answers.filter("n = 1").select("a", "b")))
-        component = labelled(links)
+        boxes = cut_lineage(undecided.join(small.withColumnRenamed("unit", "b"), "b").select(F.col("a").alias("unit"), "b", "lo", "hi"))
+        answers = cut_lineage(_of_units(dense_points, boxes, _probe(reach2), _TRIPLE).groupBy("a", "b").agg(F.max("n").alias("n")))
+        # what has newly met are components: those alone are folded again
+        named = component.select(F.col("node").alias("a"), F.col("component").alias("ca"))
+        others = component.select(F.col("node").alias("b"), F.col("component").alias("cb"))
+        met = cut_lineage(answers.filter("n = 1").join(named, "a").join(others, "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")).filter("a <> b").distinct())
+        if met.limit(1).count():
+            merged = connected_components(met).select(F.col("node").alias("component"), F.col("component").alias("into"))
+            component = cut_lineage(component.join(merged, "component", "left").select("node", F.coalesce("into", "component").alias("component")))
         undecided = answers.filter("n = 0").select("a", "b")
         if width <= 1e-9:
             break
