@@ -24,6 +24,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from tidewatch.functions import text as tx
 from tidewatch.functions.scoring import let
 from tidewatch.operators import postings
+from tidewatch.operators.pieces import pieces
 from tidewatch.session import broadcast_if_small, cut_lineage, gathered
 from tidewatch.sources.corpus import with_credibility
 
@@ -34,6 +35,7 @@ DIM = 768
 QUERY_BLOCK = 2048  # query vectors broadcast at a time: 2048 x 768 doubles are 12 MB
 ASKED_BLOCK = 100_000  # (claim, term) pairs broadcast at a time
 CELLS = 4_000_000  # scores worked on at a time in a task: 32 MB
+KNOWN_WORDS = 200_000  # whose hashes a task keeps: 50 MB
 SCORE_DIGITS = 9  # ranks must not depend on the last bits of a float sum
 
 
@@ -193,7 +195,7 @@ def _asked_statistics(corpus: DataFrame, terms: list[str]) -> tuple[np.ndarray,
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df, n, total = np.zeros(len(shared.value), np.int64), 0, 0
-        for batch in batches:
+        for batch in pieces(batches, "tokens"):
             row, words = _lists(batch.column("tokens"))
             index = pc.fill_null(pc.index_in(words, shared.value), -1).to_numpy(zero_copy_only=False)
             known = index >= 0
@@ -244,7 +246,7 @@ def _score_terms(shared, k: int, k1: float, b: float, types: list[pa.DataType]):
         asked = shared.value
         best = _RunningTopK(asked.claim_ids, k, positive_only=True)
         step = max(1, cells // len(asked.claim_ids))  # documents at a time
-        for whole in batches:
+        for whole in pieces(batches, "tokens"):
             for at in range(0, whole.num_rows, step):
                 batch = whole.slice(at, step)
                 rows, words = _lists(batch.column("tokens"))
@@ -278,11 +280,11 @@ def hash_embed(df: DataFrame, id_col: str, text: Column, dim: int = DIM) -> Data
 
     def embed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, tuple[int, float]] = {}
-        for batch in batches:
+        for batch in pieces(batches, "tokens"):
             row, words = _lists(batch.column("tokens"))
             coded = pc.dictionary_encode(words)
             names = coded.dictionary.to_pylist()
-            if len(known) > 1_000_000:
+            if len(known) > KNOWN_WORDS:
                 known.clear()
             for t in names:
                 if t not in known:
