@@ -1,8 +1,8 @@
 """BM25 over a written inverted index.
 
 The corpus is read twice, once for its totals and once for its postings, however many claims
-are asked.  Postings lie in blocks: a block is one term with the documents of one Arrow batch
-and each document's saturated term frequency, and knows its best one.  An index that will be asked
+are asked.  Postings lie in blocks: a block is one term with the documents of one piece of
+an Arrow batch and each document's saturated term frequency, and knows its best one.  An index that will be asked
 often is dealt by a hash of the term and sorted by it (``by_term``); one made for a single
 question is written where the documents lie, without that shuffle.  The blocks of a frequent
 term are salted, so that no task holds them all.
@@ -25,8 +25,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewatch.operators.pieces import pieces
 from tidewatch.session import broadcast_if_small, scratch_path
 
+BATCH_TOKENS = 2_000_000  # tokens made into blocks at a time in a task: 16 MB a number array
 BLOCK_TOKENS = 20_000_000  # tokens of the corpus per partition of the index
 HOT_POSTINGS = 1_000  # a block of so many documents is salted
 SALTS = 16
@@ -52,7 +54,7 @@ def _written(df: DataFrame, name: str) -> DataFrame:
 
 def _to_blocks(avg_len: float, k1: float, b: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches, "tokens", BATCH_TOKENS):
             tokens = batch.column("tokens")
             lengths = pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False)
             words = pc.dictionary_encode(tokens.flatten())
