@@ -46,3 +46,21 @@ def test_vectors_do_not_depend_on_pieces(spark, corpus, monkeypatch):
     want = rt.embed_docs(docs).orderBy("doc_id").collect()
     seen(monkeypatch, rt, 100)
     assert rt.embed_docs(docs).orderBy("doc_id").collect() == want and len(want) == 200
+
+
+def test_few_queries_do_not_widen_the_vectors_at_work(monkeypatch):
+    """Wide documents are made dense a few at a time, also when there is one query."""
+    rng = np.random.default_rng(2)
+    vectors = rng.normal(size=(50, 20))
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(50)), "vector": vectors.tolist()})
+    dense, sizes = rt._dense, []
+    monkeypatch.setattr(rt, "CELLS", 100)
+    monkeypatch.setattr(rt, "_dense", lambda column, dim: sizes.append(len(column)) or dense(column, dim))
+
+    class Shared:
+        value = (np.array([7]), vectors[:1] / np.linalg.norm(vectors[0]))
+
+    run = rt._score_vectors(Shared, 3, None, [pa.int64(), pa.int64()])
+    found = pa.Table.from_batches(list(run(iter([batch])))).to_pydict()
+    assert max(sizes) == 5 and sum(sizes) == 50
+    assert found["doc_id"][0] == 0 and found["vector_score"][0] == 1.0 and len(found["doc_id"]) == 3

@@ -34,7 +34,7 @@ POOL = 50
 DIM = 768
 QUERY_BLOCK = 2048  # query vectors broadcast at a time: 2048 x 768 doubles are 12 MB
 ASKED_BLOCK = 100_000  # (claim, term) pairs broadcast at a time
-CELLS = 4_000_000  # scores worked on at a time in a task: 32 MB
+CELLS = 1_000_000  # scores, or numbers of vectors, worked on at a time in a task: 8 MB
 KNOWN_WORDS = 200_000  # whose hashes a task keeps: 50 MB
 SCORE_DIGITS = 9  # ranks must not depend on the last bits of a float sum
 
@@ -362,7 +362,7 @@ def _score_vectors(shared, k: int, dim: int | None, types: list[pa.DataType]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         query_ids, queries = shared.value
         best = _RunningTopK(query_ids, k, positive_only=False)
-        step = max(1, cells // len(query_ids))  # documents at a time
+        step = max(1, cells // max(queries.shape))  # documents at a time
         for whole in batches:
             for at in range(0, whole.num_rows, step):
                 batch = whole.slice(at, step)
