@@ -76,12 +76,15 @@ class _RunningTopK:
         if self.positive_only:
             hit &= scores > 0
         rows, columns = np.nonzero(hit)
+        self.add_pairs(ids[rows], columns, scores[rows, columns])
+
+    def add_pairs(self, ids: np.ndarray, columns: np.ndarray, values: np.ndarray) -> None:
+        """Single (document, query, score) triples, ``columns`` being the queries' places."""
         by = np.argsort(columns, kind="stable")
-        rows, columns = rows[by], columns[by]
-        values = scores[rows, columns]
+        ids, columns, values = ids[by], columns[by], values[by]
         used, starts = np.unique(columns, return_index=True)
         for q, at, end in zip(used.tolist(), starts.tolist(), [*starts[1:].tolist(), len(columns)]):
-            these, column = ids[rows[at:end]], values[at:end]
+            these, column = ids[at:end], values[at:end]
             if self.found[q] is not None:
                 these, column = np.concatenate([self.found[q][0], these]), np.concatenate([self.found[q][1], column])
             keep = _best(these, column, self.k)
