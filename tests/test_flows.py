@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tidewatch.operators import baseline as bl
 from tidewatch.operators import clustering as cl
 from tidewatch.operators import flows as fl
+from tidewatch.session import prepare
 from tidewatch.sources import flows as fs
 
 ROW_SCHEMA = fs.FLOW_SCHEMA.replace("ts timestamp", "t double")
@@ -167,3 +168,30 @@ def test_triage_batch(spark):
     assert len(fl.flow_triage(df, "batch_key", shown=None).first()["report"].split(", ")) == 14 == fl.flagged_flows(df, "batch_key").count()
     calm = fl.flow_triage(df.filter("id in ('flw-01', 'flw-02')"), "batch_key").first()
     assert calm["level"] == "Safe" and calm["action"] == "none" and calm["report"] == "0 of 2 flows broke a rule"
+
+
+def test_scores_walk_every_tree_to_its_leaf():
+    """Trees with short branches and ties: the score is that of a plain walk, row by row."""
+    r = np.random.default_rng(4)
+    pool = np.round(r.normal(size=(600, len(fl.FEATURES))), 1)
+    pool[:, 3] = 1.0
+    parts = [bl._grow(pool[r.choice(600, 40 + 3 * t, replace=False)], r) for t in range(12)]
+    model = bl.FlowBaseline({}, {}, *(np.stack(p) for p in zip(*parts)), 40)
+    x = np.concatenate([pool[:50], r.normal(size=(bl.SCORED_ROWS + 20, pool.shape[1])) * 4])
+    paths = np.zeros(len(x))
+    for feature, split, length in parts:
+        for i, row in enumerate(x):
+            at = 0
+            while feature[at] >= 0:
+                at = 2 * at + (2 if row[feature[at]] > split[at] else 1)
+            paths[i] += length[at]
+    want = np.exp2(-(paths / 12) / float(bl.average_path(40)))
+    np.testing.assert_allclose(bl._forest_score(x, model), want, rtol=1e-12)
+    assert (model.feature[:, 1 : 2**bl.DEPTH - 1] < 0).any() and (bl._to_the_floor(model)[0] >= 0).all()
+
+
+def test_large_stages_are_left_to_methods_the_jvm_compiles(spark):
+    """HotSpot interprets methods above 8,000 bytes; a session from elsewhere gets the limit too."""
+    spark.conf.unset("spark.sql.codegen.hugeMethodLimit")
+    prepare(spark)
+    assert int(spark.conf.get("spark.sql.codegen.hugeMethodLimit")) == 8000

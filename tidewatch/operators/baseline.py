@@ -25,6 +25,7 @@ from tidewatch.session import cut_lineage
 TREES = 200
 SAMPLE = 256
 DEPTH = 8  # log2 of the sample size
+SCORED_ROWS = 4096  # rows that walk through the trees at a time: 1 MB
 COMPONENTS = 8
 MIN_ROWS = 20
 MIN_ROWS_RECONSTRUCTION = 50
@@ -129,20 +130,27 @@ def grow_forest(scaled: DataFrame, id_col: str, n: int, trees: int, seed: int) -
     return (*(np.stack([np.asarray(v) for v in table[c]]) for c in ("feature", "split", "length")), size)
 
 
+def _to_the_floor(m: FlowBaseline) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The trees with all paths ``DEPTH`` long: a leaf sends every row left and hands its length down."""
+    leaf = m.feature < 0
+    feature, split, length = np.where(leaf, 0, m.feature), np.where(leaf, np.inf, m.split), m.length.copy()
+    for at in range(2**DEPTH - 1):
+        length[leaf[:, at], 2 * at + 1] = length[leaf[:, at], at]
+    return feature, split, length
+
+
 def _forest_score(x: np.ndarray, m: FlowBaseline) -> np.ndarray:
     """2^(-mean path / expected path): higher is more anomalous."""
     total = np.zeros(len(x))
-    rows = np.arange(len(x))
-    for feature, split, length in zip(m.feature, m.split, m.length):
-        at = np.zeros(len(x), dtype=np.int64)
-        for _ in range(DEPTH):
-            f = feature[at]
-            inner = f >= 0
-            if not inner.any():
-                break
-            step = 2 * at + 1 + (x[rows, np.maximum(f, 0)] > split[at])
-            at = np.where(inner, step, at)
-        total += length[at]
+    trees = list(zip(*_to_the_floor(m)))
+    for start in range(0, len(x), SCORED_ROWS):
+        part = np.ascontiguousarray(x[start : start + SCORED_ROWS])
+        values, first = part.reshape(-1), np.arange(len(part)) * part.shape[1]
+        for feature, split, length in trees:
+            at = np.zeros(len(part), dtype=np.int64)
+            for _ in range(DEPTH):
+                at = 2 * at + 1 + (values.take(first + feature.take(at)) > split.take(at))
+            total[start : start + SCORED_ROWS] += length.take(at)
     return np.exp2(-(total / len(m.feature)) / max(float(average_path(m.sample)), 1e-9))
 
 

@@ -178,7 +178,8 @@ def ensemble(*scores: Column) -> Column:
 def attribution(top: int = 5) -> Column:
     """``array<struct<feature, z_score, direction>>`` of the largest |z| that reach one sigma."""
     entries = F.array(*[F.struct((-F.abs(F.col(f))).alias("size"), F.lit(i).alias("n"), F.lit(f).alias("feature"), F.col(f).alias("z")) for i, f in enumerate(FEATURES)])
-    best = F.filter(F.slice(F.array_sort(entries), 1, top), lambda e: e["size"] <= -1.0)
+    # few reach one sigma: only those are sorted
+    best = F.slice(F.array_sort(F.filter(entries, lambda e: e["size"] <= -1.0)), 1, top)
     return F.transform(
         best,
         lambda e: F.struct(

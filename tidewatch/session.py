@@ -21,6 +21,10 @@ BROADCAST_ROW_BOUND = 100_000
 # Python call sites of every column operation: a cost per operation on the driver.
 _NO_CALL_SITES = ("spark.python.sql.dataFrameDebugging.enabled", "false")
 
+# HotSpot never compiles a method above 8,000 bytes of code.  A stage of thirty features makes a larger
+# one, which the JVM would interpret for every row; operators by themselves have smaller methods.
+_COMPILED_METHODS = ("spark.sql.codegen.hugeMethodLimit", "8000")
+
 
 def build_session(app: str = "tidewatch", master: str | None = None, shuffle_partitions: int | None = None) -> SparkSession:
     """A session with the settings the jobs expect; cluster defaults win where they are set."""
@@ -42,8 +46,9 @@ def build_session(app: str = "tidewatch", master: str | None = None, shuffle_par
 
 
 def prepare(spark: SparkSession) -> None:
-    """Settings a session from elsewhere needs too: all timestamps in the data model are UTC."""
+    """Settings a session from elsewhere needs too: UTC for all timestamps of the data model, methods the JVM compiles."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+    spark.conf.set(*_COMPILED_METHODS)
     _ship_package(spark)
 
 
