@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.operators import flows as fl
-from tidewatch.session import cut_lineage
+from tidewatch.session import compiled_methods, cut_lineage
 
 TREES = 200
 SAMPLE = 256
@@ -209,14 +209,16 @@ def fit_baseline(
     benign: DataFrame, id_col: str = "flow_id", trees: int = TREES, percentile: float = 0.99, reconstruction: bool = True, seed: int = 42
 ) -> FlowBaseline:
     """Fit on feature rows taken to be benign; labels are never read."""
-    row = fl.scaler(benign, counted=True).first()
+    with compiled_methods(benign.sparkSession):
+        row = fl.scaler(benign, counted=True).first()
     n = row["n"]
     if n < MIN_ROWS:
         raise ValueError(f"a baseline needs at least {MIN_ROWS} flows, got {n}")
     means, stds = ({f: float(row[f][key]) for f in fl.FEATURES} for key in ("mean", "std"))
     # Written once: sample, covariance, ranges and percentile read thirty numbers per
     # row from here instead of deriving the features again.
-    scaled = cut_lineage(fl.scale(benign.select(id_col, *fl.FEATURES), means, stds))
+    with compiled_methods(benign.sparkSession):
+        scaled = cut_lineage(fl.scale(benign.select(id_col, *fl.FEATURES), means, stds))
     model = FlowBaseline(means, stds, *grow_forest(scaled, id_col, n, trees, seed))
     if reconstruction and n >= MIN_ROWS_RECONSTRUCTION:
         center = scaled.agg(*[F.avg(f).alias(f) for f in fl.FEATURES]).first()
@@ -278,7 +280,8 @@ def train_and_evaluate(features: DataFrame, path: str, id_col: str = "flow_id",
     train, test = fl.benign_split(features, id_col, share, seed)
     model = fit_baseline(train, **fitting)
     model.save(spark, path)
-    scored = cut_lineage(score_flows(test, FlowBaseline.load(spark, path)))
+    with compiled_methods(spark):
+        scored = cut_lineage(score_flows(test, FlowBaseline.load(spark, path)))
     model.info["metrics"] = {k: v for k, v in fl.evaluate(scored).first().asDict().items() if v is not None}
     model.save(spark, path)
     return scored

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions.scoring import let
 from tidewatch.operators import flows as fl
-from tidewatch.session import broadcast_if_small, cut_lineage
+from tidewatch.session import broadcast_if_small, compiled_methods, cut_lineage
 
 DIMS = len(fl.FEATURES) + 1
 MEETING_DIMS = 3  # dimensions of the coarse cells, at most: every one more repeats boxes
@@ -400,7 +400,8 @@ def cluster_incidents(scored: DataFrame, eps: float = 0.5, min_samples: int = 3,
     # numbered in the order of their ids, so that labels and ties don't depend on partitions
     ordered = scored.filter("is_anomaly").repartitionByRange(F.col(id_col)).sortWithinPartitions(id_col)
     # written once: clustering reads it several times
-    anomalies = cut_lineage(ordered.withColumn("id", F.monotonically_increasing_id()))
+    with compiled_methods(scored.sparkSession):  # the features and scores are made in here
+        anomalies = cut_lineage(ordered.withColumn("id", F.monotonically_increasing_id()))
     members = dbscan(anomalies.select("id", behaviour_vector(F.col("score"), F.col("attribution")).alias("raw")), eps, min_samples)
     members = cut_lineage(anomalies.join(members, "id"))
     named = members.groupBy("cluster_id").agg(F.min(id_col).alias("incident"))

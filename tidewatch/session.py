@@ -9,6 +9,7 @@ import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
@@ -21,10 +22,6 @@ BROADCAST_ROW_BOUND = 100_000
 # Python call sites of every column operation: a cost per operation on the driver.
 _NO_CALL_SITES = ("spark.python.sql.dataFrameDebugging.enabled", "false")
 
-# HotSpot never compiles a method above 8,000 bytes of code.  A stage of thirty features makes a larger
-# one, which the JVM would interpret for every row; operators by themselves have smaller methods.
-_COMPILED_METHODS = ("spark.sql.codegen.hugeMethodLimit", "8000")
-
 
 def build_session(app: str = "tidewatch", master: str | None = None, shuffle_partitions: int | None = None) -> SparkSession:
     """A session with the settings the jobs expect; cluster defaults win where they are set."""
@@ -46,9 +43,8 @@ def build_session(app: str = "tidewatch", master: str | None = None, shuffle_par
 
 
 def prepare(spark: SparkSession) -> None:
-    """Settings a session from elsewhere needs too: UTC for all timestamps of the data model, methods the JVM compiles."""
+    """Settings a session from elsewhere needs too: all timestamps in the data model are UTC."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
-    spark.conf.set(*_COMPILED_METHODS)
     _ship_package(spark)
 
 
@@ -101,6 +97,22 @@ def shared_folder(spark: SparkSession) -> str:
     return configured
 
 
+@contextmanager
+def compiled_methods(spark: SparkSession) -> Iterator[None]:
+    """What runs inside has no stage with a method that the JVM would interpret.
+
+    HotSpot never compiles a method above 8,000 bytes of code, and a stage of thirty features makes
+    a larger one; operators by themselves have smaller methods.
+    """
+    name = "spark.sql.codegen.hugeMethodLimit"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "8000")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new, unused folder below the shared one."""
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
