@@ -178,6 +178,23 @@ def test_spliced_chunks_equal_one_call(text, chunk, overlap):
     assert token_counts.encode_huge(ENCODER, text, chunk, overlap) == ENCODER.tokenizer.encode(text, add_special_tokens=False).ids
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text(alphabet=st.sampled_from(list("ab ' \n\té<|>endoftx7.s\x0b\x1c\xa0\u2003\r")), max_size=80), max_size=6))
+def test_counts_by_parts_equal_one_call(texts):
+    texts = [t + "<|endoftext|> \n" + t for t in texts] + ["", " ", "\xa0 "]
+    assert ENCODER.count_by_parts(texts) == [len(ENCODER.tokenizer.encode(t, add_special_tokens=False)) for t in texts]
+
+
+def test_words_seen_are_not_encoded_again():
+    encoder = token_counts.Encoder(BYTE_BPE)
+    first, again = prose(500, 21), prose(3, 21) + "\n" + prose(2000, 21)
+    want = encoder.count([first, again])
+    asked, count = [], encoder.count
+    encoder.count = lambda texts: asked.extend(texts) or count(texts)
+    assert encoder.count_by_parts([first, again, first]) == want + want[:1]
+    assert len(asked) == len(set(asked)) <= 2 * len(VOCAB) + 2
+
+
 def brute_rules(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
     windows = [tuple(words[i : i + 5]) for i in range(len(words) - 4)]
