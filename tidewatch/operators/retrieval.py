@@ -52,52 +52,62 @@ def top_k(df: DataFrame, group: str, score: str, tie: str, k: int, rank: str = "
 # --- scanning the corpus -----------------------------------------------------------
 
 
-def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
-    """Positions of the k best by (score descending, id ascending)."""
-    if len(scores) > k:
-        floor = np.partition(scores, len(scores) - k)[len(scores) - k]
-        pool = np.flatnonzero(scores >= floor)
-    else:
-        pool = np.arange(len(scores))
-    return pool[np.lexsort((ids[pool], -scores[pool]))[:k]]
-
-
 class _RunningTopK:
-    """Best k documents per query over the batches of one task."""
+    """Best k documents per query over the batches of one task, ties to the lower id.
+
+    All queries are merged at once: a merge sorts what the touched queries hold and what is new.
+    """
 
     def __init__(self, query_ids: np.ndarray, k: int, positive_only: bool):
         self.query_ids, self.k, self.positive_only = query_ids, k, positive_only
-        self.found: list[tuple[np.ndarray, np.ndarray] | None] = [None] * len(query_ids)
+        self.columns, self.scores = np.zeros(0, np.int64), np.zeros(0)
+        self.ids: np.ndarray | None = None
         self.floor = np.full(len(query_ids), -np.inf)
 
     def add(self, ids: np.ndarray, scores: np.ndarray) -> None:
-        """``scores`` is (rows, queries); rows below a query's k-th best so far are left at once."""
-        hit = scores >= self.floor
+        """``scores`` is (rows, queries), not yet rounded; rows below a query's k-th best so far are left at once."""
+        floor = self.floor - 10.0**-SCORE_DIGITS  # what rounding can't lift to the k-th best
+        if self.ids is None and len(scores) > self.k:  # the k-th best of the first rows
+            floor = np.partition(scores, -self.k, axis=0)[-self.k] - 10.0**-SCORE_DIGITS
+        hit = scores >= floor
         if self.positive_only:
             hit &= scores > 0
         rows, columns = np.nonzero(hit)
-        self.add_pairs(ids[rows], columns, scores[rows, columns])
+        self.add_pairs(ids[rows], columns, np.round(scores[rows, columns], SCORE_DIGITS))
 
     def add_pairs(self, ids: np.ndarray, columns: np.ndarray, values: np.ndarray) -> None:
         """Single (document, query, score) triples, ``columns`` being the queries' places."""
-        by = np.argsort(columns, kind="stable")
+        good = values >= self.floor[columns]
+        if self.positive_only:
+            good &= values > 0
+        ids, columns, values = ids[good], columns[good], values[good]
+        if self.ids is None:
+            self.ids = ids[:0]
+        if not len(ids):
+            return
+        touched = np.zeros(len(self.query_ids), bool)
+        touched[columns] = True
+        old = touched[self.columns]
+        ids, columns, values = (
+            np.concatenate(pair) for pair in ((self.ids[old], ids), (self.columns[old], columns), (self.scores[old], values))
+        )
+        by = np.lexsort((ids, -values, columns))
         ids, columns, values = ids[by], columns[by], values[by]
-        used, starts = np.unique(columns, return_index=True)
-        for q, at, end in zip(used.tolist(), starts.tolist(), [*starts[1:].tolist(), len(columns)]):
-            these, column = ids[at:end], values[at:end]
-            if self.found[q] is not None:
-                these, column = np.concatenate([self.found[q][0], these]), np.concatenate([self.found[q][1], column])
-            keep = _best(these, column, self.k)
-            self.found[q] = (these[keep], column[keep])
-            if len(keep) == self.k:
-                self.floor[q] = column[keep[-1]]
+        starts = np.flatnonzero(np.append(True, columns[1:] != columns[:-1]))
+        place = np.arange(len(columns)) - np.repeat(starts, np.diff(np.append(starts, len(columns))))
+        last = place == self.k - 1
+        self.floor[columns[last]] = values[last]
+        best = place < self.k
+        self.ids, self.columns, self.scores = (
+            np.concatenate(pair)
+            for pair in ((self.ids[~old], ids[best]), (self.columns[~old], columns[best]), (self.scores[~old], values[best]))
+        )
 
     def batches(self, names: list[str], id_type: pa.DataType, query_type: pa.DataType) -> Iterator[pa.RecordBatch]:
-        for query_id, found in zip(self.query_ids, self.found):
-            if found is not None and len(found[0]):
-                n = len(found[0])
-                columns = [pa.array([query_id] * n, query_type), pa.array(found[0], id_type), pa.array(found[1] + 0.0, pa.float64())]
-                yield pa.RecordBatch.from_arrays(columns, names)
+        if len(self.columns):
+            by = np.argsort(self.columns, kind="stable")
+            queries = pa.array(self.query_ids[self.columns[by]].tolist(), query_type)
+            yield pa.RecordBatch.from_arrays([queries, pa.array(self.ids[by], id_type), pa.array(self.scores[by] + 0.0, pa.float64())], names)
 
 
 def _lists(column: pa.Array) -> tuple[np.ndarray, pa.Array]:
@@ -260,7 +270,7 @@ def _score_terms(shared, k: int, k1: float, b: float, types: list[pa.DataType]):
                 row, term = posting // len(asked.terms), posting % len(asked.terms)
                 saturated = tf * (k1 + 1) / (tf + k1 * (1 - b + b * length[row] / max(asked.avg_len, 1e-9)))
                 scores = asked.scores(row, term, saturated, batch.num_rows)
-                best.add(batch.column("doc_id").to_numpy(zero_copy_only=False), np.round(scores, SCORE_DIGITS))
+                best.add(batch.column("doc_id").to_numpy(zero_copy_only=False), scores)
         yield from best.batches(["claim_id", "doc_id", "bm25_score"], types[1], types[0])
 
     return run
@@ -369,8 +379,7 @@ def _score_vectors(shared, k: int, dim: int | None, types: list[pa.DataType]):
         for whole in batches:
             for at in range(0, whole.num_rows, step):
                 batch = whole.slice(at, step)
-                scores = np.round(_dense(batch.column("vector"), dim) @ queries.T, SCORE_DIGITS)
-                best.add(batch.column("doc_id").to_numpy(zero_copy_only=False), scores)
+                best.add(batch.column("doc_id").to_numpy(zero_copy_only=False), _dense(batch.column("vector"), dim) @ queries.T)
         yield from best.batches(["query_id", "doc_id", "vector_score"], types[1], types[0])
 
     return run
