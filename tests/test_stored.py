@@ -5,6 +5,7 @@ import datetime
 import pytest
 from pyspark.sql import functions as F
 
+from tidewatch.operators.quality import insert_if_absent
 from tidewatch.sources import sinks
 from tidewatch.sources.stored import commits, insert_batch, stored
 
@@ -64,3 +65,13 @@ def test_detections(spark, tmp_path):
     assert sorted(map(tuple, sinks.read_detections(spark, folder).collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr)
     assert sinks.read_detections(spark, folder).schema == want.schema
     assert sinks.read_detections(spark, folder).filter(F.col("module") == "network").count() == 2
+
+
+def test_stored_keys_are_dropped_before_the_fold(spark, tmp_path):
+    """The rows of a key that is there are not folded, and a row travels once in the rank, not beside it."""
+    there = str(tmp_path / "there")
+    rows(spark, ("a", 1, "x")).write.parquet(there)
+    new = insert_if_absent(spark.read.parquet(there), rows(spark, ("a", 0, "y"), ("b", 2, "z"), ("b", 1, "w"), (None, 3, "v")), ["k"], "n")
+    plan = new._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("_row") < plan.index("LeftAnti") and "min_by" not in plan and plan.index("Aggregate") < plan.index("LeftAnti")
+    assert sorted(map(tuple, new.collect()), key=repr) == [("b", 1, "w"), (None, 3, "v")]

@@ -40,15 +40,20 @@ def duplicate_active_models(models: DataFrame) -> DataFrame:
 def insert_if_absent(existing: DataFrame, new: DataFrame, keys: Sequence[str], order_by: str | Sequence[str]) -> DataFrame:
     """New rows whose key is not there yet; the first one per key wins, ties by all columns.
 
-    The first row per key is a minimum, which combines on the map side, so a hot key
-    never gathers in one task.  Null parts of a key equal each other.  With map
+    Rows whose key is there are dropped first, so that Spark can move that join below the columns
+    that are costly to make, and only what is new is folded.  The first row per key is a minimum,
+    which combines on the map side, so a hot key that is new never gathers in one task; one that is
+    there is left to Spark's skew handling.  Null parts of a key equal each other.  With map
     columns, which have no order, ``order_by`` alone decides.
     """
     cols = new.columns
     order = [order_by] if isinstance(order_by, str) else list(order_by)
     ordered = not any(isinstance(f.dataType, MapType) for f in new.schema.fields)
-    rank = F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate([*order, *(cols if ordered else [])])])
-    first = new.groupBy(*keys).agg(F.min_by(F.struct(*cols), rank).alias("_row")).select("_row.*")
     present = existing.select(*[F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)]).distinct()
     same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_key{i}")) for i, k in enumerate(keys)])
-    return first.join(present, same, "left_anti")
+    absent = new.join(present, same, "left_anti")
+    rank = [F.col(c).alias(f"_order{i}") for i, c in enumerate(order)]
+    row = F.struct(*cols).alias("_row")
+    # With all columns in the rank the row need not travel beside it.
+    first = F.min(F.struct(*rank, row))["_row"] if ordered else F.min_by(row, F.struct(*rank))
+    return absent.groupBy(*keys).agg(first.alias("_row")).select("_row.*")
