@@ -1,11 +1,17 @@
 """Classifier, forecasts and streams."""
 
+import os
 import random
 import threading
+from urllib.parse import urlparse
 
+import numpy as np
 import pytest
+from pyspark.ml.classification import GBTClassifier
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
+from tidewatch.operators import boosting
 from tidewatch.operators import flows as fl
 from tidewatch.operators import forecast as fc
 from tidewatch.operators import learning as ln
@@ -51,6 +57,62 @@ def test_folds_are_fitted_side_by_side(spark, monkeypatch):
     assert len(model.trees) == len(model.calibrations) == 3 and not met.broken
 
 
+def vectors(spark, n):
+    """Rows of one continuous feature, flags, small numbers and a constant."""
+    rows = spark.range(n).select(
+        F.col("id").alias("msg_id"), F.round(F.randn(1), 2).alias("a"), (F.rand(2) < 0.5).cast("double").alias("b"), F.floor(F.rand(3) * 7).cast("double").alias("c"),
+        F.lit(1.0).alias("d"), F.round(F.rand(4), 2).alias("e"), (F.rand(5) < 0.1).cast("double").alias("f"), F.randn(6).alias("noise"))
+    rows = rows.withColumn("_y", (F.expr("a + b * c / 3 - f + noise / 2") > 0.5).cast("double"))
+    return ln._assemble(rows, list("abcdef")).select("msg_id", "_y", "_x")
+
+
+def test_trees_are_those_of_spark(spark):
+    rows = vectors(spark, 3000).cache()
+    ours = boosting.fit(rows, 12, 7, share=1.0)
+    theirs = GBTClassifier(
+        featuresCol="_x", labelCol="_y", maxIter=12, stepSize=0.05, maxDepth=5, maxBins=255, subsamplingRate=1.0, featureSubsetStrategy="all", seed=7).fit(rows)
+    both = theirs.transform(rows).select(vector_to_array("probability")[1].alias("p"), boosting.probabilities([ours], F.col("_x"))[0].alias("q")).toPandas()
+    assert (ours.features >= 0).sum() > 12 * 10
+    assert np.abs(both["p"] - both["q"]).max() < 1e-9
+
+
+def test_boosting_deals_rows_evenly_and_repeats(spark, monkeypatch):
+    rows, grow, seen = vectors(spark, 100_000).coalesce(1).cache(), boosting._grow, []
+
+    def look(blocks, *more):
+        if not seen:
+            seen.extend(blocks.mapPartitions(lambda part: [sum(len(y) for _, y, _, _ in part)]).collect())
+        return grow(blocks, *more)
+
+    monkeypatch.setattr(boosting, "_grow", look)
+    first = boosting.fit(rows, 3, 7)
+    assert len(seen) == 4 and sum(seen) == 100_000 and max(seen) < 1.5 * min(seen)
+    again = boosting.fit(rows, 3, 7)
+    assert (first.features == again.features).all() and (first.thresholds == again.thresholds).all() and np.allclose(first.values, again.values)
+
+
+def test_boosting_leaves_no_checkpoints(spark):
+    rows = vectors(spark, 500).cache()
+    boosting.set_checkpoint_folder(spark)
+    folder = urlparse(spark.sparkContext.getCheckpointDir()).path
+    before = set(os.listdir(folder))
+    model = boosting.fit(rows, 2 * boosting.CHECKPOINT_ROUNDS + 2, 7)
+    assert len(model.values) == 2 * boosting.CHECKPOINT_ROUNDS + 2 and set(os.listdir(folder)) == before
+
+
+def test_cuts_come_from_all_rows():
+    values = np.random.default_rng(5).normal(size=200_000)
+    points = (np.empty(0), np.empty(0))
+    for part in np.split(values, 20):
+        points = boosting.merged_points(np.concatenate([points[0], part]), np.concatenate([points[1], np.ones(len(part))]))
+    cuts = boosting.cut_points(*points)
+    assert len(points[0]) <= boosting.POINTS and points[1].sum() == len(values) and len(cuts) == 254
+    ranks = np.searchsorted(np.sort(values), cuts) / len(values)
+    assert np.abs(ranks - np.arange(1, 255) / 255).max() < 0.005
+    few, counts = boosting.merged_points(np.array([3.0, 1.0, 3.0]), np.array([2.0, 1.0, 5.0]))
+    assert few.tolist() == [1.0, 3.0] and counts.tolist() == [1.0, 7.0] and boosting.cut_points(few, counts).tolist() == [2.0]
+
+
 def test_classifier_refuses_one_class(spark):
     with pytest.raises(ValueError):
         ln.train_classifier(labelled(spark, 30).withColumn("label", F.lit(1.0)), ["a"])

@@ -7,18 +7,18 @@ from dataclasses import dataclass, field
 from multiprocessing.pool import ThreadPool
 
 from pyspark import inheritable_thread_target
-from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewatch.operators import boosting
 from tidewatch.operators.baseline import nth_value
 from tidewatch.session import cut_lineage
 
 VERSION = "email-classifier-1"
 MIN_CALIBRATED = 20
+FOLDS = 3  # fitted side by side
 _HASH_RANGE = 1 << 52  # whole numbers that a double holds exactly
 
 
@@ -48,14 +48,14 @@ class PhishingClassifier:
     """Trees per fold with the calibration of each, and what makes a score auditable."""
 
     features: list[str]
-    trees: list[GBTClassificationModel]
+    trees: list[boosting.BoostedTrees]
     calibrations: list[IsotonicRegressionModel]
     version: str = VERSION
     metrics: dict = field(default_factory=dict)
 
     def save(self, spark: SparkSession, path: str) -> None:
         for i, model in enumerate(self.trees):
-            model.write().overwrite().save(f"{path}/trees-{i}")
+            model.save(spark, f"{path}/trees-{i}")
         for i, model in enumerate(self.calibrations):
             model.write().overwrite().save(f"{path}/calibration-{i}")
         row = [("email-classifier", self.version, "classification", "spark-gbt", json.dumps(self.metrics), True, self.features, len(self.trees), len(self.calibrations))]
@@ -70,7 +70,7 @@ class PhishingClassifier:
         row = spark.read.parquet(f"{path}/registry").first()
         return cls(
             list(row["features"]),
-            [GBTClassificationModel.load(f"{path}/trees-{i}") for i in range(row["n_trees"])],
+            [boosting.BoostedTrees.load(spark, f"{path}/trees-{i}") for i in range(row["n_trees"])],
             [IsotonicRegressionModel.load(f"{path}/calibration-{i}") for i in range(row["n_calibrations"])],
             row["version"],
             json.loads(row["metrics"]),
@@ -83,20 +83,12 @@ def _assemble(df: DataFrame, features: list[str]) -> DataFrame:
     return VectorAssembler(inputCols=features, outputCol="_x").transform(df.withColumns(filled))
 
 
-def _raw_probability(model: GBTClassificationModel, assembled: DataFrame, out: str) -> DataFrame:
-    scored = model.transform(assembled)
-    return scored.withColumn(out, vector_to_array("probability")[1]).drop("rawPrediction", "probability", "prediction")
-
-
-def _fit_trees(rows: DataFrame, iterations: int, seed: int) -> GBTClassificationModel:
-    return GBTClassifier(
-        featuresCol="_x", labelCol="_y", maxIter=iterations, stepSize=0.05, maxDepth=5, maxBins=255,
-        subsamplingRate=0.8, featureSubsetStrategy="0.8", seed=seed,
-    ).fit(rows)
+def _fit_trees(rows: DataFrame, iterations: int, seed: int) -> boosting.BoostedTrees:
+    return boosting.fit(rows, iterations, seed, side_by_side=FOLDS)
 
 
 def train_classifier(
-    df: DataFrame, features: list[str], label_col: str = "label", id_col: str = "msg_id", iterations: int = 300, folds: int = 3, seed: int = 42,
+    df: DataFrame, features: list[str], label_col: str = "label", id_col: str = "msg_id", iterations: int = 300, folds: int = FOLDS, seed: int = 42,
     version: str = VERSION,
 ) -> PhishingClassifier:
     """Boosted trees per fold, isotonic calibration on the rows each fold did not see."""
@@ -111,9 +103,9 @@ def train_classifier(
     if total < MIN_CALIBRATED:
         return PhishingClassifier(order, [_fit_trees(rows, iterations, seed)], [], version, metrics)
 
-    def fit(fold: int) -> tuple[GBTClassificationModel, IsotonicRegressionModel]:
+    def fit(fold: int) -> tuple[boosting.BoostedTrees, IsotonicRegressionModel]:
         model = _fit_trees(rows.filter(F.col("_fold") != fold), iterations, seed)
-        held_out = _raw_probability(model, rows.filter(F.col("_fold") == fold), "_p")
+        held_out = rows.filter(F.col("_fold") == fold).select("_y", boosting.probabilities([model], F.col("_x"))[0].alias("_p"))
         # Folded to at most 100,001 weighted points before the pooling, whatever the row count.
         points = held_out.groupBy(F.round("_p", 5).alias("p")).agg(F.avg("_y").alias("y"), F.count("*").cast("double").alias("w"))
         return model, IsotonicRegression(featuresCol="p", labelCol="y", weightCol="w").fit(points)
@@ -127,10 +119,10 @@ def train_classifier(
 def score_classifier(df: DataFrame, model: PhishingClassifier, out: str = "probability") -> DataFrame:
     """Mean calibrated probability; a feature the rows lack reads as 0."""
     columns = df.columns
-    scored = _assemble(df, model.features)
+    scored = _assemble(df, model.features).withColumn("_raw", boosting.probabilities(model.trees, F.col("_x")))
     parts = []
-    for i, trees in enumerate(model.trees):
-        scored = _raw_probability(trees, scored, f"_p{i}")
+    for i in range(len(model.trees)):
+        scored = scored.withColumn(f"_p{i}", F.col("_raw")[i])
         if model.calibrations:
             calibration = model.calibrations[i].setFeaturesCol(f"_p{i}").setPredictionCol(f"_c{i}")
             scored = calibration.transform(scored)
